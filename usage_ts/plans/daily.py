@@ -133,8 +133,8 @@ SELECT d, rate_class, count(*) AS n,
        CAST(sum(CAST(consumption / (date_diff('day', start_d, end_d) + 1) AS DECIMAL(18,6))) AS DOUBLE) AS consumption
 FROM dedup JOIN firsts ON d BETWEEN start_d AND end_d GROUP BY d, rate_class""",
     "daily_numeric_context": f"""WITH {DAYS}
-SELECT d, count(*) AS n, round(avg(num_a), 9) AS num_a_avg, round(stddev_samp(num_a), 9) AS num_a_std,
-       round(avg(num_b), 9) AS num_b_avg, round(stddev_samp(num_b), 9) AS num_b_std FROM days GROUP BY d""",
+SELECT d, count(*) AS n, round(CAST(sum(CAST(num_a AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_a_avg, round(stddev_samp(num_a), 9) AS num_a_std,
+       round(CAST(sum(CAST(num_b AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_b_avg, round(stddev_samp(num_b), 9) AS num_b_std FROM days GROUP BY d""",
     "daily_boolean_share": f"""WITH {DAYS}
 SELECT d, count(*) AS n, round(avg(CASE WHEN flag_raw = 'X' THEN 1.0 ELSE 0.0 END), 9) AS flag
 FROM days GROUP BY d""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from usage_ts.plans import daily, ingest, timeseries
+from usage_ts.plans import clusters, daily, descriptive, evaluation, forecasting, ingest, timeseries
 
-MODULES = (ingest, daily, timeseries)
+MODULES = (ingest, daily, timeseries, evaluation, forecasting, clusters, descriptive)
 
 
 def queries():
