@@ -3,7 +3,7 @@
 Scaled points live in one persisted table. An iteration is one aggregation of
 it: centroids are few and enter as literals, so assignment is a column
 expression and nothing is joined; the update is pre-aggregated and returns one
-row per cluster and feature. All restarts advance in the same pass.
+row per cluster and feature. Restarts advance together, several in one pass.
 
 The silhouette is exact and linear: the mean squared distance from a point to a
 cluster follows from the cluster's size, sum and sum of squares, and the mean
@@ -16,17 +16,18 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usage_ts.functions.mixed import mixed_distance
+from usage_ts.functions import mixed
 
 # Fixed value: gamma is half the mean deviation of the numeric features.
 GAMMA_SHARE = 0.5
 
+# Centroids handled by one generated function; more would make it too long to be compiled well.
+CENTROIDS_PER_PASS = 16
+
 
 @dataclass(frozen=True)
 class Scaler:
@@ -66,22 +67,33 @@ def default_gamma(points: DataFrame, numeric: Sequence[str]) -> float:
     return GAMMA_SHARE * sum(float(row[c] or 0.0) for c in numeric) / max(len(numeric), 1)
 
 
-def distances(
+def filled(points: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Projection with null numbers as 0, so that distance code needs no null checks."""
+    return points.select(
+        *keep,
+        *[F.expr(f"coalesce(CAST(`{c}` AS DOUBLE), 0D)").alias(c) for c in numeric],
+        *[F.col(c).cast("string").alias(c) for c in categorical],
+    )
+
+
+def nearest(
     centroids: Sequence[Centroid], numeric: Sequence[str], categorical: Sequence[str], gamma: float
-) -> list[Column]:
-    """One distance column per centroid."""
-    xs, cs = [F.col(c) for c in numeric], [F.col(c).cast("string") for c in categorical]
-    return [
-        mixed_distance(
-            (xs, [F.lit(float(v)) for v in k.numeric]), (cs, [F.lit(v) for v in k.categorical]), gamma
-        )
-        for k in centroids
-    ]
+) -> str:
+    """Struct (score, label) of the nearest centroid; the lower label wins a tie.
+
+    The cost is the score plus the squared norm of the row.
+    """
+    xs, cs = [mixed.name(c) for c in numeric], [mixed.name(c) for c in categorical]
+    options = []
+    for i, k in enumerate(centroids):
+        score = mixed.centroid_score(xs, k.numeric, cs, [mixed.text(v) for v in k.categorical], gamma)
+        options.append(f"named_struct('score', {score}, 'label', {i})")
+    return f"least({', '.join(options)})" if len(options) > 1 else options[0]
 
 
-def nearest(dist: Sequence[Column]) -> Column:
-    """(distance, label) of the nearest centroid; the lower label wins a tie."""
-    return F.least(*[F.struct(d.alias("cost"), F.lit(i).alias("label")) for i, d in enumerate(dist)])
+def _cost(score: str, numeric: Sequence[str]) -> Column:
+    norm = mixed.squared_norm([mixed.name(c) for c in numeric])
+    return F.expr(f"greatest({score} + ({norm}), 0D)").alias("cost")
 
 
 def assign(
@@ -92,10 +104,10 @@ def assign(
     gamma: float,
 ) -> DataFrame:
     """Label (from 0) and distance of the nearest centroid for every point."""
-    best = nearest(distances(centroids, numeric, categorical, gamma))
-    return points.withColumn("_best", best).select(
-        *points.columns, F.col("_best.label").alias("label"), F.col("_best.cost").alias("cost")
-    )
+    rest = [c for c in points.columns if c not in (*numeric, *categorical)]
+    ready = filled(points, numeric, categorical, rest)
+    best = ready.withColumn("_best", F.expr(nearest(centroids, numeric, categorical, gamma)))
+    return best.select(*points.columns, F.col("_best.label").alias("label"), _cost("_best.score", numeric))
 
 
 def numeric_update(labelled: DataFrame, by: Sequence[str], numeric: Sequence[str]) -> DataFrame:
@@ -185,29 +197,25 @@ def k_prototypes(
     if gamma is None:
         gamma = default_gamma(points, numeric)
     states = [list(s) for s in (starts or seed_centroids(points, k, runs, numeric, categorical, key, seed))]
+    ready = filled(points, numeric, categorical)
+    width = max(1, CENTROIDS_PER_PASS // k)
     live, history, sizes = list(range(len(states))), [[] for _ in states], [[0] * k for _ in states]
     iterations = 0
     while live and iterations < max_iter:
         iterations += 1
-        picks = F.array(
-            *[
-                F.struct(
-                    F.lit(r).alias("run"),
-                    nearest(distances(states[r], numeric, categorical, gamma)).alias("best"),
-                )
-                for r in live
-            ]
-        )
-        labelled = points.select(*numeric, *categorical, F.inline(picks)).select(
-            *numeric, *categorical, "run", F.col("best.label").alias("label"), F.col("best.cost").alias("cost")
-        )
-        by = ["run", "label"]
-        means = {(r["run"], r["label"]): r for r in numeric_update(labelled, by, numeric).collect()}
+        means: dict[tuple, object] = {}
         modes: dict[tuple, dict] = {}
-        if categorical:
-            for r in category_update(labelled, by, categorical).collect():
-                modes.setdefault((r["run"], r["label"]), {})[r["feature"]] = r["value"]
-        farthest = _farthest(labelled, numeric, categorical, live, k, means)
+        farthest: dict[int, list[Centroid]] = {}
+        for at in range(0, len(live), width):
+            batch = live[at : at + width]
+            picks = ", ".join(
+                f"named_struct('run', {r}, 'best', {nearest(states[r], numeric, categorical, gamma)})" for r in batch
+            )
+            labelled = ready.select(*numeric, *categorical, F.expr(f"inline(array({picks}))")).select(
+                *numeric, *categorical, "run", F.col("best.label").alias("label"), _cost("best.score", numeric)
+            )
+            _collect_update(labelled, numeric, categorical, means, modes)
+            farthest |= _farthest(labelled, numeric, categorical, batch, k, means)
         still = []
         for r in live:
             cost = sum(m["cost"] for (run, _), m in means.items() if run == r)
@@ -232,6 +240,15 @@ def k_prototypes(
     )
 
 
+def _collect_update(labelled, numeric, categorical, means, modes) -> None:
+    """New centroids of every run: at most clusters x features rows reach the driver."""
+    by = ["run", "label"]
+    means |= {(r["run"], r["label"]): r for r in numeric_update(labelled, by, numeric).collect()}
+    if categorical:
+        for r in category_update(labelled, by, categorical).collect():
+            modes.setdefault((r["run"], r["label"]), {})[r["feature"]] = r["value"]
+
+
 def _farthest(labelled, numeric, categorical, live, k, means) -> dict[int, list[Centroid]]:
     """Points farthest from their centroid, for runs that lost a cluster (at most k per run)."""
     short = [r for r in live if any((r, i) not in means for i in range(k))]
@@ -286,9 +303,9 @@ def centroid_report(
 
 def _cluster_totals(labelled: DataFrame, numeric: Sequence[str], label: str) -> dict[int, dict]:
     """Size, sums and sum of squared norms of every cluster: k rows."""
-    norm = reduce(add, [F.col(c) * F.col(c) for c in numeric], F.lit(0.0))
+    norm = mixed.squared_norm([mixed.name(c) for c in numeric])
     rows = labelled.groupBy(label).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(norm).alias("_q"), *[F.sum(c).alias(c) for c in numeric]
+        F.count(F.lit(1)).alias("_n"), F.sum(F.expr(norm)).alias("_q"), *[F.sum(c).alias(c) for c in numeric]
     )
     return {r[label]: r.asDict() for r in rows.collect()}
 
@@ -307,36 +324,34 @@ def silhouette_rows(
     """
     totals = _cluster_totals(labelled, numeric, label)
     labels = sorted(totals)
-    norm = reduce(add, [F.col(c) * F.col(c) for c in numeric], F.lit(0.0))
     out = labelled
     for i, c in enumerate(categorical):
         same = labelled.groupBy(F.col(c).alias(f"_v{i}")).agg(
             *[F.count_if(F.col(label) == g).cast("double").alias(f"_same{i}_{g}") for g in labels]
         )
         out = out.join(same, F.col(c).eqNullSafe(F.col(f"_v{i}"))).drop(f"_v{i}")
+    norm = mixed.squared_norm([mixed.name(c) for c in numeric])
+    out = out.withColumn("_norm", F.expr(norm))
 
-    def total_distance(g: int) -> Column:
+    def total_distance(g: int) -> str:
         t = totals[g]
-        cross = reduce(add, [F.col(c) * F.lit(float(t[c])) for c in numeric], F.lit(0.0))
-        d = norm * float(t["_n"]) - cross * 2.0 + F.lit(float(t["_q"]))
-        miss = reduce(
-            add, [F.lit(float(t["_n"])) - F.col(f"_same{i}_{g}") for i in range(len(categorical))], F.lit(0.0)
-        )
-        return F.greatest(d, F.lit(0.0)) + miss * float(gamma)
+        n = mixed.number(t["_n"])
+        cross = " + ".join(f"`{c}` * {mixed.number(t[c])}" for c in numeric) or "0D"
+        miss = " + ".join(f"({n} - _same{i}_{g})" for i in range(len(categorical))) or "0D"
+        inner = f"greatest(_norm * {n} - 2D * ({cross}) + {mixed.number(t['_q'])}, 0D)"
+        return f"({inner} + {mixed.number(gamma)} * ({miss}))"
 
-    mean_in, mean_out = F.lit(None).cast("double"), []
+    own, others = [], []
     for g in labels:
-        n = float(totals[g]["_n"])
-        own = F.col(label) == g
+        n = totals[g]["_n"]
         if n > 1:
-            mean_in = F.when(own, total_distance(g) / (n - 1)).otherwise(mean_in)
-        mean_out.append(F.when(~own, total_distance(g) / n))
-    outside = F.least(*mean_out) if len(mean_out) > 1 else F.lit(None).cast("double")
-    scored = out.withColumns({"a": mean_in, "b": outside})
-    score = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    )
-    return scored.select(*labelled.columns, "a", "b", score.alias("silhouette"))
+            own.append(f"WHEN `{label}` = {g} THEN {total_distance(g)} / {mixed.number(n - 1)}")
+        others.append(f"CASE WHEN `{label}` <> {g} THEN {total_distance(g)} / {mixed.number(n)} END")
+    inside = f"CASE {' '.join(own)} END" if own else "CAST(NULL AS DOUBLE)"
+    outside = f"least({', '.join(others)})" if len(others) > 1 else "CAST(NULL AS DOUBLE)"
+    scored = out.withColumns({"a": F.expr(inside), "b": F.expr(outside)})
+    score = "CASE WHEN a IS NULL THEN 0D ELSE coalesce(try_divide(b - a, greatest(a, b)), 0D) END"
+    return scored.select(*labelled.columns, "a", "b", F.expr(score).alias("silhouette"))
 
 
 def silhouette(

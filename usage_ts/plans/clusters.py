@@ -99,7 +99,7 @@ def centroid_report(spark, sf):
     report = CL.centroid_report(
         flags, found.assign(points), NUMERIC, ["cat_a", "cat_b", "flag"], booleans=["flag"]
     )
-    return report.select("cluster", F.round("percent", 6).alias("percent"), *[F.round(c, 6).alias(c) for c in NUMERIC], "cat_a", "cat_b", "flag")
+    return report.select("cluster", F.round("percent", 6).alias("percent"), *[F.round(c, 9).alias(c) for c in NUMERIC], "cat_a", "cat_b", "flag")
 
 
 def best_k(spark, sf):
@@ -184,7 +184,7 @@ def _silhouette_cte(labels: str, out: str) -> str:
 
 def _report_sql() -> str:
     final = f"la_{ITERATIONS}"
-    means = ", ".join(f"round(avg({c}), 6) AS {c}" for c in NUMERIC)
+    means = ", ".join(f"round(avg({c}), 9) AS {c}" for c in NUMERIC)
 
     def mode(expr):
         return f"""(SELECT cluster, v FROM (SELECT cluster, {expr} AS v, row_number() OVER (PARTITION BY cluster
