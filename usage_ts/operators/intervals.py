@@ -225,30 +225,59 @@ def numeric_context(
                 *[F.stddev_samp(f).alias(f"{f}_std") for f in features],
             )
         )
+    days = running_totals(df, by, moment_amounts(features), start, end, day, first_day).filter("n > 0")
+    return days.select(*by, day, "n", *moment_columns(features))
+
+
+def moment_amounts(features: Sequence[str]) -> dict[str, Column]:
+    """Count, sum and sum of squares of each attribute, as amounts for a running total."""
     amounts: dict[str, Column] = {}
     for f in features:
         exact = F.col(f).cast(EXACT)
         amounts[f"_c_{f}"] = exact.isNotNull().cast("int")
         amounts[f"_s_{f}"] = F.coalesce(exact, F.lit(0).cast(EXACT))
         amounts[f"_q_{f}"] = F.coalesce((exact * exact).cast(EXACT_SQUARE), F.lit(0).cast(EXACT_SQUARE))
-    days = running_totals(df, by, amounts, start, end, day, first_day).filter("n > 0")
+    return amounts
 
-    def mean(f):
-        return F.try_divide(F.col(f"_s_{f}").cast("double"), F.col(f"_c_{f}"))
 
-    def deviation(f):
-        centred = F.col(f"_q_{f}").cast("double") - F.col(f"_s_{f}").cast("double") * mean(f)
-        return F.sqrt(F.greatest(F.try_divide(centred, F.col(f"_c_{f}") - 1), F.lit(0.0)))
+def moment_columns(features: Sequence[str]) -> list[Column]:
+    """Mean and sample deviation of each attribute from its running totals."""
+    out = []
+    for f in features:
+        count, total = F.col(f"_c_{f}"), F.col(f"_s_{f}").cast("double")
+        mean = F.try_divide(total, count)
+        spread = F.try_divide(F.col(f"_q_{f}").cast("double") - total * mean, count - 1)
+        out.append(mean.alias(f"{f}_avg"))
+        out.append(F.when(count > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias(f"{f}_std"))
+    return out
+
 
+def daily_context(
+    df: DataFrame,
+    numeric: Sequence[str],
+    flags: Sequence[str],
+    by: Sequence[str] = (),
+    start: str = "start_d",
+    end: str = "end_d",
+    value: str = "consumption",
+    day: str = "d",
+    first_day=None,
+) -> DataFrame:
+    """A2-A4, W1 together: consumption, means, deviations and shares of every day in one pass.
+
+    Days without an active record are present: consumption 0, shares and means null.
+    """
+    rate = C.daily_rate(F.col(value), F.col(start), F.col(end))
+    amounts = {"consumption": F.coalesce(rate, F.lit(0))} | moment_amounts(numeric)
+    amounts |= {f"_f_{f}": F.coalesce(F.col(f).cast(EXACT), F.lit(0).cast(EXACT)) for f in flags}
+    days = running_totals(df, by, amounts, start, end, day, first_day)
     return days.select(
         *by,
         day,
         "n",
-        *[mean(f).alias(f"{f}_avg") for f in features],
-        *[
-            F.when(F.col(f"_c_{f}") > 1, deviation(f)).alias(f"{f}_std")
-            for f in features
-        ],
+        "consumption",
+        *moment_columns(numeric),
+        *[F.try_divide(F.col(f"_f_{f}").cast("double"), F.col("n")).alias(f) for f in flags],
     )
 
 

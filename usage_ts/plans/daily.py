@@ -47,6 +47,14 @@ def daily_numeric_context(spark, sf):
     return c.select("d", "n", *[F.round(x, 9).alias(x) for x in ("num_a_avg", "num_a_std", "num_b_avg", "num_b_std")])
 
 
+def daily_context(spark, sf):
+    """All non-categorical columns of the daily table by class, one pass over the records."""
+    b = testtables.billing_dedup(spark, sf).withColumn("flag", C.flag_number(F.col("flag_raw")))
+    c = intervals.daily_context(b, ["num_a", "num_b"], ["flag"], ["rate_class"])
+    cols = ("num_a_avg", "num_a_std", "num_b_avg", "num_b_std", "flag")
+    return _plain(c).filter("n > 0").select("rate_class", "d", "n", "consumption", *[F.round(x, 9).alias(x) for x in cols])
+
+
 def daily_boolean_share(spark, sf):
     b = testtables.billing_dedup(spark, sf).withColumn("flag", C.flag_number(F.col("flag_raw")))
     return intervals.boolean_share(b, ["flag"]).select("d", "n", F.round("flag", 9).alias("flag"))
@@ -113,6 +121,7 @@ QUERIES = {
     "daily_by_class": daily_by_class,
     "active_on_dates": active_on_dates,
     "daily_numeric_context": daily_numeric_context,
+    "daily_context": daily_context,
     "daily_boolean_share": daily_boolean_share,
     "daily_category_fraction": daily_category_fraction,
     "daily_spine": daily_spine,
@@ -135,6 +144,11 @@ FROM dedup JOIN firsts ON d BETWEEN start_d AND end_d GROUP BY d, rate_class""",
     "daily_numeric_context": f"""WITH {DAYS}
 SELECT d, count(*) AS n, round(CAST(sum(CAST(num_a AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_a_avg, round(stddev_samp(num_a), 9) AS num_a_std,
        round(CAST(sum(CAST(num_b AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_b_avg, round(stddev_samp(num_b), 9) AS num_b_std FROM days GROUP BY d""",
+    "daily_context": f"""WITH {DAYS}
+SELECT rate_class, d, count(*) AS n, CAST(sum(rate) AS DOUBLE) AS consumption,
+       round(CAST(sum(CAST(num_a AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_a_avg, round(stddev_samp(num_a), 9) AS num_a_std,
+       round(CAST(sum(CAST(num_b AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_b_avg, round(stddev_samp(num_b), 9) AS num_b_std,
+       round(avg(CASE WHEN flag_raw = 'X' THEN 1.0 ELSE 0.0 END), 9) AS flag FROM days GROUP BY rate_class, d""",
     "daily_boolean_share": f"""WITH {DAYS}
 SELECT d, count(*) AS n, round(avg(CASE WHEN flag_raw = 'X' THEN 1.0 ELSE 0.0 END), 9) AS flag
 FROM days GROUP BY d""",
