@@ -1,4 +1,4 @@
-"""Array expressions: dot product, element-wise scale, sliding windows."""
+"""Array expressions: dot product and element-wise scale."""
 
 from __future__ import annotations
 
@@ -18,7 +18,3 @@ def dot(a: Column, b: Column) -> Column:
 def scaled(a: Column, mean: Column, scale: Column) -> Column:
     return F.transform(a, lambda x: (x - mean) / scale)
 
-
-def rolled(window: Column, width: int, newest: Column) -> Column:
-    """Drop the oldest value and append the newest."""
-    return F.concat(F.slice(window, 2, width - 1), F.array(newest))

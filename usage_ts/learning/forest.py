@@ -1,24 +1,30 @@
-"""Random forest on lag windows, pooled over all series (M2, M3, M4)."""
+"""Random forest and pooled regression on lag windows, trained over all series (M1, M2, M3, M4)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from usage_ts.functions.arrays import rolled, scaled
+from usage_ts.functions.arrays import scaled
 from usage_ts.operators import series
-from usage_ts.sources.lineage import cut_lineage
+from usage_ts.sources.lineage import shared_folder
+from usage_ts.sources.store import save_ml_model
 
 KEYS = ("series_key",)
 
 # Default number of trees and window width.
 TREES = 100
 WIDTH = 365
-STEPS_PER_CHECKPOINT = 20
+
+# Series that walk forward together in a task: bounds the rows a task holds at once.
+SERIES_PER_BLOCK = 256
 
 
 def windows(
@@ -56,6 +62,58 @@ def predictions(
     )
 
 
+@dataclass
+class Trees:
+    """Nodes of all trees in one array each; ``feature`` is -1 at a leaf."""
+
+    roots: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Mean over the trees for every row of ``x``."""
+        rows = np.arange(len(x))[:, None]
+        node = np.repeat(self.roots[None, :], len(x), axis=0)
+        while True:
+            feature = self.feature[node]
+            inner = feature >= 0
+            if not inner.any():
+                return self.value[node].mean(axis=1)
+            go_left = x[rows, np.maximum(feature, 0)] <= self.threshold[node]
+            node = np.where(inner, np.where(go_left, self.left[node], self.right[node]), node)
+
+
+def load_trees(spark: SparkSession, path: str) -> Trees:
+    """The node table of a saved forest.
+
+    Its size is set by the number and depth of the trees, not by the data.
+    """
+    n = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        "nodeData.id",
+        F.col("nodeData.prediction").alias("value"),
+        F.col("nodeData.leftChild").alias("left"),
+        F.col("nodeData.rightChild").alias("right"),
+        F.col("nodeData.split.featureIndex").alias("feature"),
+        F.coalesce(F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)), F.lit(0.0)).alias("threshold"),
+    )
+    nodes = n.toPandas().sort_values(["tree", "id"], ignore_index=True)
+    first = nodes.groupby("tree").size().cumsum().shift(fill_value=0)
+    base = nodes["tree"].map(first).to_numpy()
+    leaf = (nodes["left"] < 0).to_numpy()
+    return Trees(
+        first.to_numpy(),
+        np.where(leaf, -1, nodes["feature"].to_numpy()),
+        nodes["threshold"].to_numpy(),
+        base + nodes["left"].to_numpy(),
+        base + nodes["right"].to_numpy(),
+        nodes["value"].to_numpy(),
+    )
+
+
 def recursive_forecast(
     model,
     df: DataFrame,
@@ -65,34 +123,44 @@ def recursive_forecast(
     by: Sequence[str] = KEYS,
     ds: str = "ds",
     value: str = "y",
+    model_path: str | None = None,
 ) -> DataFrame:
-    """M4: predict, roll the window, repeat, for all series together.
+    """M4: predict, roll the window, repeat, for all series at once.
 
-    The table has one row per series; its plan grows by one prediction per step
-    and is cut every few steps.
+    The model is saved first (to ``model_path``, or to the folder executors share)
+    and its node table goes to the tasks. Each task then walks a block of series
+    through the whole horizon, so the plan does not grow with the number of days.
     """
-    seed = series.recent_window(df, width, [value], by, ds).join(stats, [*by])
+    keys = list(by)
+    if model_path is None:
+        model_path = shared_folder(df.sparkSession, "forest")
+    save_ml_model(model, model_path)
+    trees = load_trees(df.sparkSession, model_path)
     mean, scale = F.col(f"{value}_mean"), F.col(f"{value}_scale")
-    state = seed.select(
-        *by,
-        ds,
-        f"{value}_mean",
-        f"{value}_scale",
-        scaled(F.col("window"), mean, scale).alias("window"),
-        F.array().cast("array<double>").alias("path"),
+    seeds = (
+        series.recent_window(df, width, [value], by, ds)
+        .join(stats, keys)
+        .select(*keys, ds, mean.alias("_mean"), scale.alias("_scale"), scaled(F.col("window"), mean, scale).alias("_w"))
+    )
+
+    def walk(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), SERIES_PER_BLOCK):
+                block = pdf.iloc[at : at + SERIES_PER_BLOCK]
+                x = np.stack(block["_w"].to_numpy())
+                path = np.empty((len(block), days))
+                for h in range(days):
+                    path[:, h] = trees.predict(x)
+                    x = np.column_stack([x[:, 1:], path[:, h]])
+                out = block.loc[block.index.repeat(days), [*keys, ds]].reset_index(drop=True)
+                out["_step"] = np.tile(np.arange(1, days + 1, dtype="int32"), len(block))
+                out["yhat"] = (path * block["_scale"].to_numpy()[:, None] + block["_mean"].to_numpy()[:, None]).ravel()
+                yield out
+
+    schema = T.StructType(
+        [seeds.schema[c] for c in (*keys, ds)]
+        + [T.StructField("_step", T.IntegerType()), T.StructField("yhat", T.DoubleType())]
+    )
+    return (
+        seeds.mapInPandas(walk, schema).withColumn(ds, F.date_add(ds, F.col("_step"))).select(*keys, ds, "yhat")
     )
-    for step in range(1, days + 1):
-        scored = model.transform(state.withColumn("features", array_to_vector("window")))
-        state = scored.select(
-            *by,
-            ds,
-            f"{value}_mean",
-            f"{value}_scale",
-            rolled(F.col("window"), width, F.col("prediction")).alias("window"),
-            F.array_append("path", F.col("prediction")).alias("path"),
-        )
-        if step % STEPS_PER_CHECKPOINT == 0 and step < days:
-            state = cut_lineage(state)
-    return state.select(
-        *by, F.col(ds).alias("_last"), f"{value}_mean", f"{value}_scale", F.posexplode("path").alias("_h", "z")
-    ).select(*by, F.date_add("_last", F.col("_h") + 1).alias(ds), (F.col("z") * scale + mean).alias("yhat"))
