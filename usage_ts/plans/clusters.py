@@ -15,8 +15,8 @@ SWEEP = (2, 3, 4)
 
 
 def scaled_profiles(spark, sf):
-    """(profiles, scaler, scaled points); the points are persisted, as every iteration reads them."""
-    p = profiles(spark, sf)
+    """(profiles, scaler, scaled points); both tables are persisted, as every iteration reads the points."""
+    p = profiles(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     scaler = CL.fit_scaler(p, NUMERIC)
     points = scaler.transform(p).select("account", *NUMERIC, *CATEGORICAL)
     return p, scaler, points.persist(StorageLevel.MEMORY_AND_DISK)
