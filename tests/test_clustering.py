@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from usage_ts.functions import mixed
 from usage_ts.operators import clustering as CL
 from usage_ts.plans import jobs
 from usage_ts.sources import store
@@ -62,6 +63,12 @@ def test_cost_is_the_distance_to_the_nearest_centroid(points):
         assert r.cost == pytest.approx(min(ds)) and r.label == ds.index(min(ds))
 
 
+def test_distance_between_two_columns_sets(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "a", "b"), (0.0, 0.0, None, None)], "x double, y double, c string, e string")
+    text = mixed.mixed_distance((["`x`"], ["`y`"]), (["`c`"], ["`e`"]), 0.5)
+    assert [r[0] for r in df.select(F.expr(text)).collect()] == [1.5, 0.0]
+
+
 def test_more_starts_than_one_pass_holds(points):
     found = CL.k_prototypes(points, 6, NUM, CAT, runs=5, max_iter=2)
     assert len(found.centroids) == 6 and sum(found.sizes) == 300

@@ -103,7 +103,7 @@ def test_saved_models_forecast_the_same(spark, weekly, tmp_path):
     assert a.equals(b) and len(a) == 30
 
 
-def test_additive_recovers_parts_and_they_add_up(spark, weekly):
+def test_additive_recovers_parts_and_they_add_up(spark, weekly, tmp_path):
     bump = weekly.copy()
     holidays = [i for i in range(900) if (D0 + dt.timedelta(days=i)).strftime("%m%d") in ("0701", "0702")]
     bump[holidays] += 15
@@ -124,6 +124,11 @@ def test_additive_recovers_parts_and_they_add_up(spark, weekly):
     assert '"period":7.0' in text and '"fourier_order":3' in text
     ahead = FC.forecast(models, 20, model=model)
     assert ahead.count() == 20 and ahead.filter("yhat is null").count() == 0
+    jobs.save_decomposition(dates, models.drop("model"), str(tmp_path), holidays=["is_h"])
+    assert spark.read.parquet(str(tmp_path / "trend_component")).count() == 900
+    assert spark.read.json(str(tmp_path / "seasonality_parameters")).count() == 2
+    jobs.save_forecast(ahead, str(tmp_path / "forecast"))
+    assert (tmp_path / "forecast" / "series_key=a").exists()
 
 
 def test_multiplicative_mode_fits_growing_seasons(spark):

@@ -86,8 +86,10 @@ def trim_series(spark, sf):
 def incremental_daily(spark, sf):
     """Old table up to the look-back cut, recomputed days after it, end-trimmed."""
     new = testtables.billing_dedup(spark, sf)
-    old = new.filter(F.col("start_d") < F.lit(LATE_LOAD).cast("date"))
-    cut = series.look_back_cut(old, "start_d", LOOK_BACK)
+    loaded = F.col("start_d") < F.lit(LATE_LOAD).cast("date")
+    old = new.filter(loaded)
+    # Copies do not change the latest start, so the cut needs no deduplication.
+    cut = series.look_back_cut(testtables.billing(spark, sf).filter(loaded), "start_d", LOOK_BACK)
     old_daily = intervals.daily_consumption(old, spine=True)
     new_daily = intervals.closed_horizon(intervals.daily_consumption(new, spine=True, first_day=cut))
     merged = series.replace_tail(old_daily, new_daily, cut, "d")

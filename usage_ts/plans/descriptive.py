@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from usage_ts.operators import statistics
@@ -16,13 +17,18 @@ WIDTH, BANDWIDTH = 10.0, 15.0
 SPAN = math.ceil(4.0 * BANDWIDTH / WIDTH)
 
 
+def _client_table(spark, sf):
+    """The client table, kept for queries that read it more than once."""
+    return profiles(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def correlation_matrix(spark, sf):
     c = statistics.correlation_matrix(profiles(spark, sf), NUMERIC)
     return c.withColumn("corr", F.round("corr", 6))
 
 
 def feature_stats(spark, sf):
-    s = statistics.feature_stats(profiles(spark, sf), NUMERIC)
+    s = statistics.feature_stats(_client_table(spark, sf), NUMERIC)
     return s.select("feature", "n", *[F.round(c, p).alias(c) for c, p in (("mean", 6), ("median", 9), ("std", 6))])
 
 
@@ -31,7 +37,7 @@ def category_counts(spark, sf):
 
 
 def box_stats(spark, sf):
-    b = statistics.box_stats(profiles(spark, sf), CATEGORICAL, RECENT)
+    b = statistics.box_stats(_client_table(spark, sf), CATEGORICAL, RECENT)
     return b.withColumns({c: F.round(c, 9) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")})
 
 
@@ -88,7 +94,7 @@ SELECT rate_class, CAST(floor({RECENT} / {WIDTH}) AS BIGINT) AS bin, count(*) AS
 h AS (SELECT rate_class, CAST(floor({RECENT} / {WIDTH}) AS BIGINT) AS bin, count(*) AS n FROM profiles GROUP BY 1, 2),
 t AS (SELECT rate_class, sum(n) AS total FROM h GROUP BY 1),
 g AS (SELECT rate_class, n, bin, unnest(range(bin - {SPAN}, bin + {SPAN} + 1)) AS pos FROM h)
-SELECT rate_class, (pos + 0.5) * {WIDTH} AS x,
+SELECT rate_class, CAST((pos + 0.5) * {WIDTH} AS DOUBLE) AS x,
        round(sum(n * exp(-0.5 * pow((pos - bin) * {WIDTH} / {BANDWIDTH}, 2))) / (any_value(total) * {BANDWIDTH} * sqrt(2 * pi())), 9) AS density
 FROM g JOIN t USING (rate_class) GROUP BY rate_class, pos""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from usage_ts.functions import columns as C
 from usage_ts.learning import forecasters as FC
-from usage_ts.learning import search
+from usage_ts.learning import additive, search
 from usage_ts.operators import cleaning, clients, clustering, dedup, evaluation, intervals, series
 from usage_ts.sources import extracts, store
 from usage_ts.sources.layout import Layout
@@ -198,6 +198,21 @@ def per_class_series(daily: DataFrame, key: str, value: str = "consumption") ->
     return daily.select(F.col(key).alias("series_key"), F.col("d").alias("ds"), C.plain(F.col(value)).alias("y"))
 
 
+def save_forecast(forecast: DataFrame, path: str, by: str = "series_key") -> None:
+    """One folder per series; for very many series choose a coarser ``by``."""
+    store.write_table(forecast, path, [by])
+
+
+def save_decomposition(
+    dates: DataFrame, models: DataFrame, folder: str, by: Sequence[str] = ("series_key",), holidays: Sequence[str] = ()
+) -> None:
+    """Trend and holiday components as tables, season parameters as JSON."""
+    parts = additive.components(dates, models, by, holidays)
+    for name in ("trend", "holidays"):
+        store.write_table(parts.select(*by, "ds", name), f"{folder}/{name}_component")
+    store.write_json(additive.seasonality_parameters(models, by), f"{folder}/seasonality_parameters")
+
+
 def save_run(tables: Mapping[str, DataFrame], folder: str, run_id: str | None = None) -> str:
     """Write the result tables of a run side by side under its id."""
     run_id = run_id or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d-%H%M%S")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from usage_ts.functions import calendar
@@ -14,11 +15,14 @@ LAGS = 7
 
 
 def class_series(spark, sf):
-    """One daily series per rate class: series_key, ds, y."""
+    """One daily series per rate class: series_key, ds, y.
+
+    Kept, as most queries read it several times; it has one row per class and day.
+    """
     days = intervals.daily_consumption(testtables.billing_dedup(spark, sf), ["rate_class"])
     return days.select(
         F.col("rate_class").alias("series_key"), F.col("d").alias("ds"), C.plain(F.col("consumption")).alias("y")
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def event_series(spark, sf):
