@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STRETCHES = 64
+STRETCHES = 32
 
 
 def exact_quantiles(
@@ -28,44 +28,32 @@ def exact_quantiles(
         .groupBy(*by, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    at = [i / stretches for i in range(1, stretches)]
-    cuts = counted.groupBy(*by).agg(
-        F.percentile_approx("_v", F.array(*[F.lit(p) for p in at]), F.lit(20 * stretches)).alias("_cuts")
-    )
-    placed = counted.join(cuts, by).withColumn(
-        "_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    ).drop("_cuts")
-    group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_part")
+    at = F.array(*[F.lit(i / stretches) for i in range(1, stretches)])
+    cuts = counted.groupBy(*by).agg(F.percentile_approx("_v", at, F.lit(20 * stretches)).alias("_cuts"))
+    placed = counted.join(cuts, by).withColumn("_part", F.expr("size(filter(_cuts, c -> c < _v))")).drop("_cuts")
+    # One row per group: its stretches with the count before each, and the two ranks (from 0) around each quantile.
     sizes = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"))
-    spans = sizes.select(
-        *by,
-        "_part",
-        (F.sum("_in").over(order) - F.col("_in")).alias("_before"),
-        "_in",
-        F.sum("_in").over(group).alias("_total"),
+    groups = sizes.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("_part", "_in"))).alias("_parts"), (F.sum("_in") - 1).alias("_last")
     )
-    asked = spans.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))).withColumn(
-        "_rank", F.col("p") * (F.col("_total") - 1)
+    spans = """transform(_parts, (x, i) -> named_struct('part', x._part, 'n', x._in,
+        'before', aggregate(slice(_parts, 1, i), 0L, (s, y) -> s + y._in)))"""
+    wanted = f"array({', '.join(f'{float(p)!r}D' for p in probabilities)})"
+    ends = f"""flatten(transform({wanted}, p -> transform(array(floor(p * _last), ceil(p * _last)),
+        r -> named_struct('p', p, 'weight', p * _last - floor(p * _last), 'rank', r))))"""
+    groups = groups.select(*by, F.expr(spans).alias("_spans"), F.expr(ends).alias("_ends"))
+    near = (
+        placed.join(groups, by)
+        .withColumn("_span", F.expr("filter(_spans, s -> s.part = _part)[0]"))
+        .withColumn(
+            "_mine", F.expr("filter(_ends, e -> e.rank >= _span.before AND e.rank < _span.before + _span.n)")
+        )
+        .filter(F.size("_mine") > 0)
+        .select(*by, "_part", "_v", "_n", "_mine", F.col("_span.before").alias("_before"))
     )
-    # A quantile lies between the values at the two neighbouring ranks (from 0).
-    ends = asked.select(
-        *by,
-        "_part",
-        "_before",
-        "_in",
-        "p",
-        (F.col("_rank") - F.floor("_rank")).alias("_weight"),
-        F.explode(F.array(F.floor("_rank"), F.ceil("_rank"))).alias("_at"),
-    ).filter((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_in")))
-    wanted = ends.select(*by, "_part", "_before").distinct()
     inside = Window.partitionBy(*by, "_part").orderBy("_v")
-    ranked = (
-        placed.join(wanted, [*by, "_part"])
-        .withColumn("_hi", F.col("_before") + F.sum("_n").over(inside))
-        .select(*by, "_part", "_v", (F.col("_hi") - F.col("_n")).alias("_lo"), "_hi")
-    )
-    hits = ends.drop("_before", "_in").join(ranked, [*by, "_part"]).filter(
-        (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi"))
+    hits = near.withColumn("_hi", F.col("_before") + F.sum("_n").over(inside)).select(
+        *by, "_v", F.inline(F.expr("filter(_mine, e -> e.rank >= _hi - _n AND e.rank < _hi)"))
     )
     lower, upper = F.min("_v"), F.max("_v")
-    return hits.groupBy(*by, "p").agg((lower + (upper - lower) * F.max("_weight")).alias("quantile"))
+    return hits.groupBy(*by, "p").agg((lower + (upper - lower) * F.max("weight")).alias("quantile"))

@@ -128,6 +128,14 @@ def additive_forecast(spark, sf):
     return FC.forecast(models, AHEAD, model=model)
 
 
+def additive_trend_forecast(spark, sf):
+    """With every prior but the line's near zero the model is a straight line: its forecast has a closed form."""
+    s = class_series(spark, sf)
+    none = {k: 1e-9 for k in ("CHANGEPOINT_PRIOR_SCALE", "SEASONALITY_PRIOR_SCALE", "HOLIDAYS_PRIOR_SCALE")}
+    models = FC.fit_models(FC.with_params(s, "additive", none), "additive")
+    return _round(FC.forecast(models, AHEAD, model="additive"), "yhat", places=3)
+
+
 def additive_evaluate(spark, sf):
     s, model = _additive(spark, sf)
     split = series.split_fixed(s, TEST_ROWS)
@@ -154,6 +162,20 @@ def seasonal_arma_fit(spark, sf):
     return FC.forecast(FC.fit_models(s, "sarimax"), AHEAD)
 
 
+def seasonal_arma_annual(spark, sf):
+    """One annual lag on annual differences: coefficient and forecast have closed forms."""
+    annual = {"P": 0, "D": 0, "Q": 0, "SEASONAL_P": 1, "SEASONAL_D": 1, "SEASONAL_Q": 0, "M": 365}
+    models = FC.fit_models(FC.with_params(class_series(spark, sf), "sarimax", annual), "sarimax")
+    coef = models.select("series_key", F.get("coef", F.lit(1)).alias("phi"))
+    return _round(FC.forecast(models, AHEAD).join(coef, "series_key").drop("model"), "phi", "yhat", places=5)
+
+
+def train_simple_models(spark, sf):
+    return _round(
+        search.evaluate_all(_split(spark, sf), {"last_value": None, "arima": AR1}), *evaluation.METRICS, places=4
+    )
+
+
 def order_search(spark, sf):
     best = FC.select_order(class_series(spark, sf), "arima", [AR1, AR2])
     return _round(
@@ -262,6 +284,32 @@ h AS (SELECT *, CAST(unnest(range(1, {AHEAD + 1})) AS INTEGER) AS h FROM f_all)
 SELECT series_key, ds + h AS ds, round(y + d * phi * (1 - pow(phi, h)) / (1 - phi), 5) AS yhat,
        round(mae, 5) AS "MAE", round(rmse, 5) AS "RMSE" FROM h JOIN m USING (series_key)"""
 
+ANNUAL_SQL = f"""WITH {SERIES},
+w AS (SELECT a.*, a.y - b.y AS w FROM series a LEFT JOIN series b ON a.series_key = b.series_key AND b.rn = a.rn - 365),
+p AS (SELECT a.series_key, sum(a.w * b.w) / sum(b.w * b.w) AS phi FROM w a JOIN w b
+      ON a.series_key = b.series_key AND b.rn = a.rn - 365 WHERE b.w IS NOT NULL GROUP BY a.series_key),
+tip AS (SELECT series_key, max(ds) AS last FROM series GROUP BY series_key)
+SELECT series_key, last + CAST(rn - (n - 365) AS INTEGER) AS ds, round(y + phi * w, 5) + 0.0 AS yhat, round(phi, 5) + 0.0 AS phi
+FROM w JOIN p USING (series_key) JOIN tip USING (series_key) WHERE rn > n - 365 AND rn <= n - 365 + {AHEAD}"""
+
+LINE_SQL = f"""WITH {SERIES},
+t AS (SELECT *, date_diff('day', min(ds) OVER (PARTITION BY series_key), ds) AS t FROM series),
+l AS (SELECT series_key, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, max(t) AS z, max(ds) AS last FROM t GROUP BY series_key),
+h AS (SELECT CAST(unnest(range(1, {AHEAD + 1})) AS INTEGER) AS h)
+SELECT series_key, 'additive' AS model, last + h AS ds, round(a + b * (z + h), 3) + 0.0 AS yhat FROM l CROSS JOIN h"""
+
+SIMPLE_SQL = f"""WITH {_diff(f'rn <= n - {TEST_ROWS}')},
+r AS (SELECT p.*, lag(p.y) OVER v AS y1, lag(p.y, 2) OVER v AS y2 FROM part p WINDOW v AS (PARTITION BY series_key ORDER BY ds)),
+ev AS (
+  SELECT r.series_key, 'arima' AS model_name, r.y AS gt,
+    CASE WHEN tr AND r.rn > 2 THEN y1 + phi * (y1 - y2) END AS model,
+    CASE WHEN NOT tr THEN {_path(f'(r.rn - (r.n - {TEST_ROWS}))')} END AS forecast
+  FROM r JOIN f USING (series_key) JOIN tip USING (series_key)
+  UNION ALL
+  SELECT r.series_key, 'last_value', r.y, CASE WHEN tr THEN y1 END, CASE WHEN NOT tr THEN tip.y END
+  FROM r JOIN tip USING (series_key))
+{metrics_sql('ev', 'series_key, model_name').replace(', 6)', ', 4)')}"""
+
 QUERIES = {
     "ar1_by_series": ar1_by_series,
     "ols_two_lag_fit": ols_two_lag_fit,
@@ -274,16 +322,19 @@ QUERIES = {
     "additive_fit": additive_fit,
     "decompose": decompose,
     "additive_forecast": additive_forecast,
+    "additive_trend_forecast": additive_trend_forecast,
     "additive_evaluate": additive_evaluate,
     "arma_fit": arma_fit,
     "arma_with_errors_fit": arma_with_errors_fit,
     "seasonal_arma_fit": seasonal_arma_fit,
+    "seasonal_arma_annual": seasonal_arma_annual,
     "order_search": order_search,
     "cv_evaluate": cv_evaluate,
     "hparam_search": hparam_search,
     "hparam_search_lags": hparam_search_lags,
     "evaluate_refit_forecast": evaluate_refit_forecast,
     "train_all_models": train_all_models,
+    "train_simple_models": train_simple_models,
 }
 
 ORACLES = {
@@ -311,4 +362,7 @@ FROM ar1 JOIN tip USING (series_key) CROSS JOIN h""",
     "cv_evaluate": f"WITH {CV_AR1} {metrics_sql('ev', 'series_key, fold').replace(', 6)', ', 4)')}",
     "hparam_search": HPARAM_SQL,
     "evaluate_refit_forecast": REFIT_SQL,
+    "seasonal_arma_annual": ANNUAL_SQL,
+    "additive_trend_forecast": LINE_SQL,
+    "train_simple_models": SIMPLE_SQL,
 }
