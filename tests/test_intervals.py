@@ -89,6 +89,16 @@ def test_interval_join_equals_brute_force(spark):
     assert collect(got, "d", "count") == collect(want, "d", "count")
 
 
+def test_small_decimals_survive(spark):
+    df = spark.createDataFrame(
+        [("1", D(2020, 1, 1), D(2020, 1, 1), 1.2345, 1.9438395), ("2", D(2020, 1, 1), D(2020, 1, 1), 0.0001, 0.0000001)],
+        "account string, start_d date, end_d date, consumption double, x double",
+    )
+    r = intervals.daily_context(df, ["x"], []).first()
+    assert float(r.consumption) == pytest.approx(1.2346, abs=1e-9)
+    assert r.x_avg == pytest.approx((1.9438395 + 0.0000001) / 2, abs=1e-12)
+
+
 def test_first_day_cuts_history_only(spark):
     b = testtables.billing_dedup(spark, SMALL)
     whole = intervals.daily_consumption(b, ["rate_class"]).filter("d >= '1999-06-01'")

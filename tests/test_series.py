@@ -150,3 +150,11 @@ def test_box_and_density(spark):
     bins = statistics.histogram(df, [], "x", 0.0, 0.5)
     d = statistics.density(bins, [], 0.0, 0.5, 1.0)
     assert d.agg(F.sum("density")).first()[0] * 0.5 == pytest.approx(1.0, abs=1e-3)
+
+
+def test_feature_histograms_cover_every_value(spark):
+    df = spark.createDataFrame([(float(i), 5.0) for i in range(11)] + [(None, None)], "a double, b double")
+    h = statistics.feature_histograms(df, ["a", "b"], 5).collect()
+    assert {(r.feature, r.bin): r.n for r in h} == {("a", 0): 2, ("a", 1): 2, ("a", 2): 2, ("a", 3): 2, ("a", 4): 3, ("b", 0): 11}
+    with pytest.raises(ValueError):
+        statistics.feature_histograms(df.filter("a < 0"), ["a"])

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 # The raw spellings of flags in billing extracts and what they mean.
 FLAG_VALUES = {"X": 1.0, "On": 1.0, "Discon": 0.0, " ": 0.0}
 
+# Date spellings, tried in this order.
+DATE_FORMATS = ("M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
+
 # Fill-ins for absent data.
 MISSING_CATEGORY = "MISSING"
 UNKNOWN_CATEGORY = "Unknown"
 
+# Fixed-point types: a quantity as read, and a rate per day.
+QUANTITY_TYPE = "decimal(20,6)"
 RATE_TYPE = "decimal(18,6)"
 
 
@@ -22,7 +27,7 @@ def lenient_number(c: Column) -> Column:
     return F.coalesce(F.trim(c).try_cast("double"), F.lit(0.0))
 
 
-def lenient_date(c: Column, formats: Iterable[str] = ("M/d/yyyy", "yyyy-MM-dd")) -> Column:
+def lenient_date(c: Column, formats: Iterable[str] = DATE_FORMATS) -> Column:
     """First format that fits, otherwise null."""
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in formats])
 
@@ -50,7 +55,7 @@ def daily_rate(quantity: Column, start: Column, end: Column) -> Column:
 
     Fixed-point, so that sums are exact whatever the order of addition.
     """
-    return F.try_divide(quantity.cast("decimal(18,2)"), F.datediff(end, start) + 1).cast(RATE_TYPE)
+    return F.try_divide(quantity.cast(QUANTITY_TYPE), F.datediff(end, start) + 1).cast(RATE_TYPE)
 
 
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usage_ts.functions.columns import QUANTITY_TYPE, RATE_TYPE
+
 MONTHS = 12
 
 
@@ -31,8 +33,8 @@ def monthly_share(
     else:
         touches = (start <= hi) & (end >= lo)
     days = F.datediff(F.least(end, hi), F.greatest(start, lo))
-    part = F.try_divide(value.cast("decimal(18,2)") * days, F.datediff(end, start))
-    return F.when(touches, part.cast("decimal(18,6)"))
+    part = F.try_divide(value.cast(QUANTITY_TYPE) * days, F.datediff(end, start))
+    return F.when(touches, part.cast(RATE_TYPE))
 
 
 def client_profiles(

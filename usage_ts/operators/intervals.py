@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from usage_ts.functions import columns as C
 
-EXACT = "decimal(18,6)"
-EXACT_SQUARE = "decimal(38,12)"
+EXACT = "decimal(20,8)"
+EXACT_SQUARE = "decimal(38,13)"
 
 
 def _valid(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -212,8 +212,8 @@ def numeric_context(
 ) -> DataFrame:
     """A3: mean and sample deviation of each attribute over the records active on a day.
 
-    ``delta`` carries count, sum and sum of squares as fixed-point numbers with
-    six decimals; for attributes that need more, use ``explode``.
+    ``delta`` carries count, sum and sum of squares as fixed-point numbers; the
+    attribute keeps eight decimals. For one that needs more, use ``explode``.
     """
     if strategy == "explode":
         return (

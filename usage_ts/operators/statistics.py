@@ -87,6 +87,40 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, lo: float, width: fl
     return df.filter(F.col(value).isNotNull()).groupBy(*by, bin_no).agg(F.count(F.lit(1)).alias("n"))
 
 
+def feature_histograms(df: DataFrame, features: Sequence[str], bins: int = 30) -> DataFrame:
+    """A19 for many features: (feature, bin, lo, width, n), equal bins between the extremes of each.
+
+    Two passes: the extremes come back as one row, then all features are counted
+    together. The greatest value falls into the last bin; a constant feature has one bin.
+    """
+    ends = df.agg(
+        *[F.min(f).cast("double").alias(f"lo_{f}") for f in features],
+        *[F.max(f).cast("double").alias(f"hi_{f}") for f in features],
+    ).first()
+    cells = []
+    for f in features:
+        if ends[f"lo_{f}"] is None:
+            continue
+        lo, width = ends[f"lo_{f}"], (ends[f"hi_{f}"] - ends[f"lo_{f}"]) / bins
+        place = F.least(F.floor((F.col(f) - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
+        cells.append(
+            F.struct(
+                F.lit(f).alias("feature"),
+                F.when(F.col(f).isNotNull(), place.cast("bigint")).alias("bin"),
+                F.lit(lo).alias("lo"),
+                F.lit(width).alias("width"),
+            )
+        )
+    if not cells:
+        raise ValueError("no feature has a value")
+    return (
+        df.select(F.inline(F.array(*cells)))
+        .filter(F.col("bin").isNotNull())
+        .groupBy("feature", "bin", "lo", "width")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def density(
     bins: DataFrame, by: Sequence[str], lo: float, width: float, bandwidth: float, reach: float = 4.0
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from usage_ts.operators import statistics
@@ -39,6 +40,12 @@ def distribution_histogram(spark, sf):
     return statistics.histogram(profiles(spark, sf), ["rate_class"], RECENT, 0.0, WIDTH)
 
 
+def feature_histograms(spark, sf):
+    table = profiles(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    h = statistics.feature_histograms(table, NUMERIC, 20)
+    return h.select("feature", "bin", F.round("lo", 6).alias("lo"), F.round("width", 9).alias("width"), "n")
+
+
 def distribution_density(spark, sf):
     bins = statistics.histogram(profiles(spark, sf), ["rate_class"], RECENT, 0.0, WIDTH)
     d = statistics.density(bins, ["rate_class"], 0.0, WIDTH, BANDWIDTH)
@@ -62,6 +69,7 @@ QUERIES = {
     "category_counts": category_counts,
     "box_stats": box_stats,
     "distribution_histogram": distribution_histogram,
+    "feature_histograms": feature_histograms,
     "distribution_density": distribution_density,
 }
 
@@ -84,6 +92,12 @@ SELECT feature, category, round(q1, 9) AS q1, round(median, 9) AS median, round(
 FROM f GROUP BY feature, category, q1, median, q3""",
     "distribution_histogram": f"""WITH {P}
 SELECT rate_class, CAST(floor({RECENT} / {WIDTH}) AS BIGINT) AS bin, count(*) AS n FROM profiles GROUP BY 1, 2""",
+    "feature_histograms": f"""WITH {P}, u AS ({_union(NUMERIC, 'DOUBLE')}),
+e AS (SELECT feature, min(value) AS lo, (max(value) - min(value)) / 20 AS width FROM u GROUP BY feature),
+b AS (SELECT feature, lo, width, CASE WHEN width > 0 THEN least(floor((value - lo) / width), 19) ELSE 0 END AS bin
+      FROM u JOIN e USING (feature))
+SELECT feature, CAST(bin AS BIGINT) AS bin, round(lo, 6) AS lo, round(width, 9) AS width, count(*) AS n
+FROM b GROUP BY feature, bin, lo, width""",
     "distribution_density": f"""WITH {P},
 h AS (SELECT rate_class, CAST(floor({RECENT} / {WIDTH}) AS BIGINT) AS bin, count(*) AS n FROM profiles GROUP BY 1, 2),
 t AS (SELECT rate_class, sum(n) AS total FROM h GROUP BY 1),
