@@ -46,8 +46,10 @@ def centroid_score(
     """Mixed distance to a fixed point, less the squared norm of the row itself.
 
     The norm is the same for every centroid, so it is left out of the comparison.
-    What remains is one multiplication per feature: short enough for the code
-    generated for many centroids to be compiled, which is worth a factor of ten.
+    What remains is one multiplication per feature. In one local timing (4 million
+    rows, 14 features, 12 centroids) this form on columns without nulls took
+    1.5 s and the plain form 26 s; the plain form generates methods beyond 8,000
+    bytes, which the JVM by default leaves uncompiled, the likely cause.
     """
     dot = " + ".join(f"{x} * {number(-2.0 * v)}" for x, v in zip(columns, values)) or "0D"
     size = number(sum(float(v) * float(v) for v in values))
