@@ -209,7 +209,7 @@ def select_order(
         fits.filter(F.col("aic").isNotNull())
         .groupBy(*by)
         .agg(
-            F.min_by(F.struct(PARAMS, "aic", "coef"), F.struct("aic", "trial")).alias("best"),
+            F.min_by(F.struct(PARAMS, "aic", "coef"), F.struct(F.col("aic").cast("float"), "trial")).alias("best"),
             F.count(F.lit(1)).alias("fits"),
         )
         .select(*by, "best.*", "fits")

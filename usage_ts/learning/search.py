@@ -68,7 +68,9 @@ def search(
     """Mean score over the folds of each trial, then a ``Best`` row per series.
 
     Every (series, trial, fold) is its own group of one job. ``objective`` is a
-    metric name or a column over the metrics table; least is best.
+    metric name or a column over the metrics table; least is best. Scores that
+    differ only beyond single precision tie, and the earlier trial wins, so that
+    the order of summation does not pick the winner.
     """
     options = F.array(*[F.lit(FC.params_json(model, t)) for t in trials])
     chained = series.cv_folds(df, quantiles, folds, by, ds).select(
@@ -86,7 +88,7 @@ def search(
     best = (
         scores.filter(F.col("score").isNotNull())
         .groupBy(*by)
-        .agg(F.min_by(F.struct("score", FC.PARAMS), F.struct("score", "trial")).alias("b"))
+        .agg(F.min_by(F.struct("score", FC.PARAMS), F.struct(F.col("score").cast("float"), "trial")).alias("b"))
         .select(*by, F.lit("Best").alias("trial"), "b.*")
     )
     return scores.withColumn("trial", F.col("trial").cast("string")).unionByName(best)
