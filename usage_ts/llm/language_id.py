@@ -114,34 +114,51 @@ def learn(docs: DataFrame) -> Filters:
     return Filters(names, {x: found.loc[found["lang"] == x, "grp"].to_numpy(np.int64) for x in names})
 
 
+def _predict(filters: Filters, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text, in groups of bounded size."""
+    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    at, held = [], 0
+
+    def flush() -> None:
+        if at and filters.names:
+            shares = filters.shares([texts[i] for i in at])
+            for i, k, s in zip(at, shares.argmax(axis=1).tolist(), shares.max(axis=1).tolist(), strict=True):
+                names[i], scores[i] = filters.names[k], s
+        at.clear()
+
+    for i, t in enumerate(texts):
+        if t and any(map(str.isalpha, t)):
+            at.append(i)
+            held += len(t)
+            if held >= TOGETHER:
+                flush()
+                held = 0
+    flush()
+    return names, scores
+
+
 def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
     """One row per document: ``doc_id, held_out, lang_pred, score``."""
     filters = filters or learn(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = _letters()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            at, group, held = [], [], 0
-
-            def flush(at: list[int], group: list[str], names: list[str] = names, scores: list[float] = scores) -> None:
-                if not group or not filters.names:
-                    return
-                shares = filters.shares(group)
-                for i, k, s in zip(at, shares.argmax(axis=1).tolist(), shares.max(axis=1).tolist(), strict=True):
-                    names[i], scores[i] = filters.names[k], s
-
-            for i, t in enumerate(texts):
-                if not t or not any(map(str.isalpha, t[:64])) and not letters[np.frombuffer(t.encode("utf-32-le"), "<u4")].any():
-                    continue
-                at.append(i), group.append(t)
-                held += len(t)
-                if held >= TOGETHER:
-                    flush(at, group)
-                    at, group, held = [], [], 0
-            flush(at, group)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            names, scores = _predict(filters, b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                ["doc_id", "held_out", "lang_pred", "score"],
+            )
 
     own = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, filters: Filters, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a language whose share is the threshold or more; all columns, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, scores = _predict(filters, b.column(b.schema.get_field_index("text")).to_pylist())
+            yield b.filter(pa.array([n != "und" and s >= threshold for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -171,3 +171,14 @@ def score(docs: DataFrame, model: Additive, threshold: float = 0.3) -> DataFrame
 
     own = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
     return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Additive, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text scores the threshold or more; all columns, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array(model.score(_matrix(texts)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     ("many_symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 15 * n_words"),
     ("endless", "n_words > 100000"),
@@ -45,37 +45,44 @@ def _repeated(places: str) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _fixed(df: DataFrame, **exprs: Column) -> DataFrame:
+    """``df`` with new columns that later steps and filters read as values, never as copied expressions.
+
+    A one-element generator does this: neither projections nor filters are moved through it.
+    """
+    made = F.explode(F.array(F.struct(*(e.alias(n) for n, e in exprs.items())))).alias("made")
+    return df.select("*", made).select(*df.columns, *(F.col(f"made.{n}").alias(n) for n in exprs))
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """``doc_id``, the measurements and ``failed`` (bit i set: rule i failed). No shuffle.
 
-    Arrays that later steps use several times are columns of their own, so none is computed twice. The
-    sort by fingerprint runs only for texts in which a window occurs again.
+    The sort by fingerprint runs only for texts in which a window occurs again.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    step = step.select(
-        "doc_id",
-        F.array_remove(F.split("text", _SPACE), "").alias("words"),
-        F.filter(F.split("text", "\n"), lambda line: line.rlike(_WORD)).alias("lines"),
-        (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-    )
+    step = _fixed(
+        step,
+        words=F.array_remove(F.split("text", _SPACE), ""),
+        lines=F.filter(F.split("text", "\n"), lambda line: line.rlike(_WORD)),
+        n_symbols=(F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long"),
+    ).drop("text")
     print_at = lambda i: F.xxhash64(*(F.get(F.col("words"), i + k) for k in range(WINDOW)))
-    step = step.select(
-        "doc_id",
-        "n_symbols",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), print_at)).alias("prints"),
-    )
+    step = _fixed(
+        step,
+        n_words=F.size("words").cast("long"),
+        word_chars=F.length(F.array_join("words", "")).cast("long"),
+        n_lines=F.size("lines").cast("long"),
+        n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        prints=F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), print_at)),
+    ).drop("words", "lines")
     again = F.size(F.array_distinct("prints")) < F.size("prints")
     pairs = F.array_sort(F.transform("prints", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    step = step.withColumn("pairs", F.when(again, pairs)).drop("prints")
+    step = _fixed(step, pairs=F.when(again, pairs)).drop("prints")
     same = lambda x, j: F.coalesce(F.get(F.col("pairs"), j)["h"] == x["h"], F.lit(False))
     places = F.transform("pairs", lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"]))
-    step = step.withColumn("places", F.array_sort(F.array_compact(places))).drop("pairs")
-    step = step.withColumn("n_repeat_words", F.coalesce(_repeated("places"), F.lit(0)).cast("long")).drop("places")
+    step = _fixed(step, places=F.array_sort(F.array_compact(places))).drop("pairs")
+    step = _fixed(step, n_repeat_words=F.coalesce(_repeated("places"), F.lit(0)).cast("long")).drop("places")
     bits = reduce(Column.__add__, (F.when(F.expr(rule), 1 << i).otherwise(0) for i, (_, rule) in enumerate(RULES)))
     return step.withColumn("failed", bits.cast("long"))
 
