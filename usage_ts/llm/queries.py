@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usage_ts.llm import language_id, packing, quality_gam, quality_rules, simhash, substring_dedup
+from usage_ts.llm import embedding_dedup, language_id, packing, quality_gam, quality_rules, simhash, substring_dedup, url_tree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, quality_gam.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_tree.judge(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(quality_rules.ledger(_table(spark, sf_dir, "documents")))
     return judged.select(
@@ -41,6 +45,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -51,8 +59,10 @@ QUERIES = {
         op1_simhash_near_dedup,
         op2_packing,
         op5_quality_classifier,
+        op6_url_filters,
         op7_quality_rules,
         op8_substring_dedup,
+        op9_embedding_near_dedup,
         op10_language_id,
     )
 }
