@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usage_ts.llm import embedding_dedup, language_id, packing, quality_gam, quality_rules, simhash, substring_dedup, url_tree
+from usage_ts.llm import (
+    embedding_dedup,
+    html_extract,
+    language_id,
+    packing,
+    quality_gam,
+    quality_rules,
+    sentencepiece_codec,
+    simhash,
+    substring_dedup,
+    url_tree,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +35,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    coded = sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_gam.score(docs, quality_gam.learn(docs, _table(spark, sf_dir, "labels")))
@@ -58,6 +81,8 @@ QUERIES = {
     for f in (
         op1_simhash_near_dedup,
         op2_packing,
+        op3_sentencepiece,
+        op4_html_extraction,
         op5_quality_classifier,
         op6_url_filters,
         op7_quality_rules,
