@@ -53,9 +53,10 @@ def filled_category(c: Column) -> Column:
 def daily_rate(quantity: Column, start: Column, end: Column) -> Column:
     """Quantity per day over an interval whose both ends count.
 
-    Fixed-point, so that sums are exact whatever the order of addition.
+    Fixed-point, so that sums are exact whatever the order of addition. A quantity
+    or rate beyond the type is null, and so is left out; it does not fail the job.
     """
-    return F.try_divide(quantity.cast(QUANTITY_TYPE), F.datediff(end, start) + 1).cast(RATE_TYPE)
+    return F.try_divide(quantity.try_cast(QUANTITY_TYPE), F.datediff(end, start) + 1).try_cast(RATE_TYPE)
 
 
 

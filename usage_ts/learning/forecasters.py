@@ -200,17 +200,22 @@ def select_order(
     by: Sequence[str] = KEYS,
     ds: str = "ds",
     value: str = "y",
+    decimals: int = 9,
 ) -> DataFrame:
-    """Fit every order of the grid to every series at once and keep the least AIC of each."""
+    """Fit every order of the grid to every series at once and keep the least AIC of each.
+
+    AICs equal to ``decimals`` places tie and the earlier order wins. ``fits`` counts the orders that
+    could be fitted; a series none fits keeps its row, with nulls and ``fits`` 0.
+    """
     trials = F.array(*[F.lit(params_json(model, g)) for g in grid])
     spread = df.select("*", F.posexplode(trials).alias("trial", PARAMS))
     fits = fit_models(spread, model, [*by, "trial"], ds, value)
+    order = F.when(F.col("aic").isNotNull(), F.struct(F.round("aic", decimals), "trial"))
     return (
-        fits.filter(F.col("aic").isNotNull())
-        .groupBy(*by)
+        fits.groupBy(*by)
         .agg(
-            F.min_by(F.struct(PARAMS, "aic", "coef"), F.struct(F.col("aic").cast("float"), "trial")).alias("best"),
-            F.count(F.lit(1)).alias("fits"),
+            F.min_by(F.struct(PARAMS, "aic", "coef"), order).alias("best"),
+            F.count("aic").alias("fits"),
         )
         .select(*by, "best.*", "fits")
     )

@@ -112,8 +112,9 @@ class Arma:
         begin = reach = max(ar, default=0)
         errors = np.zeros(len(w))
         if ma:
-            longest = min(max(ma[-1], reach) + 4, len(w) // 4)
-            if longest < 1:
+            # The order follows from the parameters alone, so that series of any length share one estimator.
+            longest = max(ma[-1], reach) + 4
+            if len(w) <= 2 * longest + 1:
                 return unfitted(y)
             errors = Arma.errors_of(w, longest)
             begin = max(begin, longest + ma[-1])

@@ -64,13 +64,15 @@ def search(
     by: Sequence[str] = KEYS,
     ds: str = "ds",
     value: str = "y",
+    decimals: int = 9,
 ) -> DataFrame:
     """Mean score over the folds of each trial, then a ``Best`` row per series.
 
     Every (series, trial, fold) is its own group of one job. ``objective`` is a
-    metric name or a column over the metrics table; least is best. Scores that
-    differ only beyond single precision tie, and the earlier trial wins, so that
-    the order of summation does not pick the winner.
+    metric name or a column over the metrics table; least is best. Scores equal to
+    ``decimals`` places tie, and the earlier trial wins, so that the order of
+    summation does not pick the winner. A series no trial could score has a
+    ``Best`` row of nulls.
     """
     options = F.array(*[F.lit(FC.params_json(model, t)) for t in trials])
     chained = series.cv_folds(df, quantiles, folds, by, ds).select(
@@ -85,10 +87,10 @@ def search(
         .agg(F.avg(score).alias("score"))
         .withColumn(FC.PARAMS, picked)
     )
+    order = F.when(F.col("score").isNotNull(), F.struct(F.round("score", decimals), "trial"))
     best = (
-        scores.filter(F.col("score").isNotNull())
-        .groupBy(*by)
-        .agg(F.min_by(F.struct("score", FC.PARAMS), F.struct(F.col("score").cast("float"), "trial")).alias("b"))
+        scores.groupBy(*by)
+        .agg(F.min_by(F.struct("score", FC.PARAMS), order).alias("b"))
         .select(*by, F.lit("Best").alias("trial"), "b.*")
     )
     return scores.withColumn("trial", F.col("trial").cast("string")).unionByName(best)

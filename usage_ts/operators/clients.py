@@ -33,8 +33,8 @@ def monthly_share(
     else:
         touches = (start <= hi) & (end >= lo)
     days = F.datediff(F.least(end, hi), F.greatest(start, lo))
-    part = F.try_divide(value.cast(QUANTITY_TYPE) * days, F.datediff(end, start))
-    return F.when(touches, part.cast(RATE_TYPE))
+    part = F.try_divide(value.try_cast(QUANTITY_TYPE) * days, F.datediff(end, start))
+    return F.when(touches, part.try_cast(RATE_TYPE))
 
 
 def client_profiles(

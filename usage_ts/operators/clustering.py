@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,6 +149,7 @@ class Clustering:
     numeric: list[str]
     categorical: list[str]
     costs: list[float] = field(default_factory=list)
+    converged: bool = True
 
     def assign(self, points: DataFrame) -> DataFrame:
         return assign(points, self.centroids, self.numeric, self.categorical, self.gamma)
@@ -160,17 +162,16 @@ def seed_centroids(
 
     A top-k query: every task keeps its k * runs smallest hashes.
     """
-    rows = (
-        points.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.col(key))
-        .select(*numeric, *categorical)
-        .limit(k * runs)
-        .collect()
-    )
-    starts = [Centroid([float(r[c]) for c in numeric], [r[c] for c in categorical]) for r in rows]
-    if len(starts) < k:
-        raise ValueError(f"{k} clusters need at least {k} points, found {len(starts)}")
-    runs = max(min(runs, len(starts) // k), 1)
-    return [starts[i * k : (i + 1) * k] for i in range(runs)]
+    def first(run: int) -> DataFrame:
+        order = [F.xxhash64(F.lit(seed + run), F.col(key).cast("string")), F.col(key)]
+        return points.orderBy(*order).limit(k).select(*numeric, *categorical, F.lit(run).alias("run"))
+
+    starts: list[list[Centroid]] = [[] for _ in range(runs)]
+    for r in reduce(DataFrame.unionByName, map(first, range(runs))).collect():
+        starts[r["run"]].append(Centroid([float(r[c]) for c in numeric], [r[c] for c in categorical]))
+    if len(starts[0]) < k:
+        raise ValueError(f"{k} clusters need at least {k} points, found {len(starts[0])}")
+    return starts
 
 
 def k_prototypes(
@@ -181,7 +182,7 @@ def k_prototypes(
     key: str = "account",
     gamma: float | None = None,
     runs: int = 1,
-    max_iter: int = 20,
+    max_iter: int | None = None,
     tolerance: float = 1e-6,
     seed: int = 0,
     starts: Sequence[Sequence[Centroid]] | None = None,
@@ -191,7 +192,7 @@ def k_prototypes(
     ``points`` should be scaled and persisted: it is read once for the start rows
     and twice per iteration. An empty cluster moves to the point farthest from
     its centroid. Stops when no run lowers its cost by more than ``tolerance``
-    of it.
+    of it, or after ``max_iter`` iterations if given; ``converged`` tells which.
     """
     numeric, categorical = list(numeric), list(categorical)
     if gamma is None:
@@ -201,7 +202,7 @@ def k_prototypes(
     width = max(1, CENTROIDS_PER_PASS // k)
     live, history, sizes = list(range(len(states))), [[] for _ in states], [[0] * k for _ in states]
     iterations = 0
-    while live and iterations < max_iter:
+    while live and (max_iter is None or iterations < max_iter):
         iterations += 1
         means: dict[tuple, object] = {}
         modes: dict[tuple, dict] = {}
@@ -231,12 +232,14 @@ def k_prototypes(
                     sizes[r][i] = row["size"]
             history[r].append(cost)
             settled = len(history[r]) > 1 and history[r][-2] - cost <= tolerance * max(cost, 1e-12)
-            if not settled or 0 in sizes[r]:
+            # An empty cluster gets two more rounds; with fewer different points than clusters it stays empty.
+            stuck = len(history[r]) > 2 and history[r][-3] - cost <= tolerance * max(cost, 1e-12)
+            if not settled or (0 in sizes[r] and not stuck):
                 still.append(r)
         live = still
     best = min(range(len(states)), key=lambda r: (history[r][-1], r))
     return Clustering(
-        states[best], sizes[best], history[best][-1], gamma, iterations, numeric, categorical, history[best]
+        states[best], sizes[best], history[best][-1], gamma, iterations, numeric, categorical, history[best], best not in live
     )
 
 

@@ -233,10 +233,10 @@ def moment_amounts(features: Sequence[str]) -> dict[str, Column]:
     """Count, sum and sum of squares of each attribute, as amounts for a running total."""
     amounts: dict[str, Column] = {}
     for f in features:
-        exact = F.col(f).cast(EXACT)
+        exact = F.col(f).try_cast(EXACT)
         amounts[f"_c_{f}"] = exact.isNotNull().cast("int")
         amounts[f"_s_{f}"] = F.coalesce(exact, F.lit(0).cast(EXACT))
-        amounts[f"_q_{f}"] = F.coalesce((exact * exact).cast(EXACT_SQUARE), F.lit(0).cast(EXACT_SQUARE))
+        amounts[f"_q_{f}"] = F.coalesce((exact * exact).try_cast(EXACT_SQUARE), F.lit(0).cast(EXACT_SQUARE))
     return amounts
 
 
@@ -269,7 +269,7 @@ def daily_context(
     """
     rate = C.daily_rate(F.col(value), F.col(start), F.col(end))
     amounts = {"consumption": F.coalesce(rate, F.lit(0))} | moment_amounts(numeric)
-    amounts |= {f"_f_{f}": F.coalesce(F.col(f).cast(EXACT), F.lit(0).cast(EXACT)) for f in flags}
+    amounts |= {f"_f_{f}": F.coalesce(F.col(f).try_cast(EXACT), F.lit(0).cast(EXACT)) for f in flags}
     days = running_totals(df, by, amounts, start, end, day, first_day)
     return days.select(
         *by,
@@ -291,7 +291,7 @@ def boolean_share(
     first_day=None,
 ) -> DataFrame:
     """A4: share of active records on which each 0/1 attribute is set."""
-    amounts = {f: F.coalesce(F.col(f).cast(EXACT), F.lit(0).cast(EXACT)) for f in flags}
+    amounts = {f: F.coalesce(F.col(f).try_cast(EXACT), F.lit(0).cast(EXACT)) for f in flags}
     days = running_totals(df, by, amounts, start, end, day, first_day).filter("n > 0")
     return days.select(
         *by, day, "n", *[(F.col(f).cast("double") / F.col("n")).alias(f) for f in flags]

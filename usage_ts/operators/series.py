@@ -300,4 +300,4 @@ def look_back_cut(old: DataFrame, start: str = "start_d", days: int = 183) -> dt
 def replace_tail(old: DataFrame, new: DataFrame, cut, ds: str = "ds") -> DataFrame:
     """Rows of ``old`` before ``cut``, rows of ``new`` from it on, in the old schema."""
     cut = F.lit(cut).cast("date")
-    return old.filter(F.col(ds) < cut).unionByName(new.filter(F.col(ds) >= cut).select(old.columns))
+    return old.filter(F.col(ds) < cut).unionByName(new.filter(F.col(ds) >= cut).select([F.col(f"`{c}`") for c in old.columns]))

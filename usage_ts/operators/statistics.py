@@ -122,22 +122,23 @@ def feature_histograms(df: DataFrame, features: Sequence[str], bins: int = 30) -
 
 
 def density(
-    bins: DataFrame, by: Sequence[str], lo: float, width: float, bandwidth: float, reach: float = 4.0
+    bins: DataFrame, by: Sequence[str], lo: float, width: float, bandwidth: float, margin: float = 4.0
 ) -> DataFrame:
     """Gaussian density at the bin centres from a histogram.
 
-    Each bin spreads to the centres within ``reach`` bandwidths; work grows
-    with the number of bins, not of values.
+    The grid reaches ``margin`` bandwidths beyond a group's first and last bin, and
+    every bin counts at every place of it: work grows with the square of the number
+    of bins, not with the values.
     """
-    span = math.ceil(reach * bandwidth / width)
-    spread = bins.withColumn("at", F.explode(F.sequence(F.col("bin") - span, F.col("bin") + span)))
-    u = (F.col("at") - F.col("bin")) * (width / bandwidth)
-    total = bins.groupBy(*by).agg(F.sum("n").alias("_total"))
-    sums = spread.groupBy(*by, "at").agg(F.sum(F.col("n") * F.exp(u * u * -0.5)).alias("_k"))
-    joined = sums.join(total, [*by]) if by else sums.withColumn("_total", F.lit(bins.agg(F.sum("n")).first()[0]))
+    span = math.ceil(margin * bandwidth / width)
+    places = F.sequence(F.min("bin") - span, F.max("bin") + span).alias("_grid")
+    groups = bins.groupBy(*by).agg(places, F.sum("n").alias("_total"), F.collect_list(F.struct("bin", "n")).alias("_bins"))
+    u = lambda at, b: (at - b["bin"]) * (width / bandwidth)
+    at = groups.select(*by, F.explode("_grid").alias("at"), "_total", "_bins")
+    kernel = F.aggregate("_bins", F.lit(0.0), lambda k, b: k + b["n"] * F.exp(u(F.col("at"), b) * u(F.col("at"), b) * -0.5))
     norm = bandwidth * math.sqrt(2 * math.pi)
-    return joined.select(
+    return at.select(
         *by,
         ((F.col("at") + 0.5) * width + lo).alias("x"),
-        (F.col("_k") / (F.col("_total") * norm)).alias("density"),
+        (kernel / (F.col("_total") * norm)).alias("density"),
     )

@@ -100,9 +100,9 @@ SELECT feature, CAST(bin AS BIGINT) AS bin, round(lo, 6) AS lo, round(width, 9)
 FROM b GROUP BY feature, bin, lo, width""",
     "distribution_density": f"""WITH {P},
 h AS (SELECT rate_class, CAST(floor({RECENT} / {WIDTH}) AS BIGINT) AS bin, count(*) AS n FROM profiles GROUP BY 1, 2),
-t AS (SELECT rate_class, sum(n) AS total FROM h GROUP BY 1),
-g AS (SELECT rate_class, n, bin, unnest(range(bin - {SPAN}, bin + {SPAN} + 1)) AS pos FROM h)
+t AS (SELECT rate_class, sum(n) AS total, unnest(range(min(bin) - {SPAN}, max(bin) + {SPAN} + 1)) AS pos FROM h GROUP BY 1),
+g AS (SELECT rate_class, n, bin, pos, total FROM h JOIN t USING (rate_class))
 SELECT rate_class, CAST((pos + 0.5) * {WIDTH} AS DOUBLE) AS x,
        round(sum(n * exp(-0.5 * pow((pos - bin) * {WIDTH} / {BANDWIDTH}, 2))) / (any_value(total) * {BANDWIDTH} * sqrt(2 * pi())), 9) AS density
-FROM g JOIN t USING (rate_class) GROUP BY rate_class, pos""",
+FROM g GROUP BY rate_class, pos""",
 }

@@ -258,7 +258,8 @@ m AS (SELECT series_key, fold, avg(abs(gt - walk)) AS a, avg(abs(gt - forecast))
 t AS (SELECT series_key, '0' AS trial, 0 AS p, avg(a) AS score FROM m GROUP BY series_key
       UNION ALL SELECT series_key, '1', 1, avg(b) FROM m GROUP BY series_key),
 u AS (SELECT * FROM t UNION ALL
-      SELECT series_key, 'Best', arg_min(p, score), min(score) FROM t GROUP BY series_key)
+      SELECT series_key, 'Best', arg_min(p, struct_pack(score := round(score, 9), trial := p)), arg_min(score, struct_pack(score := round(score, 9), trial := p))
+      FROM t GROUP BY series_key)
 SELECT series_key, trial, CAST(p AS INTEGER) AS p, round(score, 5) AS score FROM u"""
 
 ORDER_SQL = f"""WITH {_diff('TRUE')},
@@ -268,7 +269,7 @@ b2 AS (SELECT series_key, (v2 * y1 - v12 * y2) / (v1 * v2 - v12 * v12) AS p1,
          (v1 * y2 - v12 * y1) / (v1 * v2 - v12 * v12) AS p2 FROM s2),
 ar2 AS (SELECT x.series_key, count(*) * ln(sum(pow(d - p1 * d1 - p2 * d2, 2)) / count(*)) + 6 AS aic
         FROM x JOIN b2 USING (series_key) WHERE d2 IS NOT NULL GROUP BY x.series_key)
-SELECT series_key, CAST(CASE WHEN ar1.aic <= ar2.aic THEN 1 ELSE 2 END AS INTEGER) AS p,
+SELECT series_key, CAST(CASE WHEN round(ar1.aic, 9) <= round(ar2.aic, 9) THEN 1 ELSE 2 END AS INTEGER) AS p,
        round(least(ar1.aic, ar2.aic), 4) AS aic, CAST(2 AS BIGINT) AS fits
 FROM ar1 JOIN ar2 USING (series_key)"""
 

@@ -72,7 +72,12 @@ def daily_table(
             values[r.feature].append(r.value)
         wide = intervals.pivot_fractions(fractions, values, by)
         shares = [f"{f}_{v}" for f, vs in values.items() for v in vs]
-        table = table.join(wide, [*by, "d"], "left").fillna(0.0, subset=shares)
+        joined = table.join(wide, [*by, "d"], "left")
+        # A category value may hold a dot, so names are quoted.
+        quoted = {c: F.col(f"`{c}`") for c in joined.columns}
+        table = joined.select(
+            *[F.coalesce(q, F.lit(0.0)).alias(c) if c in set(shares) else q for c, q in quoted.items()]
+        )
     return series.drop_ranges(table.drop("n"), layout.missing_ranges, "d")
 
 

@@ -29,11 +29,10 @@ class Layout:
     not_clustered: tuple[str, ...] = (
         "RATE_CLASS", "NOM", "REDUC_FAC", "SSF", "W_HEC_AF", "RES_LDM", "RES_MDM", "RES_HR",
     )
-    missing_ranges: tuple[tuple[str, str], ...] = (
-        ("2014-03-01", "2014-09-30"), ("2017-03-25", "2017-05-31"), ("2021-09-02", "2021-11-17"),
-    )
-    start_trim: int = 242
-    end_trim: int = 50
+    # Days without data and days to cut at either end depend on the owner of the data: none by default.
+    missing_ranges: tuple[tuple[str, str], ...] = ()
+    start_trim: int = 0
+    end_trim: int = 0
     retention_years: int = 5
     look_back_days: int = 183
     key: tuple[str, ...] = field(default=("CONTRACT_ACCOUNT", "EFFECTIVE_DATE", "END_DATE"))
