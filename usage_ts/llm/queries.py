@@ -91,4 +91,36 @@ QUERIES = {
         op10_language_id,
     )
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+e AS (SELECT rid, doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w)"""
+
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": _WORDS
+    + r""",
+g AS (SELECT rid, i, x || ' ' || lead(x, 1) OVER v || ' ' || lead(x, 2) OVER v || ' ' || lead(x, 3) OVER v || ' ' || lead(x, 4) OVER v AS five
+      FROM e WINDOW v AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, i FROM g WHERE five IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, five) > 1),
+c AS (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) - i AS gap FROM r),
+n AS (SELECT rid, CAST(sum(least(5, coalesce(gap, 5))) AS BIGINT) AS rep FROM c GROUP BY rid),
+m AS (SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM w),
+a AS (SELECT m.*, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep, 0) AS n_repeat_words
+      FROM m LEFT JOIN n USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * len(ls))
+       OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR n_words > 100000) AS kept
+FROM b""",
+    "op8_substring_dedup": _WORDS
+    + r""",
+g AS (SELECT rid, doc_id, i, string_agg(x, ' ') OVER v AS span, count(*) OVER v AS n
+      FROM e WINDOW v AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+h AS (SELECT rid, i FROM g WHERE n = 50 QUALIFY doc_id > min(doc_id) OVER (PARTITION BY span)),
+k AS (SELECT e.rid, e.i, e.x, max(h.i) OVER (PARTITION BY e.rid ORDER BY e.i) AS last FROM e LEFT JOIN h ON h.rid = e.rid AND h.i = e.i),
+s AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY i) FILTER (WHERE last IS NULL OR i - last >= 50) AS kept,
+        count(*) FILTER (WHERE i - last < 50) AS gone FROM k GROUP BY rid)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (rid)""",
+}
