@@ -81,6 +81,35 @@ def test_empty_cluster_is_reseeded(points):
     assert min(found.sizes) > 0
 
 
+def test_cost_and_sizes_are_those_of_the_returned_centroids(points):
+    for limit in (2, None):
+        found = CL.k_prototypes(points, 8, NUM, CAT, runs=3, max_iter=limit)
+        rows = found.assign(points).groupBy("label").agg(F.count("*").alias("n"), F.sum("cost").alias("cost")).collect()
+        assert sum(r.cost for r in rows) == pytest.approx(found.cost)
+        assert {r.label: r.n for r in rows} == {i: n for i, n in enumerate(found.sizes) if n}
+        assert found.converged == (limit is None)
+
+
+def test_settled_centroids_are_a_fixed_point(points):
+    found = CL.k_prototypes(points, 4, NUM, CAT, tolerance=1e-12)
+    labelled = found.assign(points)
+    for r in CL.numeric_update(labelled, ["label"], NUM).collect():
+        assert [r[c] for c in NUM] == pytest.approx(found.centroids[r.label].numeric)
+    for r in CL.category_update(labelled, ["label"], CAT).collect():
+        assert found.centroids[r.label].categorical[CAT.index(r.feature)] == r.value
+
+
+def test_runs_may_share_start_rows(points):
+    few = points.orderBy("account").limit(9)
+    assert len(CL.seed_centroids(few, 4, 15, NUM, CAT, "account", 0)) == 15
+
+
+def test_null_categories_and_no_categories(spark):
+    df = spark.createDataFrame([(i, float(i % 2), None if i % 2 else "a") for i in range(20)], "account int, x double, c string")
+    assert sorted(CL.k_prototypes(df, 2, ["x"], ["c"], runs=4).sizes) == [10, 10]
+    assert sorted(CL.k_prototypes(df, 2, ["x"], [], runs=4).sizes) == [10, 10]
+
+
 def test_too_few_points(points):
     with pytest.raises(ValueError):
         CL.k_prototypes(points.limit(2), 3, NUM, CAT)

@@ -1,9 +1,9 @@
 """Clusters of mixed numeric and categorical profiles.
 
-Scaled points live in one persisted table. An iteration is one aggregation of
-it: centroids are few and enter as literals, so assignment is a column
-expression and nothing is joined; the update is pre-aggregated and returns one
-row per cluster and feature. Restarts advance together, several in one pass.
+Scaled points live in one persisted table. An iteration is one scan of it for
+all runs and all k: tasks sum what each batch of points adds to every cluster,
+the sums are aggregated, and one row per cluster and feature comes back. Nothing
+is joined. Labels of the result are a column expression with literal centroids.
 
 The silhouette is exact and linear: the mean squared distance from a point to a
 cluster follows from the cluster's size, sum and sum of squares, and the mean
@@ -14,10 +14,12 @@ no sample is taken.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +28,6 @@ from usage_ts.functions import mixed
 # Fixed value: gamma is half the mean deviation of the numeric features.
 GAMMA_SHARE = 0.5
 
-# Centroids handled by one generated function; more would make it too long to be compiled well.
-CENTROIDS_PER_PASS = 16
-
 
 @dataclass(frozen=True)
 class Scaler:
@@ -187,80 +186,146 @@ def k_prototypes(
     seed: int = 0,
     starts: Sequence[Sequence[Centroid]] | None = None,
 ) -> Clustering:
-    """Alternate assignment and update from ``runs`` starts, keep the cheapest result.
+    """Alternate assignment and update from ``runs`` starts, keep the cheapest result."""
+    states = starts or seed_centroids(points, k, runs, numeric, categorical, key, seed)
+    if gamma is None:
+        gamma = default_gamma(points, numeric)
+    return _cheapest(k_prototypes_runs(points, states, numeric, categorical, gamma, max_iter, tolerance))
+
+
+def _cheapest(found: Sequence[Clustering]) -> Clustering:
+    return min(found, key=lambda f: f.cost)
+
+
+def k_prototypes_runs(
+    points: DataFrame,
+    starts: Sequence[Sequence[Centroid]],
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    gamma: float,
+    max_iter: int | None = None,
+    tolerance: float = 1e-6,
+) -> list[Clustering]:
+    """M15 from every start, which may differ in their number of centroids.
 
-    ``points`` should be scaled and persisted: it is read once for the start rows
-    and twice per iteration. An empty cluster moves to the point farthest from
-    its centroid. Stops when no run lowers its cost by more than ``tolerance``
+    ``points`` should be scaled and persisted. An iteration is one job for all
+    runs that are not settled. An empty cluster moves to the point farthest from
+    its centroid. A run stops when its cost falls by no more than ``tolerance``
     of it, or after ``max_iter`` iterations if given; ``converged`` tells which.
+    Cost and sizes are those of the returned centroids.
     """
     numeric, categorical = list(numeric), list(categorical)
-    if gamma is None:
-        gamma = default_gamma(points, numeric)
-    states = [list(s) for s in (starts or seed_centroids(points, k, runs, numeric, categorical, key, seed))]
     ready = filled(points, numeric, categorical)
-    width = max(1, CENTROIDS_PER_PASS // k)
-    live, history, sizes = list(range(len(states))), [[] for _ in states], [[0] * k for _ in states]
-    iterations = 0
-    while live and (max_iter is None or iterations < max_iter):
-        iterations += 1
-        means: dict[tuple, object] = {}
-        modes: dict[tuple, dict] = {}
-        farthest: dict[int, list[Centroid]] = {}
-        for at in range(0, len(live), width):
-            batch = live[at : at + width]
-            picks = ", ".join(
-                f"named_struct('run', {r}, 'best', {nearest(states[r], numeric, categorical, gamma)})" for r in batch
-            )
-            labelled = ready.select(*numeric, *categorical, F.expr(f"inline(array({picks}))")).select(
-                *numeric, *categorical, "run", F.col("best.label").alias("label"), _cost("best.score", numeric)
-            )
-            _collect_update(labelled, numeric, categorical, means, modes)
-            farthest |= _farthest(labelled, numeric, categorical, batch, k, means)
-        still = []
+    found = [Clustering(list(s), [0] * len(s), math.inf, gamma, 0, numeric, categorical, [], False) for s in starts]
+    live = list(range(len(found)))
+    while live and (max_iter is None or found[live[0]].iterations < max_iter):
+        means, modes = _updates(ready, found, live)
+        moves = {}
         for r in live:
-            cost = sum(m["cost"] for (run, _), m in means.items() if run == r)
-            for i in range(k):
-                row = means.get((r, i))
-                if row is None:
-                    states[r][i] = farthest[r].pop(0) if farthest.get(r) else states[r][i]
-                    sizes[r][i] = 0
-                else:
-                    states[r][i] = Centroid(
-                        [float(row[c]) for c in numeric], [modes[(r, i)][c] for c in categorical] if categorical else []
-                    )
-                    sizes[r][i] = row["size"]
-            history[r].append(cost)
-            settled = len(history[r]) > 1 and history[r][-2] - cost <= tolerance * max(cost, 1e-12)
+            run = found[r]
+            run.iterations += 1
+            run.sizes = [means[r, i]["size"] if (r, i) in means else 0 for i in range(len(run.sizes))]
+            run.cost = sum(means[r, i]["cost"] for i, n in enumerate(run.sizes) if n)
+            run.costs.append(run.cost)
+            slack = tolerance * max(run.cost, 1e-12)
             # An empty cluster gets two more rounds; with fewer different points than clusters it stays empty.
-            stuck = len(history[r]) > 2 and history[r][-3] - cost <= tolerance * max(cost, 1e-12)
-            if not settled or (0 in sizes[r] and not stuck):
-                still.append(r)
-        live = still
-    best = min(range(len(states)), key=lambda r: (history[r][-1], r))
-    return Clustering(
-        states[best], sizes[best], history[best][-1], gamma, iterations, numeric, categorical, history[best], best not in live
+            back = 2 if 0 in run.sizes else 1
+            run.converged = len(run.costs) > back and run.costs[-1 - back] - run.cost <= slack
+            if not run.converged and run.iterations != max_iter:
+                moves[r] = run
+        live = list(moves)
+        far = _farthest(ready, [r for r in live if 0 in found[r].sizes], found)
+        for r, run in moves.items():
+            for i, n in enumerate(run.sizes):
+                if n:
+                    chosen = [modes[r, i][c] for c in categorical]
+                    run.centroids[i] = Centroid([float(means[r, i][c]) for c in numeric], chosen)
+                elif far.get(r):
+                    run.centroids[i] = far[r].pop(0)
+    return found
+
+
+def _partial_sums(found: Sequence[Clustering], live: Sequence[int]):
+    """Sizes, costs, sums and category counts of one batch of points under every live run.
+
+    The distances of a batch to all centroids are one matrix product, so a pass serves any number of
+    runs; a generated expression would have to be compiled anew for every iteration and run.
+    """
+    numeric, categorical, gamma = found[0].numeric, found[0].categorical, found[0].gamma
+    cells = [c for r in live for c in found[r].centroids]
+    centers = np.array([c.numeric for c in cells], float).reshape(len(cells), len(numeric))
+    picks = [np.array([_as_text(c.categorical[j]) for c in cells], object) for j in range(len(categorical))]
+    widths = [(r, len(found[r].centroids)) for r in live]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.array([c.to_numpy(zero_copy_only=False) for c in b.columns[: len(numeric)]]).reshape(len(numeric), -1)
+            squares = (x * x).sum(axis=0) if len(numeric) else np.zeros(b.num_rows)
+            far = squares[:, None] - 2 * (x.T @ centers.T) + (centers * centers).sum(axis=1)
+            coded = []
+            for j in range(len(categorical)):
+                column = b.column(len(numeric) + j).dictionary_encode(null_encoding="encode")
+                codes, values = column.indices.to_numpy(), np.array(column.dictionary.to_pylist(), object)
+                far += gamma * (values[:, None] != picks[j][None, :]).astype(float)[codes]
+                coded.append((codes, values))
+            rows, at = [], 0
+            for r, k in widths:
+                own = far[:, at : at + k]
+                at += k
+                label = own.argmin(axis=1)
+                size = np.bincount(label, minlength=k)
+                cost = np.bincount(label, np.maximum(own.min(axis=1), 0), k)
+                sums = [np.bincount(label, v, k) for v in x]
+                rows += [(r, i, None, None, int(size[i]), cost[i], *(v[i] for v in sums)) for i in np.flatnonzero(size).tolist()]
+                for name, (codes, values) in zip(categorical, coded, strict=True):
+                    counts = np.bincount(label * len(values) + codes, minlength=k * len(values))
+                    rows += [
+                        (r, p // len(values), name, values[p % len(values)], int(counts[p]), *[0.0] * (1 + len(numeric)))
+                        for p in np.flatnonzero(counts).tolist()
+                    ]
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), *[pa.float64()] * (1 + len(numeric))]
+            names = ["run", "label", "feature", "value", "n", "cost", *(f"s{i}" for i in range(len(numeric)))]
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return run
+
+
+def _as_text(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def _updates(ready: DataFrame, found: Sequence[Clustering], live: Sequence[int]) -> tuple[dict, dict]:
+    """New means and modes of every run by one job: clusters x (1 + categories) rows reach the driver."""
+    numeric = found[0].numeric
+    sums = ["cost", *(f"s{i}" for i in range(len(numeric)))]
+    schema = "run int, label int, feature string, value string, n long, " + ", ".join(f"{c} double" for c in sums)
+    counted = ready.mapInArrow(_partial_sums(found, live), schema).groupBy("run", "label", "feature", "value")
+    counted = counted.agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    best = counted.groupBy("run", "label", "feature").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"), *(F.sum(c).alias(c) for c in ["n", *sums])
     )
+    means, modes = {}, {}
+    for r in best.collect():
+        of = r["run"], r["label"]
+        if r["feature"] is None:
+            means[of] = {"size": r["n"], "cost": r["cost"], **{c: r[f"s{i}"] / r["n"] for i, c in enumerate(numeric)}}
+        else:
+            modes.setdefault(of, {})[r["feature"]] = r["value"]
+    return means, modes
 
 
-def _collect_update(labelled, numeric, categorical, means, modes) -> None:
-    """New centroids of every run: at most clusters x features rows reach the driver."""
-    by = ["run", "label"]
-    means |= {(r["run"], r["label"]): r for r in numeric_update(labelled, by, numeric).collect()}
-    if categorical:
-        for r in category_update(labelled, by, categorical).collect():
-            modes.setdefault((r["run"], r["label"]), {})[r["feature"]] = r["value"]
-
-
-def _farthest(labelled, numeric, categorical, live, k, means) -> dict[int, list[Centroid]]:
+def _farthest(ready: DataFrame, short: Sequence[int], found: Sequence[Clustering]) -> dict[int, list[Centroid]]:
     """Points farthest from their centroid, for runs that lost a cluster (at most k per run)."""
-    short = [r for r in live if any((r, i) not in means for i in range(k))]
     out: dict[int, list[Centroid]] = {}
     for r in short:
+        numeric, categorical = found[r].numeric, found[r].categorical
         rows = (
-            labelled.filter(F.col("run") == r)
+            found[r].assign(ready)
             .orderBy(F.col("cost").desc(), *numeric, *categorical)
-            .limit(k)
+            .limit(len(found[r].centroids))
             .collect()
         )
         out[r] = [Centroid([float(x[c]) for c in numeric], [x[c] for c in categorical]) for x in rows]
@@ -381,15 +446,16 @@ def best_k(
 ) -> DataFrame:
     """(k, clusters, cost, silhouette, is_best) for each k; one-cluster results score null.
 
-    Only one score per k comes back to the driver.
+    All starts of all k share the jobs of an iteration. Only one score per k comes back to the driver.
     """
     spark = points.sparkSession
+    runs, seed = options.pop("runs", 1), options.pop("seed", 0)
     gamma = options.pop("gamma", None) or default_gamma(points, numeric)
+    of = {k: (starts or {}).get(k) or seed_centroids(points, k, runs, numeric, categorical, key, seed) for k in ks}
+    every = iter(k_prototypes_runs(points, [s for k in ks for s in of[k]], numeric, categorical, gamma, **options))
     rows = []
     for k in ks:
-        found = k_prototypes(
-            points, k, numeric, categorical, key, gamma=gamma, starts=(starts or {}).get(k), **options
-        )
+        found = _cheapest([next(every) for _ in of[k]])
         labelled = found.assign(points)
         filled = sum(1 for s in found.sizes if s)
         score = None
