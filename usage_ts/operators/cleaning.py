@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usage_ts.functions import columns as C
+from usage_ts.operators import joins
 
 
 def clean_records(
@@ -88,7 +89,7 @@ def encode(df: DataFrame, codes: DataFrame, feature: str, output: str) -> DataFr
     mapping = codes.filter(F.col("feature") == feature).select(
         F.col("value").alias(feature), F.col("code").alias(output)
     )
-    return df.join(mapping, feature, "left")
+    return joins.salted(df, mapping, [feature], "left")
 
 
 def decode(df: DataFrame, codes: DataFrame, feature: str, code: str) -> DataFrame:
@@ -96,6 +97,6 @@ def decode(df: DataFrame, codes: DataFrame, feature: str, code: str) -> DataFram
     mapping = codes.filter(F.col("feature") == feature).select(
         F.col("code").alias(code), F.col("value").alias(feature)
     )
-    return df.join(mapping, code, "left").drop(code)
+    return joins.salted(df, mapping, [code], "left").drop(code)
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usage_ts.functions import mixed
+from usage_ts.operators import joins
 
 # Fixed value: gamma is half the mean deviation of the numeric features.
 GAMMA_SHARE = 0.5
@@ -387,17 +388,17 @@ def silhouette_rows(
 ) -> DataFrame:
     """A (mean distance inside), b (least mean distance outside) and score of every point.
 
-    Category counts per cluster come by one equi-join per categorical feature
+    Category counts per cluster come by one salted join per categorical feature
     with a table of its distinct values; Catalyst broadcasts it while it is small.
     """
     totals = _cluster_totals(labelled, numeric, label)
     labels = sorted(totals)
     out = labelled
     for i, c in enumerate(categorical):
-        same = labelled.groupBy(F.col(c).alias(f"_v{i}")).agg(
+        same = labelled.groupBy(c).agg(
             *[F.count_if(F.col(label) == g).cast("double").alias(f"_same{i}_{g}") for g in labels]
         )
-        out = out.join(same, F.col(c).eqNullSafe(F.col(f"_v{i}"))).drop(f"_v{i}")
+        out = joins.salted(out, same, [c], null_safe=True)
     norm = mixed.squared_norm([mixed.name(c) for c in numeric])
     out = out.withColumn("_norm", F.expr(norm))
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usage_ts.functions import columns as C
+from usage_ts.operators import joins
 
 EXACT = "decimal(20,8)"
 EXACT_SQUARE = "decimal(38,13)"
@@ -349,18 +350,19 @@ def active_on(
 
     Dates and intervals are cut into stretches of ``span`` days, which makes an
     equi-join of what would be a comparison of every record with every date.
-    ``dates`` must hold distinct dates. A stretch that holds many records is
-    left to the skew handling of adaptive execution.
+    ``dates`` must hold distinct dates. All records lie on few stretches, so they
+    are salted unless the dates are few enough to be broadcast.
     """
 
     def stretch(c):
         return F.floor(F.unix_date(c) / span)
 
     keyed = dates.withColumn("_stretch", stretch(F.col(date)))
+    spans = _valid(df, start, end).withColumn(
+        "_stretch", F.explode(F.sequence(stretch(F.col(start)), stretch(F.col(end))))
+    )
     return (
-        _valid(df, start, end)
-        .withColumn("_stretch", F.explode(F.sequence(stretch(F.col(start)), stretch(F.col(end)))))
-        .join(keyed, "_stretch")
+        joins.salted(spans, keyed, ["_stretch"])
         .filter(F.col(date).between(F.col(start), F.col(end)))
         .drop("_stretch")
     )

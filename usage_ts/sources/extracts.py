@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from usage_ts.operators import joins
+
 SOURCE = "source_file"
 
 # How the extracts are written.
@@ -93,8 +95,8 @@ def of_rate_class(
     """Rows of one class; ``all`` means no filter.
 
     With ``compat`` a source that has no row of the class contributes all its
-    rows. That needs one flag per source, pre-aggregated and joined back; the
-    flag table has one row per file and Catalyst decides how to ship it.
+    rows. That needs one flag per source, pre-aggregated and joined back; rows
+    are salted, as one file may hold most of them.
     """
     if rate_class.lower() == "all":
         return df
@@ -105,7 +107,7 @@ def of_rate_class(
         F.max(F.coalesce(wanted, F.lit(False))).alias("_has_class")
     )
     return (
-        df.join(has_class, source)
+        joins.salted(df, has_class, [source])
         .filter(wanted | ~F.col("_has_class"))
         .drop("_has_class")
     )
