@@ -10,12 +10,8 @@ from usage_ts.plans.ingest import profiles, profiles_cte
 
 NUMERIC = ["num_a", "num_b", *[f"cons_{m}m_ago" for m in range(12)]]
 CATEGORICAL = ["cat_a", "cat_b", "flag_raw"]
-K, GAMMA = 4, 0.5
-#: Stops when nothing but the order of summation still moves the cost.
-SETTLED = 1e-12
-SWEEP = tuple(range(3, 13))
-#: Alternations in the twins; more than the queries need on the test tables, and nothing moves after the last.
-ROUNDS = 60
+K, ITERATIONS, GAMMA = 4, 3, 0.5
+SWEEP = (2, 3, 4)
 
 
 def scaled_profiles(spark, sf):
@@ -35,7 +31,8 @@ def first_accounts(points, k):
 def clustered(spark, sf, k=K):
     p, scaler, points = scaled_profiles(spark, sf)
     found = CL.k_prototypes(
-        points, k, NUMERIC, CATEGORICAL, gamma=GAMMA, tolerance=SETTLED, starts=[first_accounts(points, k)]
+        points, k, NUMERIC, CATEGORICAL, gamma=GAMMA, max_iter=ITERATIONS + 1, tolerance=-1.0,
+        starts=[first_accounts(points, k)],
     )
     return p, scaler, points, found
 
@@ -63,17 +60,12 @@ def centroid_update(spark, sf):
     return numbers.unionByName(modes.withColumn("mean", F.lit(None).cast("double")))
 
 
-def _final_labels(spark, sf):
-    _, _, points, found = clustered(spark, sf)
-    return found.assign(points)
-
-
 def cluster_shares(spark, sf):
-    return CL.cluster_shares(_final_labels(spark, sf)).select("label", "n", F.round("percent", 6).alias("percent"))
+    return CL.cluster_shares(_start_labels(spark, sf)).select("label", "n", F.round("percent", 6).alias("percent"))
 
 
 def silhouette(spark, sf):
-    labelled = _final_labels(spark, sf)
+    labelled = _start_labels(spark, sf)
     rows = CL.silhouette_rows(labelled, NUMERIC, CATEGORICAL, GAMMA)
     return rows.select("account", "label", *[F.round(c, 6).alias(c) for c in ("a", "b", "silhouette")])
 
@@ -90,7 +82,7 @@ def kprototypes(spark, sf):
 def kprototypes_restarts(spark, sf):
     """Three seeded starts to convergence; the cost of the winner per iteration."""
     _, _, points = scaled_profiles(spark, sf)
-    found = CL.k_prototypes(points, K, NUMERIC, CATEGORICAL, runs=3, seed=3)
+    found = CL.k_prototypes(points, K, NUMERIC, CATEGORICAL, runs=3, max_iter=15, seed=3)
     rows = [(i, float(c)) for i, c in enumerate(found.costs)]
     return spark.createDataFrame(rows, "iteration int, cost double")
 
@@ -113,7 +105,9 @@ def centroid_report(spark, sf):
 def best_k(spark, sf):
     _, _, points = scaled_profiles(spark, sf)
     starts = {k: [first_accounts(points, k)] for k in SWEEP}
-    table = CL.best_k(points, SWEEP, NUMERIC, CATEGORICAL, gamma=GAMMA, tolerance=SETTLED, starts=starts)
+    table = CL.best_k(
+        points, SWEEP, NUMERIC, CATEGORICAL, gamma=GAMMA, max_iter=ITERATIONS + 1, tolerance=-1.0, starts=starts
+    )
     return table.select("k", "clusters", F.round("silhouette", 6).alias("silhouette"), "is_best")
 
 
@@ -162,25 +156,12 @@ def _update(tag: str, i: int) -> str:
   FROM (SELECT label, {means} FROM l{tag}_{i} GROUP BY label) a {joins})"""
 
 
-def _mode_of(col: str) -> str:
-    """Most frequent value, the smaller one on a tie."""
-    return f"list_extract(map_keys(histogram({col})), list_position(map_values(histogram({col})), list_max(map_values(histogram({col})))))"
-
-
-def settled_ctes(ks: tuple[int, ...] = (K,)) -> str:
-    """Clusterings of each k after ROUNDS alternations: ``lab`` (k, account, label) and ``cen`` (k, label, ...)."""
-    cols = ", ".join([*NS, *CS])
-    means = ", ".join([*[f"avg({n}) AS {n}" for n in NS], *[f"{_mode_of(c)} AS {c}" for c in CS]])
-    best = f"row_number() OVER (PARTITION BY s.k, p.account ORDER BY {_distance('p', 's')}, s.label) AS pick"
-    return f"""ks AS (SELECT unnest([{', '.join(map(str, ks))}]) AS k),
-first AS (SELECT CAST(row_number() OVER (ORDER BY account) - 1 AS INTEGER) AS label, {cols} FROM pts),
-start AS (SELECT k, first.* FROM ks JOIN first ON label < k),
-steps AS (SELECT 0 AS step, k, account, label FROM (SELECT s.k, p.account, s.label, {best} FROM pts p JOIN start s ON true) WHERE pick = 1
-UNION ALL SELECT step + 1, k, account, label FROM (SELECT s.step, s.k, p.account, s.label, {best}
-  FROM pts p JOIN (SELECT step, k, label, {means} FROM steps JOIN pts USING (account) WHERE step < {ROUNDS} GROUP BY step, k, label) s ON true)
-WHERE pick = 1),
-lab AS (SELECT k, account, label FROM steps WHERE step = {ROUNDS}),
-cen AS (SELECT k, label, {means} FROM lab JOIN pts USING (account) GROUP BY k, label)"""
+def cluster_ctes(k: int = K, tag: str = "a", iterations: int = ITERATIONS) -> str:
+    parts = [_start(tag, k)]
+    for i in range(iterations):
+        parts += [_assign(tag, i), _update(tag, i)]
+    parts.append(_assign(tag, iterations))
+    return ",\n".join(parts)
 
 
 def _centroid_rows(source: str) -> str:
@@ -202,6 +183,7 @@ def _silhouette_cte(labels: str, out: str) -> str:
 
 
 def _report_sql() -> str:
+    final = f"la_{ITERATIONS}"
     means = ", ".join(f"round(avg({c}), 9) AS {c}" for c in NUMERIC)
 
     def mode(expr):
@@ -209,24 +191,24 @@ def _report_sql() -> str:
           ORDER BY count(*) DESC, {expr}) AS r FROM mem GROUP BY cluster, {expr}) WHERE r = 1)"""
 
     flag = "CASE WHEN flag_raw = 'X' THEN 1.0 ELSE 0.0 END"
-    return f"""WITH RECURSIVE {points_cte()}, {settled_ctes()},
-mem AS (SELECT l.label + 1 AS cluster, p.* FROM lab l JOIN profiles p USING (account)),
+    return f"""WITH {points_cte()}, {cluster_ctes()},
+mem AS (SELECT l.label + 1 AS cluster, p.* FROM {final} l JOIN profiles p USING (account)),
 agg AS (SELECT cluster, round(count(*) * 100.0 / (SELECT count(*) FROM mem), 6) AS percent, {means} FROM mem GROUP BY cluster)
 SELECT agg.*, x.v AS cat_a, y.v AS cat_b, CAST(z.v AS DOUBLE) AS flag FROM agg JOIN {mode('cat_a')} x USING (cluster)
 JOIN {mode('cat_b')} y USING (cluster) JOIN {mode(flag)} z USING (cluster)"""
 
 
 def _best_k_sql() -> str:
-    return f"""WITH RECURSIVE {points_cte()}, {settled_ctes(SWEEP)},
-named AS (SELECT p.*, lab.k, lab.label FROM lab JOIN pts p USING (account)),
-far AS (SELECT x.k, x.account, x.label, y.label AS other, sum({_distance('x', 'y')}) AS s, count(*) AS n
-  FROM named x JOIN named y USING (k) GROUP BY x.k, x.account, x.label, y.label),
-ab AS (SELECT k, account, max(CASE WHEN other = label AND n > 1 THEN s / (n - 1) END) AS a,
-  min(CASE WHEN other <> label THEN s / n END) AS b FROM far GROUP BY k, account),
-t AS (SELECT k, avg(CASE WHEN a IS NULL THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END) AS s FROM ab GROUP BY k),
-c AS (SELECT k, count(DISTINCT label) AS clusters FROM lab GROUP BY k)
+    parts = [points_cte()]
+    for k in SWEEP:
+        parts += [cluster_ctes(k, f"k{k}"), _silhouette_cte(f"lk{k}_{ITERATIONS}", f"sil{k}")]
+    rows = " UNION ALL ".join(
+        f"SELECT {k} AS k, (SELECT count(DISTINCT label) FROM lk{k}_{ITERATIONS}) AS clusters, avg(silhouette) AS s FROM sil{k}"
+        for k in SWEEP
+    )
+    return f"""WITH {', '.join(parts)}, t AS ({rows})
 SELECT CAST(k AS INTEGER) AS k, CAST(clusters AS INTEGER) AS clusters, round(s, 6) AS silhouette,
-       row_number() OVER (ORDER BY s DESC, k) = 1 AS is_best FROM t JOIN c USING (k)"""
+       row_number() OVER (ORDER BY s DESC, k) = 1 AS is_best FROM t"""
 
 
 QUERIES = {
@@ -245,15 +227,14 @@ _FIRST = f"WITH {points_cte()}, {_start('a', K)}, {_assign('a', 0)}"
 ORACLES = {
     "mixed_nearest": f"{_FIRST} SELECT account, label, round(cost, 6) AS cost FROM la_0",
     "centroid_update": f"{_FIRST}, {_update('a', 0)} {_centroid_rows('sa_1')}",
-    "cluster_shares": f"""WITH RECURSIVE {points_cte()}, {settled_ctes()}
-SELECT label, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent FROM lab GROUP BY label""",
-    "silhouette": f"""WITH RECURSIVE {points_cte()}, {settled_ctes()},
-named AS (SELECT p.*, lab.label FROM lab JOIN pts p USING (account)), {_silhouette_cte('named', 'sil')}
+    "cluster_shares": f"""{_FIRST} SELECT label, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent
+FROM la_0 GROUP BY label""",
+    "silhouette": f"""{_FIRST}, {_silhouette_cte('la_0', 'sil')}
 SELECT account, label, round(a, 6) AS a, round(b, 6) AS b, round(silhouette, 6) AS silhouette FROM sil""",
-    "kprototypes": f"WITH RECURSIVE {points_cte()}, {settled_ctes()} {_centroid_rows('cen')}",
-    "cluster_assignments": f"""WITH RECURSIVE {points_cte()}, {settled_ctes()}
+    "kprototypes": f"WITH {points_cte()}, {cluster_ctes()} {_centroid_rows(f'sa_{ITERATIONS}')}",
+    "cluster_assignments": f"""WITH {points_cte()}, {cluster_ctes()}
 SELECT account, label + 1 AS cluster, rate_class, {', '.join(CATEGORICAL)}, {', '.join(NUMERIC)}
-FROM lab JOIN profiles USING (account)""",
+FROM la_{ITERATIONS} JOIN profiles USING (account)""",
     "centroid_report": _report_sql(),
     "best_k": _best_k_sql(),
 }
