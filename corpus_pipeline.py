@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usage_ts.llm import language_id, packing, quality_gam, simhash, substring_dedup
+from usage_ts.llm import language_id, packing, quality_gam, shingle_links, substring_dedup
 from usage_ts.llm.common import settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,7 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies, once; rows without id go."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    rows = settle(shingle_links.near_copies(docs), "near")
+    first = rows.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(settle(first, "kept"), "doc_id", "left_semi")
     return kept.dropDuplicates(["doc_id"])
 
