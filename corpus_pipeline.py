@@ -24,11 +24,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, once; rows without id go."""
+    """One document of each group of near copies: the one with the smallest id, then hash of the text.
+
+    A row without id stays, once, when its group has no row with an id.
+    """
     rows = settle(shingle_links.near_copies(docs), "near")
-    first = rows.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(settle(first, "kept"), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "hash")).alias("f"))
+    first = settle(first.select(F.col("f.doc_id").alias("id"), "f.hash"), "kept")
+    hashed = docs.select(*COLUMNS).withColumn("hash", F.xxhash64("text"))
+    same = (hashed["hash"] == first["hash"]) & hashed["doc_id"].cast("long").eqNullSafe(first["id"])
+    return hashed.join(first, same, "left_semi").dropDuplicates(["doc_id", "hash"]).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,10 @@ def test_chains_and_blocks(spark, monkeypatch, block):
     got = {r["doc_id"] for r in stage(spark, rows).collect()}
     assert got == kept_by_hand(rows)
     assert len(got) < len(rows) / 2
+
+
+def test_shared_and_missing_ids(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(7, one), (7, two), (7, two), (8, one + " x"), (None, one + " y"), (None, three), (None, three), (None, three.upper()), (9, two)]
+    got = [(r["doc_id"], r["text"].lower()) for r in stage(spark, rows).collect()]
+    assert sorted(got, key=str) == sorted([(7, one), (7, two), (None, three)], key=str)

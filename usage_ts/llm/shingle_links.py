@@ -69,20 +69,20 @@ def _node(own: np.ndarray) -> int:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` (as op1), ``node`` of the set, its ``size`` and band ``keys`` of every row; no shuffle."""
+    """``doc_id``, ``hash`` of the text, ``fp`` (as op1), ``node`` of the set, its ``size`` and band ``keys`` of every row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, text in columns(b, "doc_id", "text"):
+            for doc, full, text in columns(b, "doc_id", "hash", "text"):
                 own = shingles(text)
-                rows.append((doc, _signed(fingerprint(text)), _node(own), len(own), band_keys(own)))
-            kinds = [*[pa.int64()] * 4, pa.list_(pa.int64())]
+                rows.append((doc, full, _signed(fingerprint(text)), _node(own), len(own), band_keys(own)))
+            kinds = [*[pa.int64()] * 5, pa.list_(pa.int64())]
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "hash", "fp", "node", "size", "keys"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "doc_id long, fp long, node long, size long, keys array<long>")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), F.col("text").cast("string"))
+    return texts.mapInArrow(run, "doc_id long, hash long, fp long, node long, size long, keys array<long>")
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def similar(marked: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``node``, ``fp`` and ``root`` of every row: equal roots are near copies.
+    """``doc_id``, ``hash`` of the text, ``node``, ``fp`` and ``root`` of every row: equal roots are near copies.
 
     Linked are sets of similarity 0.8 or more and, as in op1, fingerprints of at most three differing bits.
     """
@@ -193,4 +193,4 @@ def near_copies(docs: DataFrame) -> DataFrame:
     close = close.join(per_fp, "fp").select(F.col("first").alias("u"), F.col("other").alias("fp"))
     close = close.join(per_fp, "fp").select("u", F.col("first").alias("v"))
     roots = settle(components(same.unionByName(close).unionByName(similar(marked, docs))), "roots")
-    return marked.select("doc_id", "node", "fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return marked.select("doc_id", "hash", "node", "fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
