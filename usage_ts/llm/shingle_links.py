@@ -32,9 +32,13 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 52, 5
 #: Shingles that one block of a rough group holds on average.
 BLOCK = 1_000_000
+#: Texts a worker turns into sets at a time.
+STEP = 500
 _RNG = np.random.default_rng(SEED)
-_FLIPS = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-_FACTORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_FLIPS = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
+_FACTORS = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None] | np.uint32(1)
+_JOIN = _RNG.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+_BAND = _RNG.integers(0, 1 << 64, BANDS, np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -51,17 +55,21 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(starts)))
 
 
-def band_keys(own: np.ndarray) -> list[int]:
+def band_keys(own: np.ndarray) -> np.ndarray:
     """A key for each band; each minimum is over another order of the hashes. None for the empty set."""
     if not len(own):
-        return []
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), 256):
-        part = own[None, at : at + 256] ^ _FLIPS[:, None]
-        part *= _FACTORS[:, None]
+        return np.zeros(0, np.int64)
+    short, low = own.astype(np.uint32), np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(short), 256):
+        part = short[None, at : at + 256] ^ _FLIPS
+        part *= _FACTORS
         np.minimum(low, part.min(axis=1), out=low)
-    low = low.astype("<u8").reshape(BANDS, ROWS)
-    return [_signed(xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(low)]
+    return ((low.reshape(BANDS, ROWS) * _JOIN).sum(axis=1, dtype=np.uint64) + _BAND).view(np.int64)
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from (b.slice(at, STEP) for at in range(0, b.num_rows, STEP))
 
 
 def _node(own: np.ndarray) -> int:
@@ -72,21 +80,20 @@ def marks(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``hash`` of the text, ``fp`` (as op1), ``node`` of the set, its ``size`` and band ``keys`` of every row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, full, text in columns(b, "doc_id", "hash", "text"):
-                own = shingles(text)
-                rows.append((doc, full, _signed(fingerprint(text)), _node(own), len(own), band_keys(own)))
-            kinds = [*[pa.int64()] * 5, pa.list_(pa.int64())]
-            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "hash", "fp", "node", "size", "keys"])
+        for b in _steps(batches):
+            sets = [shingles(t) for (t,) in columns(b, "text")]
+            keys = [band_keys(own) for own in sets]
+            cols = [pa.array(x, pa.int64()) for x in ([_signed(fingerprint(t)) for (t,) in columns(b, "text")], map(_node, sets), map(len, sets))]
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), *cols], ["doc_id", "hash", "fp", "node", "size", "keys"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), F.col("text").cast("string"))
     return texts.mapInArrow(run, "doc_id long, hash long, fp long, node long, size long, keys array<long>")
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _steps(batches):
         sets = [shingles(t) for (t,) in columns(b, "text")]
         cols = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["node", "body"])
@@ -155,9 +162,9 @@ def similar(marked: DataFrame, docs: DataFrame) -> DataFrame:
     full = settle(keys.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     rough = components(keys.join(full, "key").select(F.col("node").alias("u"), "v"))
     rough = settle(rough.join(sets.select("node", "size"), "node"), "rough")
-    # Equal sets are reduced to one below the shuffle.
     bodies = docs.select(F.col("text").cast("string")).mapInArrow(_bodies, "node long, body binary")
-    bodies = bodies.groupBy("node").agg(F.first("body").alias("body"))
+    # Only what a rough group needs; equal sets are reduced to one below the shuffle.
+    bodies = bodies.join(rough.select("node"), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
     count = F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")
     groups = settle(rough.groupBy("root").agg(count), "groups")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
