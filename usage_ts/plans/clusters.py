@@ -12,6 +12,11 @@ NUMERIC = ["num_a", "num_b", *[f"cons_{m}m_ago" for m in range(12)]]
 CATEGORICAL = ["cat_a", "cat_b", "flag_raw"]
 K, ITERATIONS, GAMMA = 4, 3, 0.5
 SWEEP = (2, 3, 4)
+#: What the SQL twins follow: a fixed number of updates.
+UPDATES = {"max_iter": ITERATIONS + 1, "tolerance": -1.0}
+#: Until nothing but the order of summation still moves the cost; for the queries named ``_settled``.
+SETTLED = {"tolerance": 1e-12}
+SETTLED_SWEEP = tuple(range(3, 13))
 
 
 def scaled_profiles(spark, sf):
@@ -28,11 +33,10 @@ def first_accounts(points, k):
     return [CL.Centroid([r[c] for c in NUMERIC], [r[c] for c in CATEGORICAL]) for r in rows]
 
 
-def clustered(spark, sf, k=K):
+def clustered(spark, sf, k=K, until=UPDATES):
     p, scaler, points = scaled_profiles(spark, sf)
     found = CL.k_prototypes(
-        points, k, NUMERIC, CATEGORICAL, gamma=GAMMA, max_iter=ITERATIONS + 1, tolerance=-1.0,
-        starts=[first_accounts(points, k)],
+        points, k, NUMERIC, CATEGORICAL, gamma=GAMMA, starts=[first_accounts(points, k)], **until
     )
     return p, scaler, points, found
 
@@ -60,18 +64,40 @@ def centroid_update(spark, sf):
     return numbers.unionByName(modes.withColumn("mean", F.lit(None).cast("double")))
 
 
-def cluster_shares(spark, sf):
-    return CL.cluster_shares(_start_labels(spark, sf)).select("label", "n", F.round("percent", 6).alias("percent"))
+def _shares(labelled):
+    return CL.cluster_shares(labelled).select("label", "n", F.round("percent", 6).alias("percent"))
 
 
-def silhouette(spark, sf):
-    labelled = _start_labels(spark, sf)
+def _scores(labelled):
     rows = CL.silhouette_rows(labelled, NUMERIC, CATEGORICAL, GAMMA)
     return rows.select("account", "label", *[F.round(c, 6).alias(c) for c in ("a", "b", "silhouette")])
 
 
-def kprototypes(spark, sf):
-    _, _, _, found = clustered(spark, sf)
+def cluster_shares(spark, sf):
+    """Shares of the labels by the start rows, without an update, as in its twin."""
+    return _shares(_start_labels(spark, sf))
+
+
+def silhouette(spark, sf):
+    """Scores of the labels by the start rows, without an update, as in its twin."""
+    return _scores(_start_labels(spark, sf))
+
+
+def _settled_labels(spark, sf):
+    _, _, points, found = clustered(spark, sf, until=SETTLED)
+    return found.assign(points)
+
+
+def cluster_shares_settled(spark, sf):
+    return _shares(_settled_labels(spark, sf))
+
+
+def silhouette_settled(spark, sf):
+    return _scores(_settled_labels(spark, sf))
+
+
+def kprototypes(spark, sf, until=UPDATES):
+    _, _, _, found = clustered(spark, sf, until=until)
     cells = [
         (i, f, float(v), None) for i, c in enumerate(found.centroids) for f, v in zip(NUMERIC, c.numeric)
     ] + [(i, f, None, v) for i, c in enumerate(found.centroids) for f, v in zip(CATEGORICAL, c.categorical)]
@@ -82,19 +108,19 @@ def kprototypes(spark, sf):
 def kprototypes_restarts(spark, sf):
     """Three seeded starts to convergence; the cost of the winner per iteration."""
     _, _, points = scaled_profiles(spark, sf)
-    found = CL.k_prototypes(points, K, NUMERIC, CATEGORICAL, runs=3, max_iter=15, seed=3)
+    found = CL.k_prototypes(points, K, NUMERIC, CATEGORICAL, runs=3, seed=3)
     rows = [(i, float(c)) for i, c in enumerate(found.costs)]
     return spark.createDataFrame(rows, "iteration int, cost double")
 
 
-def cluster_assignments(spark, sf):
-    p, _, points, found = clustered(spark, sf)
+def cluster_assignments(spark, sf, until=UPDATES):
+    p, _, points, found = clustered(spark, sf, until=until)
     members = CL.cluster_memberships(p, found.assign(points))
     return members.select("account", "cluster", "rate_class", *CATEGORICAL, *NUMERIC)
 
 
-def centroid_report(spark, sf):
-    p, _, points, found = clustered(spark, sf)
+def centroid_report(spark, sf, until=UPDATES):
+    p, _, points, found = clustered(spark, sf, until=until)
     flags = p.withColumn("flag", (F.col("flag_raw") == "X").cast("double"))
     report = CL.centroid_report(
         flags, found.assign(points), NUMERIC, ["cat_a", "cat_b", "flag"], booleans=["flag"]
@@ -102,15 +128,29 @@ def centroid_report(spark, sf):
     return report.select("cluster", F.round("percent", 6).alias("percent"), *[F.round(c, 9).alias(c) for c in NUMERIC], "cat_a", "cat_b", "flag")
 
 
-def best_k(spark, sf):
+def best_k(spark, sf, ks=SWEEP, until=UPDATES):
     _, _, points = scaled_profiles(spark, sf)
-    starts = {k: [first_accounts(points, k)] for k in SWEEP}
-    table = CL.best_k(
-        points, SWEEP, NUMERIC, CATEGORICAL, gamma=GAMMA, max_iter=ITERATIONS + 1, tolerance=-1.0, starts=starts
-    )
+    starts = {k: [first_accounts(points, k)] for k in ks}
+    table = CL.best_k(points, ks, NUMERIC, CATEGORICAL, gamma=GAMMA, starts=starts, **until)
     return table.select("k", "clusters", F.round("silhouette", 6).alias("silhouette"), "is_best")
 
 
+def kprototypes_settled(spark, sf):
+    return kprototypes(spark, sf, SETTLED)
+
+
+def cluster_assignments_settled(spark, sf):
+    return cluster_assignments(spark, sf, SETTLED)
+
+
+def centroid_report_settled(spark, sf):
+    return centroid_report(spark, sf, SETTLED)
+
+
+def best_k_settled(spark, sf):
+    return best_k(spark, sf, SETTLED_SWEEP, SETTLED)
+
+
 # --- SQL twins -------------------------------------------------------------
 
 NS = [f"n{i}" for i in range(len(NUMERIC))]
@@ -221,6 +261,12 @@ QUERIES = {
     "cluster_assignments": cluster_assignments,
     "centroid_report": centroid_report,
     "best_k": best_k,
+    "cluster_shares_settled": cluster_shares_settled,
+    "silhouette_settled": silhouette_settled,
+    "kprototypes_settled": kprototypes_settled,
+    "cluster_assignments_settled": cluster_assignments_settled,
+    "centroid_report_settled": centroid_report_settled,
+    "best_k_settled": best_k_settled,
 }
 
 _FIRST = f"WITH {points_cte()}, {_start('a', K)}, {_assign('a', 0)}"
