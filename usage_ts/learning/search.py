@@ -16,6 +16,14 @@ from usage_ts.operators import evaluation, series
 KEYS = ("series_key",)
 
 
+def _every_series(df: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``found`` with a row of nulls for each series of ``df`` that it lacks."""
+    named = found.withColumnsRenamed({b: f"_{b}" for b in by})
+    keys = df.select(*by).distinct()
+    same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+    return keys.join(named, same, "left").select(*found.columns)
+
+
 def cross_validate(
     df: DataFrame,
     model: str | FC.Forecaster,
@@ -26,10 +34,13 @@ def cross_validate(
     ds: str = "ds",
     value: str = "y",
 ) -> DataFrame:
-    """Metrics per series and fold, all folds of all series fitted in one job."""
+    """Metrics per series and fold, all folds of all series fitted in one job.
+
+    A series too short for folds has one row of nulls.
+    """
     chained = FC.with_params(series.cv_folds(df, quantiles, folds, by, ds), model, params)
     rows = FC.evaluate(chained, model, [*by, "fold"], ds, value)
-    return evaluation.forecast_metrics(rows, [*by, "fold"])
+    return _every_series(df, evaluation.forecast_metrics(rows, [*by, "fold"]), by)
 
 
 def sample_trials(space: Mapping[str, Mapping], trials: int, seed: int) -> list[dict]:
@@ -71,8 +82,8 @@ def search(
     Every (series, trial, fold) is its own group of one job. ``objective`` is a
     metric name or a column over the metrics table; least is best. Scores equal to
     ``decimals`` places tie, and the earlier trial wins, so that the order of
-    summation does not pick the winner. A series no trial could score has a
-    ``Best`` row of nulls.
+    summation does not pick the winner. A series no trial could score, or too
+    short for folds, has a ``Best`` row of nulls.
     """
     options = F.array(*[F.lit(FC.params_json(model, t)) for t in trials])
     chained = series.cv_folds(df, quantiles, folds, by, ds).select(
@@ -91,8 +102,9 @@ def search(
     best = (
         scores.groupBy(*by)
         .agg(F.min_by(F.struct("score", FC.PARAMS), order).alias("b"))
-        .select(*by, F.lit("Best").alias("trial"), "b.*")
+        .select(*by, "b.*")
     )
+    best = _every_series(df, best, by).select(*by, F.lit("Best").alias("trial"), "score", FC.PARAMS)
     return scores.withColumn("trial", F.col("trial").cast("string")).unionByName(best)
 
 
