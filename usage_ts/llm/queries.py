@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from usage_ts.llm import (
     embedding_dedup,
+    fill_middle,
     html_extract,
+    importance,
     language_id,
     packing,
     quality_gam,
     quality_rules,
     sentencepiece_codec,
     simhash,
+    slack_packing,
     substring_dedup,
     url_tree,
 )
@@ -76,6 +79,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = slack_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    output, back = F.col("output"), fill_middle.restored(F.col("output"), F.col("form"))
+    return written.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(output.cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +115,9 @@ QUERIES = {
         op8_substring_dedup,
         op9_embedding_near_dedup,
         op10_language_id,
+        op11_importance_resampling,
+        op12_best_fit_packing,
+        op13_fill_in_middle,
     )
 }
 _WORDS = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -123,4 +152,17 @@ s AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY i) FILTER (WHERE las
         count(*) FILTER (WHERE i - last < 50) AS gone FROM k GROUP BY rid)
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN s USING (rid)""",
+    "op13_fill_in_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS ls, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS same,
+        CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3,
+        CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+k AS (SELECT *, len(ls) AS n, least(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS a, greatest(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS b,
+        CASE WHEN same OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+s AS (SELECT *, coalesce(array_to_string(ls[1:a], ''), '') AS p, coalesce(array_to_string(ls[a + 1:b], ''), '') AS m,
+        coalesce(array_to_string(ls[b + 1:n], ''), '') AS x FROM k)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m
+         ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM s""",
 }
