@@ -12,6 +12,7 @@ import pytest
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
+from test_near_copies import kept_by_hand
 from tokenizers import Tokenizer
 
 from usage_ts.llm import (
@@ -479,10 +480,8 @@ def test_pipeline_equals_its_stages_by_hand(spark, docs):
         if name == "language":
             left = {i: t for i, t in left.items() if re.search("[^\\W\\d_]", t or "")}
         elif name == "near_copies":
-            ids = sorted(left)
-            fps = [plain_fingerprint(left[i]) for i in ids]
-            low = group(len(ids), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
-            left = {ids[k]: left[ids[k]] for k in set(low)}
+            kept = kept_by_hand(list(left.items()))
+            left = {i: left[i] for i in kept}
         elif name == "passages":
             assert {i: t.split() for i, t in got.items()} == {i: k for i, (_, k) in plain_kept(left).items()}
             left = got

@@ -30,8 +30,14 @@ LEAD, BLOCK = 4, 512
 _BOX = [f"{side}{k}" for side in ("lo", "hi") for k in range(LEAD)]
 
 
-def _unit(vectors: list[list[float]]) -> np.ndarray:
+def _scaled(vectors: list[list[float]]) -> np.ndarray:
+    """Vectors times powers of two that bring the largest component near one: exact, and squares stay finite."""
     x = np.array(vectors, float)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(vectors: list[list[float]]) -> np.ndarray:
+    x = _scaled(vectors)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -82,7 +88,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
         at = np.array([r[4] for r in rows])
-        vectors = np.array([r[3] for r in rows])
+        vectors = _scaled([r[3] for r in rows])
         values = [part, number, rows[0][2], len(rows[0][3]), *at.min(axis=0), *at.max(axis=0)]
         packed = [np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), vectors]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32()] + [pa.float64()] * (2 * LEAD)

@@ -31,18 +31,27 @@ from usage_ts.llm.common import columns
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|template|noscript|iframe|svg|textarea|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|title|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<[a-z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: A control or a drawing up to its end, if that comes before the next block or the next of these.
+_SMALL = {
+    tag: re.compile(
+        rf"[^<]*(?:<(?!/{tag}\b|/?(?:svg|button|select|p|div|section|article|main|aside|nav|header|footer|form|h[1-6]|ul|ol|dl|li|"
+        rf"table|blockquote|pre|figure|body)\b)[^<]*)*</{tag}\b[^>]*>",
+        re.I,
+    )
+    for tag in ("svg", "button", "select")
+}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 #: Elements of html by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-    "strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark noscript object q s samp small span "
+    "strike strong sub sup template time tt u var".split()
 )
 #: Tags in order from furniture to article; the place is a measure.
 TAGS = (
@@ -68,6 +77,19 @@ def parse(html: str) -> tuple[list[str], list[int], list[list[str]], list[tuple[
     """Tags, parents and attribute words of nodes in page order, and each block's text node and pieces."""
     tags, parents, names, blocks = ["html"], [-1], [[]], []
     stack, current = [0], None
+    #: Where in the stack each tag is open, and where block elements are: a look at the last place replaces a search.
+    opened: dict[str, list[int]] = {}
+    blocks_at: list[int] = [0]
+
+    def cut(depth: int) -> None:
+        """Close everything from this depth on."""
+        while len(stack) > depth:
+            opened[tags[stack.pop()]].pop()
+        while blocks_at[-1] >= depth:
+            blocks_at.pop()
+
+    def last_open(names: tuple[str, ...]) -> int:
+        return max((opened[x][-1] for x in names if opened.get(x)), default=0)
 
     def add(tag: str, words: list[str]) -> int:
         tags.append(tag), parents.append(stack[-1]), names.append(words)
@@ -84,6 +106,8 @@ def parse(html: str) -> tuple[list[str], list[int], list[list[str]], list[tuple[
 
     last = 0
     for m in _TOKEN.finditer(html):
+        if m.start() < last:  # within a control
+            continue
         if m.start() > last:
             text(html[last : m.start()])
         last = m.end()
@@ -96,15 +120,17 @@ def parse(html: str) -> tuple[list[str], list[int], list[list[str]], list[tuple[
             elif tag == "hr":
                 current = None
             continue
+        if tag in _SMALL:
+            # One without an end is passed over alone: what follows it is text of the page.
+            if not m[2] and not m[4].endswith("/") and (whole := _SMALL[tag].match(html, last)):
+                last = whole.end()
+            continue
         if m[2]:
             if tag not in INLINE:
                 current = None
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and tags[stack[k]] not in INLINE:
-                    break
+            at = last_open((tag,))
+            if at and (tag not in INLINE or at > blocks_at[-1]):
+                cut(at)
             continue
         if tag in ("html", "head", "body") and tag != "body":
             continue
@@ -112,15 +138,14 @@ def parse(html: str) -> tuple[list[str], list[int], list[list[str]], list[tuple[
             current = None
             # A new block ends an open paragraph; items end items of their own list.
             ends = ("li",) if tag == "li" else ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else ("tr", "td", "th") if tag == "tr" else ()
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = tags[stack[k]]
-                if open_tag == "p" or open_tag in ends:
-                    del stack[k:]
-                    if open_tag != "p":
-                        break
-                elif open_tag not in INLINE and not (ends and open_tag not in ("ul", "ol", "dl", "table")):
-                    break
+            if tags[stack[blocks_at[-1]]] == "p":
+                cut(blocks_at[-1])
+            at = last_open(ends)
+            if at > last_open(("ul", "ol", "dl", "table")):
+                cut(at)
+            blocks_at.append(len(stack))
         words = [w for g in _NAMES.findall(m[4]) for v in g if v for w in _SPLIT.split(v) if w] if m[4] else []
+        opened.setdefault(tag, []).append(len(stack))
         stack.append(add(tag, [w.lower() for w in words]))
     if last < len(html):
         text(html[last:])

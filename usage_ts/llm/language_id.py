@@ -24,8 +24,13 @@ from pyspark.sql import functions as F
 from usage_ts.llm.common import columns, held_out
 
 GROUP = 4
-#: Documents of each language to learn from (the first by a hash of the id), and groups kept of each.
-SAMPLE, GROUPS = 1000, 20_000
+#: Documents of each language to learn from: the first by a hash of the id.
+SAMPLE = 1000
+#: Of a language's groups the most frequent are kept until they make this share of what its documents hold; those of
+#: one document alone are left out if there are so many documents.
+COVERED, ENOUGH = 0.995, 20
+#: A language whose groups recur less than this needs a smaller share of known groups to be accepted.
+RECURRING = 0.8
 #: Code points of texts that are scored together.
 TOGETHER = 1 << 20
 SPACE = 32
@@ -55,8 +60,10 @@ def _groups(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Filters:
     """Language masks in ``2^bits`` slots; ``names`` in order of preference when scores are equal."""
 
-    def __init__(self, names: list[str], groups: dict[str, np.ndarray]) -> None:
+    def __init__(self, names: list[str], groups: dict[str, np.ndarray], recurring: dict[str, float] | None = None) -> None:
         self.names = names
+        #: Per language, the share of a learned document's groups that others would have put into its filter.
+        self.recurring = recurring or dict.fromkeys(names, 1.0)
         most = max((len(g) for g in groups.values()), default=1)
         self.slots = 1 << max(10, int(16 * most - 1).bit_length())
         self.planes = [names[i : i + 64] for i in range(0, len(names), 64)]
@@ -89,8 +96,8 @@ class Filters:
 
 
 def learn(docs: DataFrame) -> Filters:
-    """Filters from documents that are not held out. What the driver gets is bounded by ``SAMPLE``,
-    ``GROUPS`` and the number of languages.
+    """Filters from documents that are not held out. What the driver gets is bounded by the letter groups of
+    ``SAMPLE`` documents a language.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -106,12 +113,21 @@ def learn(docs: DataFrame) -> Filters:
 
     counts = picked.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, grp long")
     counts = counts.groupBy("lang", "grp").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "grp")
-    kept = counts.where("n > 1").withColumn("at", F.row_number().over(best)).where(F.col("at") <= GROUPS)
-    found = kept.select("lang", "grp", "n").toPandas()
+    whole = Window.partitionBy("lang")
+    best = whole.orderBy(F.desc("n"), "grp").rowsBetween(Window.unboundedPreceding, -1)
+    learned = picked.groupBy(F.col("lang").cast("string").alias("lang")).agg((F.count("*") < ENOUGH).alias("few"))
+    counts = counts.join(F.broadcast(learned), "lang")
+    # What a document shares with the filter of the others: a group counts if it would be kept without this document.
+    known = F.sum(F.when(F.expr("n > 2 OR (few AND n > 1)"), F.col("n")))
+    shares = counts.groupBy("lang").agg((known / F.sum("n")).alias("share")).collect()
+    recurring = {r["lang"]: r["share"] or 0.0 for r in shares}
+    counts = counts.where("n > 1 OR few")
+    sums = counts.withColumns({"before": F.coalesce(F.sum("n").over(best), F.lit(0)), "all": F.sum("n").over(whole)})
+    found = sums.where(F.col("before") < COVERED * F.col("all")).select("lang", "grp").toPandas()
     sizes = {r["lang"]: r["n"] for r in usable.groupBy(F.col("lang").cast("string")).agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes, key=lambda x: (-sizes[x], x))
-    return Filters(names, {x: found.loc[found["lang"] == x, "grp"].to_numpy(np.int64) for x in names})
+    groups = {x: found.loc[found["lang"] == x, "grp"].to_numpy(np.int64) for x in names}
+    return Filters(names, groups, {x: recurring.get(x, 0.0) for x in names})
 
 
 def _predict(filters: Filters, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -154,11 +170,15 @@ def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, filters: Filters, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a language whose share is the threshold or more; all columns, no shuffle."""
+    """The rows of ``docs`` with a language whose share is the threshold or more; all columns, no shuffle.
+
+    The threshold is lower for a language whose learned documents have few groups in common.
+    """
+    need = {n: threshold * min(1.0, r / RECURRING) for n, r in filters.recurring.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = _predict(filters, b.column(b.schema.get_field_index("text")).to_pylist())
-            yield b.filter(pa.array([n != "und" and s >= threshold for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            yield b.filter(pa.array([n != "und" and s >= need[n] for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

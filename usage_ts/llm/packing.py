@@ -3,8 +3,10 @@
 Tokens of a document beyond whole windows form one item per document. Items are packed in blocks of
 bounded size: each item starts as a partial partition (its size in one window, zero in the others);
 the two partial partitions with the largest imbalance are merged, the fullest window of one with the
-emptiest of the other, until one partition is left. Its windows are nearly equal. If the fullest
-exceeds the capacity, the block is divided into one window more.
+emptiest of the other, until one partition is left. Its windows are nearly equal. Items of less than 1/64
+of the capacity wait and are poured into the emptiest windows, the longest first, so the partial partitions
+are few however short the texts. If the fullest window exceeds the capacity, the block is divided into one
+window more.
 
 A block lies within one partition of the input, so nothing is shuffled and memory does not depend on
 the input. Defined cases: a null or empty text is its end token alone; repeated rows are packed each;
@@ -29,6 +31,8 @@ from usage_ts.llm.tokens import word_tokens
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Tokens of a block, in windows; the end of a partition makes a smaller block.
 BLOCK_WINDOWS = 256
+#: An item of less than this part of the capacity is small.
+SMALL = 64
 
 
 def differencing(sizes: list[int], windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +69,24 @@ def differencing(sizes: list[int], windows: int) -> tuple[np.ndarray, np.ndarray
 def windows_for(sizes: list[int], capacity: int) -> np.ndarray:
     """Window of each item; no window exceeds the capacity, which no single item may exceed."""
     windows = -(-sum(sizes) // capacity)
+    small = {k for k, size in enumerate(sizes) if SMALL * size < capacity}
+    large = [k for k in range(len(sizes)) if k not in small]
+    at = np.zeros(len(sizes), np.int64)
     while True:
-        at, sums = differencing(sizes, windows)
+        sums = np.zeros(windows, np.int64)
+        if large:
+            at[large], sums = differencing([sizes[k] for k in large], windows)
         if sums.max() <= capacity:
-            return at
+            room = [(int(s), w) for w, s in enumerate(sums)]
+            heapq.heapify(room)
+            for k in sorted(small, key=lambda k: (-sizes[k], k)):
+                held, w = room[0]
+                if held + sizes[k] > capacity:
+                    break
+                at[k] = w
+                heapq.heapreplace(room, (held + sizes[k], w))
+            else:
+                return at
         windows += 1
 
 

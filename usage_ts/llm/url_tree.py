@@ -1,9 +1,9 @@
 """Verdicts on urls by rules and, where no rule fits, by a tree of path templates per host.
 
-Level by level a path segment stays as it is if it carries a good share of its parent's urls, and becomes
-a wildcard otherwise. A branch whose labelled verdicts do not differ from those of its siblings (test of
-two proportions; without labels there is no evidence of a difference) is merged into the wildcard. Rows
-that a rule fits are the labels: each template's share of blocked rows, smoothed towards its host's and
+Level by level a path segment stays as it is if its labelled verdicts differ from those of its siblings (test
+of two proportions, ``LEAST`` labelled urls on either side; without labels there is no evidence of a
+difference), and is merged into a wildcard otherwise. A template is divided further as long as its labels
+are mixed and enough for two sides, however deep its paths. Rows that a rule fits are the labels: each template's share of blocked rows, smoothed towards its host's and
 that towards the share of all, decides for rows without a rule.
 
 Defined cases: a url that is null or has no ``://`` has empty host and path; repeated rows count and are
@@ -12,6 +12,7 @@ judged each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,7 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Levels of the tree; what follows the last is one segment. A segment with this share of its parent's urls stays.
-LEVELS, SHARE, SMOOTH, CRITICAL = 4, 0.05, 5.0, 1.96
+LEAST, SMOOTH, CRITICAL = 5, 5.0, 1.96
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -57,10 +57,9 @@ def _sums() -> list[Column]:
 def templates(urls: DataFrame) -> DataFrame:
     """``host, path`` (different ones, with counts ``n, labelled, blocked``) with the ``template`` of each."""
     pieces = F.split(F.expr("substring(path, 2)"), "/")
-    tail = F.array_join(F.slice(pieces, LEVELS, F.greatest(F.size(pieces) - LEVELS + 1, F.lit(0))), "/")
-    cut = F.when(F.size(pieces) > LEVELS, F.concat(F.slice(pieces, 1, LEVELS - 1), F.array(tail))).otherwise(pieces)
-    rows = urls.withColumn("segments", cut).withColumn("template", F.lit(""))
-    for level in range(LEVELS):
+    rows = urls.withColumn("segments", pieces).withColumn("template", F.lit(""))
+    done, level = [], 0
+    while True:
         seg = F.get("segments", level)
         open_rows = rows.where(F.size("segments") > level).withColumn("segment", seg)
         child = settle(open_rows.groupBy("host", "template", "segment").agg(*_sums()), "branches")
@@ -69,7 +68,7 @@ def templates(urls: DataFrame) -> DataFrame:
         rate = F.try_divide("all_blocked", "all_labelled")
         spread = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), other)))
         apart = F.abs(F.try_divide("blocked", "labelled") - F.try_divide(other_blocked, other)) > CRITICAL * spread
-        stays = (F.col("n") >= SHARE * F.col("all_n")) & F.coalesce(apart, F.lit(False))
+        stays = (F.col("labelled") >= LEAST) & (other >= LEAST) & F.coalesce(apart, F.lit(False))
         named = child.join(parent, ["host", "template"]).select(
             "host", "template", "segment", F.when(stays, F.col("segment")).otherwise("*").alias("token")
         )
@@ -78,7 +77,17 @@ def templates(urls: DataFrame) -> DataFrame:
         joined = rows.withColumn("segment", F.coalesce(seg, F.lit(""))).join(kept, ["host", "template", "segment"], "left")
         rows = joined.withColumn("template", F.when(F.size("segments") > level, longer).otherwise(F.col("template")))
         rows = settle(rows.drop("segment", "token"), "templates")
-    return rows.drop("segments")
+        level += 1
+        # Only templates with mixed labels, and enough of them below, can be divided further.
+        below = F.size("segments") > level
+        held = [F.sum(F.when(below, F.col(c)).otherwise(0)).alias(f"below_{c}") for c in ("labelled", "blocked")]
+        mixed = rows.groupBy("host", "template").agg(*held)
+        mixed = settle(mixed.where((F.col("below_labelled") >= 2 * LEAST) & F.col("below_blocked").between(1, F.col("below_labelled") - 1)), "mixed")
+        keys = ["host", "template"]
+        done.append(rows.join(mixed, keys, "left_anti").drop("segments"))
+        rows = settle(rows.join(mixed.select(*keys), keys, "left_semi"), "open")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
