@@ -41,3 +41,20 @@ def test_a_hot_key_is_dealt_to_many_tasks(spark, sides):
         assert salted(many, few, ["k"]).count() == 1800
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_side_is_broadcast_once_and_a_large_one_never(spark, sides):
+    many, few = sides
+    small = plan_of(salted(many, few, ["k"]))
+    assert "BroadcastHashJoin" in small and "_salt" not in small
+    # Estimated at a few megabytes, 64 times as much once it is copied.
+    large = spark.range(700_000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
+    joined = salted(many, large, ["k"])
+    assert "Broadcast" not in plan_of(joined) and "_salt" in plan_of(joined)
+    assert joined.count() == 0
+    keyed = many.withColumn("k", F.col("id").cast("string"))
+    assert salted(keyed, large, ["k"]).count() == 2000

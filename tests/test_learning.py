@@ -190,6 +190,47 @@ def test_forest_walk_equals_model(spark, weekly):
     assert got == pytest.approx(want) and ahead.count() == 20
 
 
+def test_every_step_of_a_walk_is_the_models_own(spark, weekly, tmp_path):
+    """Over the seams between written states, and with columns of the caller's own."""
+    s = table(spark, a=weekly[:200], b=weekly[200:400])
+    stats = series.fit_scale(s, ["y"])
+    model = forest.fit_forest(forest.windows(s, stats, 5), trees=4, depth=3, seed=1)
+    z = {k: [(v - np.mean(y)) / np.std(y) for v in y] for k, y in (("a", weekly[:200]), ("b", weekly[200:400]))}
+    states = spark.createDataFrame([(k, [float(v) for v in y[-5:]]) for k, y in z.items()], "series_key string, window array<double>")
+    got = {(r.series_key, r.step): r.prediction for r in forest.walk(model, states, 7, str(tmp_path), every=3).collect()}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["from-0000001", "from-0000004", "from-0000007"]
+    for k, y in z.items():
+        window = list(y[-5:])
+        for step in range(1, 8):
+            one = spark.createDataFrame([([float(v) for v in window[-5:]],)], "w array<double>").select(forest.array_to_vector("w").alias("features"))
+            window.append(model.transform(one).first().prediction)
+            assert got[(k, step)] == window[-1]
+
+
+def test_forest_by_name_in_every_comparison(spark, weekly):
+    s = table(spark, a=weekly[:300], b=weekly[300:600], c=weekly[:3])
+    small = {"T_X": 7, "N_ESTIMATORS": 2, "MAX_DEPTH": 4}
+    cv = search.cross_validate(s, "random_forest", small, 20, 2).collect()
+    assert sorted((r.series_key, r.fold) for r in cv if r.fold) == [(k, f) for k in "ab" for f in (19, 20)]
+    assert [r.MAE for r in cv if r.series_key == "c"] == [None] and all(r.MAE < 60 for r in cv if r.fold)
+    found = search.search(s, "random_forest", [small, {**small, "MAX_DEPTH": 1}], "RMSE", 20, 1).collect()
+    best = {r.series_key: r.params for r in found if r.trial == "Best"}
+    assert '"MAX_DEPTH": 4' in best["a"] and best["c"] is None
+    split = series.split_fixed(s, 12)
+    metrics, ahead = search.evaluate_refit_forecast(split, "random_forest", 12, small)
+    assert ahead.filter("yhat IS NOT NULL").groupBy("series_key").count().collect() and metrics.count() == 3
+    assert {r["count"] for r in ahead.groupBy("series_key").count().collect()} == {12}
+    board = search.evaluate_all(split, {"last_value": None, "random_forest": small}).collect()
+    assert {(r.series_key, r.model_name) for r in board} == {(k, m) for k in "abc" for m in ("last_value", "random_forest")}
+
+
+def test_forest_without_any_window_gives_nulls(spark):
+    s = FC.with_params(table(spark, a=[1.0, 2.0], b=[3.0]), "random_forest", {"T_X": 5})
+    models = FC.fit_models(s, "random_forest")
+    assert [r.path for r in models.collect()] == [None, None]
+    assert [r.yhat for r in FC.forecast(models, 3, model="random_forest").collect()] == [None] * 6
+
+
 def test_refit_uses_all_rows(spark, weekly):
     split = series.split_fixed(table(spark, a=weekly), 60)
     metrics, ahead = search.evaluate_refit_forecast(split, "linear_regression", 5, {"T_X": 7})

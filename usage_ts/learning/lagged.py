@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from usage_ts.learning.solvers import difference_weights, lagged, least_squares, roll_forward
+from usage_ts.learning.solvers import difference_weights, lagged, least_squares, roll_forward, solve_symmetric
 
 
 @dataclass
@@ -44,10 +44,29 @@ class LastValue:
         return np.concatenate([state[-1:], later])[: len(later)]
 
 
+def lag_gram(z: np.ndarray, width: int) -> np.ndarray:
+    """Products of all pairs of the columns (value, lag 1, ..., lag ``width``) over the rows that have all lags.
+
+    Row 0 is one sum per lag. Each further diagonal step drops the last product and takes up one before the
+    first, so the other rows follow from it without any window being laid out.
+    """
+    n = len(z)
+    gram = np.empty((width + 1, width + 1))
+    gram[0] = [z[width:] @ z[width - k : n - k] for k in range(width + 1)]
+    early, late = z[width - 1 :: -1] if width else z[:0], z[n - 1 : n - 1 - width : -1]
+    for i in range(width):
+        # Entry (i + 1, j + 1) from entry (i, j), for all j of the row at once.
+        gram[i + 1, i + 1 :] = gram[i, i:-1] + early[i] * early[i:] - late[i] * late[i:]
+    lower = np.tril_indices(width + 1, -1)
+    gram[lower] = gram.T[lower]
+    return gram
+
+
 class LinearLags:
-    """M1: ordinary least squares of the scaled value on its ``T_X`` predecessors.
+    """M1: ordinary least squares of the scaled value on its ``T_X`` predecessors, by the normal equations.
 
-    ``coef`` is mean, population deviation, intercept, weights from the oldest lag on.
+    ``coef`` is mean, population deviation, intercept, weights from the oldest lag on. Directions in which the
+    lags do not vary get no weight.
     """
 
     @staticmethod
@@ -57,11 +76,17 @@ class LinearLags:
             return unfitted(y)
         mean, scale = y.mean(), y.std() or 1.0
         z = (y - mean) / scale
-        x = lagged(z, list(range(width, 0, -1)), width)
-        b = least_squares(np.column_stack([np.ones(len(x)), x]), z[width:])
-        fitted = np.full(len(y), np.nan)
-        fitted[width:] = (b[0] + x @ b[1:]) * scale + mean
-        return Fit(np.concatenate([[mean, scale], b]), y[-width:], fitted)
+        n = len(z)
+        gram = lag_gram(z, width)
+        ends = np.concatenate([[0.0], np.cumsum(z)])
+        sums = np.array([ends[n - k] - ends[width - k] for k in range(width + 1)])
+        rows = n - width
+        centred = gram - np.outer(sums, sums) / rows
+        weights = solve_symmetric(centred[1:, 1:], centred[1:, 0])
+        intercept = (sums[0] - sums[1:] @ weights) / rows
+        fitted = np.full(n, np.nan)
+        fitted[width:] = (intercept + np.convolve(z[:-1], weights, mode="valid")) * scale + mean if width else intercept * scale + mean
+        return Fit(np.concatenate([[mean, scale, intercept], weights[::-1]]), y[n - width :], fitted)
 
     @staticmethod
     def ahead(coef, state, steps, params):

@@ -16,6 +16,15 @@ def least_squares(x: np.ndarray, y: np.ndarray, penalty: np.ndarray | None = Non
     return np.linalg.lstsq(x, y, rcond=None)[0]
 
 
+def solve_symmetric(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solution of smallest norm of a positive semidefinite system; directions below rounding are left out."""
+    if not len(b):
+        return np.zeros(0)
+    values, vectors = np.linalg.eigh(a)
+    kept = values > max(values[-1], 0.0) * len(b) * 1e-14
+    return vectors[:, kept] @ ((vectors[:, kept].T @ b) / values[kept])
+
+
 def lagged(values: np.ndarray, lags: list[int], start: int) -> np.ndarray:
     """Matrix whose column j holds ``values`` shifted by ``lags[j]``, rows from ``start`` on."""
     n = len(values)

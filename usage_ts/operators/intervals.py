@@ -42,12 +42,14 @@ def running_totals(
     end: str = "end_d",
     day: str = "d",
     first_day=None,
+    sign: Column | None = None,
 ) -> DataFrame:
     """Every day from the first start to the last end of each group, with totals over active records.
 
     Output: ``by``, ``day``, ``n`` and one column per amount; days without an
     active record are present with zeros. Null amounts count as zero.
-    ``first_day`` cuts the history: earlier days are not produced.
+    ``first_day`` cuts the history: earlier days are not produced. ``sign`` is 1
+    for a record to count and -1 for one to take back.
     """
     records = _valid(df, start, end)
     opening = F.col(start)
@@ -56,13 +58,14 @@ def running_totals(
         records = records.filter(F.col(end) >= cut)
         opening = F.greatest(opening, cut)
     names = list(amounts)
+    plus, minus = F.lit(1) if sign is None else sign, F.lit(-1) if sign is None else -sign
     marks = records.select(
         *by,
         *[a.alias(name) for name, a in amounts.items()],
         F.explode(
             F.array(
-                F.struct(opening.alias("day"), F.lit(1).alias("sign")),
-                F.struct(F.date_add(end, 1).alias("day"), F.lit(-1).alias("sign")),
+                F.struct(opening.alias("day"), plus.cast("int").alias("sign")),
+                F.struct(F.date_add(end, 1).alias("day"), minus.cast("int").alias("sign")),
             )
         ).alias("m"),
     )
@@ -268,11 +271,33 @@ def daily_context(
 
     Days without an active record are present: consumption 0, shares and means null.
     """
+    return context_of(daily_sums(df, numeric, flags, by, start, end, value, day, first_day), numeric, flags, by, day)
+
+
+def daily_sums(
+    df: DataFrame,
+    numeric: Sequence[str],
+    flags: Sequence[str],
+    by: Sequence[str] = (),
+    start: str = "start_d",
+    end: str = "end_d",
+    value: str = "consumption",
+    day: str = "d",
+    first_day=None,
+    sign: Column | None = None,
+) -> DataFrame:
+    """What :func:`daily_context` is made of: counts and fixed-point sums, which add up and can be taken back."""
     rate = C.daily_rate(F.col(value), F.col(start), F.col(end))
     amounts = {"consumption": F.coalesce(rate, F.lit(0))} | moment_amounts(numeric)
     amounts |= {f"_f_{f}": F.coalesce(F.col(f).try_cast(EXACT), F.lit(0).cast(EXACT)) for f in flags}
-    days = running_totals(df, by, amounts, start, end, day, first_day)
-    return days.select(
+    return running_totals(df, by, amounts, start, end, day, first_day, sign)
+
+
+def context_of(
+    sums: DataFrame, numeric: Sequence[str], flags: Sequence[str], by: Sequence[str] = (), day: str = "d"
+) -> DataFrame:
+    """Consumption, means, deviations and shares of the days of :func:`daily_sums`."""
+    return sums.select(
         *by,
         day,
         "n",

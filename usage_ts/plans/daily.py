@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from usage_ts.functions import columns as C
-from usage_ts.operators import intervals, series
+from usage_ts.operators import intervals, revisions, series
 from usage_ts.plans.views import DAYS, DEDUP
 from usage_ts.sources import testtables
 
@@ -55,6 +55,25 @@ def daily_context(spark, sf):
     return _plain(c).filter("n > 0").select("rate_class", "d", "n", "consumption", *[F.round(x, 9).alias(x) for x in cols])
 
 
+REVISED = ["rate_class", "start_d", "end_d", "consumption", "num_a", "num_b", "flag"]
+
+
+def refresh_daily(spark, sf):
+    """Daily figures of an older load, brought to the present one by its changes: records gone, new and revised, of any age."""
+    new = testtables.billing_dedup(spark, sf).withColumn("flag", C.flag_number(F.col("flag_raw")))
+    before = F.when(F.col("l_orderkey") % 10 == 0, 2 * F.col("consumption")).otherwise(F.col("consumption"))
+    old = new.filter("l_linenumber <> 3").withColumn("consumption", before.cast("decimal(18,2)"))
+    gone = new.filter("l_orderkey % 7 = 0").withColumn("end_d", F.date_add("end_d", 400))
+    old = old.unionByName(gone)
+    numeric, flags, by = ["num_a", "num_b"], ["flag"], ["rate_class"]
+    state = intervals.daily_sums(old, numeric, flags, by)
+    delta = intervals.daily_sums(revisions.changes(old, new, REVISED), numeric, flags, by, sign=F.col("sign"))
+    sums = revisions.merged(state, revisions.touched(delta, [*by, "d"]), [*by, "d"])
+    days = intervals.context_of(revisions.horizon(sums, by), numeric, flags, by)
+    cols = ("num_a_avg", "num_a_std", "num_b_avg", "num_b_std", "flag")
+    return _plain(days).filter("n > 0").select("rate_class", "d", "n", "consumption", *[F.round(x, 9).alias(x) for x in cols])
+
+
 def daily_boolean_share(spark, sf):
     b = testtables.billing_dedup(spark, sf).withColumn("flag", C.flag_number(F.col("flag_raw")))
     return intervals.boolean_share(b, ["flag"]).select("d", "n", F.round("flag", 9).alias("flag"))
@@ -124,6 +143,7 @@ QUERIES = {
     "active_on_dates": active_on_dates,
     "daily_numeric_context": daily_numeric_context,
     "daily_context": daily_context,
+    "refresh_daily": refresh_daily,
     "daily_boolean_share": daily_boolean_share,
     "daily_category_fraction": daily_category_fraction,
     "daily_spine": daily_spine,
@@ -132,7 +152,15 @@ QUERIES = {
     "incremental_daily": incremental_daily,
 }
 
+CONTEXT_SQL = f"""WITH {DAYS}
+SELECT rate_class, d, count(*) AS n, CAST(sum(rate) AS DOUBLE) AS consumption,
+       round(CAST(sum(CAST(num_a AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_a_avg, round(stddev_samp(num_a), 9) AS num_a_std,
+       round(CAST(sum(CAST(num_b AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_b_avg, round(stddev_samp(num_b), 9) AS num_b_std,
+       round(avg(CASE WHEN flag_raw = 'X' THEN 1.0 ELSE 0.0 END), 9) AS flag FROM days GROUP BY rate_class, d"""
+
 ORACLES = {
+    "daily_context": CONTEXT_SQL,
+    "refresh_daily": CONTEXT_SQL,
     "daily_consumption": CONSUMPTION_SQL,
     "daily_consumption_explode": CONSUMPTION_SQL,
     "daily_by_class": f"""WITH {DAYS}
@@ -146,11 +174,6 @@ FROM dedup JOIN firsts ON d BETWEEN start_d AND end_d GROUP BY d, rate_class""",
     "daily_numeric_context": f"""WITH {DAYS}
 SELECT d, count(*) AS n, round(CAST(sum(CAST(num_a AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_a_avg, round(stddev_samp(num_a), 9) AS num_a_std,
        round(CAST(sum(CAST(num_b AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_b_avg, round(stddev_samp(num_b), 9) AS num_b_std FROM days GROUP BY d""",
-    "daily_context": f"""WITH {DAYS}
-SELECT rate_class, d, count(*) AS n, CAST(sum(rate) AS DOUBLE) AS consumption,
-       round(CAST(sum(CAST(num_a AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_a_avg, round(stddev_samp(num_a), 9) AS num_a_std,
-       round(CAST(sum(CAST(num_b AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_b_avg, round(stddev_samp(num_b), 9) AS num_b_std,
-       round(avg(CASE WHEN flag_raw = 'X' THEN 1.0 ELSE 0.0 END), 9) AS flag FROM days GROUP BY rate_class, d""",
     "daily_boolean_share": f"""WITH {DAYS}
 SELECT d, count(*) AS n, round(avg(CASE WHEN flag_raw = 'X' THEN 1.0 ELSE 0.0 END), 9) AS flag
 FROM days GROUP BY d""",

@@ -6,20 +6,25 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from usage_ts.functions.arrays import dot
-from usage_ts.learning import additive, forest, search
+from usage_ts.functions import columns as C
+from usage_ts.learning import additive, forest, orders, search
 from usage_ts.learning import forecasters as FC
-from usage_ts.operators import evaluation, series
+from usage_ts.operators import evaluation, intervals, series
 from usage_ts.plans.evaluation import FOLDS, TEST_ROWS, metrics_sql
 from usage_ts.plans.timeseries import HOLIDAY_COLUMNS, class_series, event_series, holiday_calendar
-from usage_ts.plans.views import SERIES
+from usage_ts.plans.views import DEDUP, SERIES
+from usage_ts.sources import testtables
 
 AHEAD = 60
 LAGS = 28
+LONG_LAGS = 300
 TWO_LAGS = {"T_X": 2}
 WALK = {"P": 0, "D": 1, "Q": 0}
 AR1 = {"P": 1, "D": 1, "Q": 0}
 AR2 = {"P": 2, "D": 1, "Q": 0}
 MONTHLY = {"P": 7, "D": 1, "Q": 14}
+FOREST = {"T_X": LAGS, "N_ESTIMATORS": 20, "MAX_DEPTH": 5}
+ONE_SPLIT = {"T_X": 1, "N_ESTIMATORS": 1, "MAX_DEPTH": 1, "MAX_BINS": 256, "BOOTSTRAP": False}
 
 
 def _split(spark, sf):
@@ -71,18 +76,33 @@ def pooled_lag_fit(spark, sf):
 
 
 def forest_lag_fit(spark, sf):
+    """One forest over all series; its predictions of every window."""
     s = class_series(spark, sf)
     stats = series.fit_scale(s, ["y"])
-    windowed = forest.windows(s, stats, LAGS).persist()
-    model = forest.fit_forest(windowed, trees=20, depth=5, seed=7)
-    return forest.predictions(model, windowed, stats).select("series_key", "ds", "y", "yhat")
+    windowed = forest.windows(s, stats, LAGS)
+    return forest.predictions(forest.fit_forest(windowed, trees=20, depth=5, seed=7), windowed, stats).select("series_key", "ds", "y", "yhat")
 
 
 def forest_forecast(spark, sf):
-    s = event_series(spark, sf)
-    stats = series.fit_scale(s, ["y"])
-    model = forest.fit_forest(forest.windows(s, stats, 7).persist(), trees=20, depth=5, seed=7)
-    return forest.recursive_forecast(model, s, stats, 7, 14)
+    s = FC.with_params(class_series(spark, sf), "random_forest", FOREST)
+    return FC.forecast(FC.fit_models(s, "random_forest"), AHEAD, model="random_forest")
+
+
+def _one_split(spark, sf):
+    """A forest of one tree with one split, chosen among all thresholds, on yesterday's value."""
+    return FC.with_params(event_series(spark, sf), "random_forest", ONE_SPLIT)
+
+
+def forest_one_split(spark, sf):
+    """With the last seven days held out: one-step predictions of both parts and the forecast of the test rows."""
+    ready = series.split_fixed(_one_split(spark, sf), 7)
+    return _round(FC.evaluate(ready, "random_forest"), "gt", "model", "forecast", "test_pred", places=4)
+
+
+def forest_one_split_forecast(spark, sf):
+    """Fitted on all rows, saved, loaded and walked forward."""
+    ahead = FC.forecast(FC.fit_models(_one_split(spark, sf), "random_forest"), AHEAD, model="random_forest")
+    return _round(ahead, "yhat", places=4)
 
 
 def one_step_predictions(spark, sf):
@@ -183,6 +203,34 @@ def order_search(spark, sf):
     )
 
 
+def all_orders(spark, sf):
+    """Every autoregressive order from 0 to 30 of each series: AIC and the coefficient of the longest lag."""
+    fits = orders.all_orders(class_series(spark, sf), 30)
+    last = F.try_element_at("coef", F.lit(-1))
+    rows = fits.select("series_key", "order", "n_rows", "aic", last.alias("last_weight"))
+    return _round(rows, "aic", "last_weight", places=5)
+
+
+def lag_regression_by_account(spark, sf):
+    """300 lags on the daily series of every account: what is left correlates with no lag and has mean zero.
+
+    ``condition`` is the largest product sum of the residuals with the constant and with lags 1, 7, 100 and 300,
+    as a share of the absolute sum of the values' products with them.
+    """
+    days = intervals.daily_consumption(testtables.billing_dedup(spark, sf), ["account"], spine=True)
+    s = days.select(F.col("account").alias("series_key"), F.col("d").alias("ds"), C.plain(F.col("consumption")).alias("y"))
+    ready = FC.with_params(s.withColumn("role", F.lit("train")), "linear_regression", {"T_X": LONG_LAGS})
+    fitted = FC.evaluate(ready, "linear_regression")
+    by_day = Window.partitionBy("series_key").orderBy("ds")
+    lags = {f"x{k}": F.lag("gt", k).over(by_day) for k in (1, 7, 100, LONG_LAGS)}
+    rows = fitted.withColumns({**lags, "x0": F.lit(1.0), "e": F.col("gt") - F.col("model")})
+    share = lambda x: F.try_divide(F.abs(F.sum(F.col("e") * F.col(x))), F.sum(F.abs(F.when(F.col("e").isNotNull(), F.col("gt")) * F.col(x))))
+    worst = F.greatest(*[F.coalesce(share(x), F.lit(0.0)) for x in ("x0", *lags)])
+    return rows.groupBy("series_key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.when(F.count("e") > 0, F.round(worst, 5) + 0.0).alias("condition")
+    )
+
+
 def cv_evaluate(spark, sf):
     metrics = search.cross_validate(class_series(spark, sf), "arima", AR1)
     return _round(metrics, *evaluation.METRICS, places=4)
@@ -210,7 +258,7 @@ def evaluate_refit_forecast(spark, sf):
 
 
 def train_all_models(spark, sf):
-    models = {"last_value": None, "linear_regression": {"T_X": LAGS}, "arima": MONTHLY, "sarimax": None}
+    models = {name: None for name in FC.REGISTRY} | {"random_forest": FOREST, "arima": MONTHLY, "linear_regression": {"T_X": LAGS}}
     return search.evaluate_all(_split(spark, sf), models)
 
 
@@ -273,6 +321,18 @@ SELECT series_key, CAST(CASE WHEN round(ar1.aic, 9) <= round(ar2.aic, 9) THEN 1
        round(least(ar1.aic, ar2.aic), 4) AS aic, CAST(2 AS BIGINT) AS fits
 FROM ar1 JOIN ar2 USING (series_key)"""
 
+ALL_ORDERS_SQL = f"""WITH RECURSIVE {SERIES},
+c AS (SELECT series_key, rn, n, y - avg(y) OVER (PARTITION BY series_key) AS c FROM series),
+k AS (SELECT CAST(unnest(range(31)) AS INTEGER) AS k),
+r AS (SELECT a.series_key, k, any_value(a.n) AS n, sum(a.c * b.c) / any_value(a.n) AS r FROM c a CROSS JOIN k
+      JOIN c b ON b.series_key = a.series_key AND b.rn = a.rn - k GROUP BY a.series_key, k),
+l AS (SELECT series_key, any_value(n) AS n, list(r ORDER BY k) AS r FROM r GROUP BY series_key),
+go AS (SELECT series_key, n, r, 0 AS m, CAST([] AS DOUBLE[]) AS phi, r[1] AS v FROM l
+  UNION ALL SELECT series_key, n, r, m + 1, list_append(list_transform(range(1, m + 1), lambda j: phi[j] - k * phi[m + 1 - j]), k), v * (1 - k * k)
+  FROM (SELECT *, (r[m + 2] - coalesce(list_sum(list_transform(range(1, m + 1), lambda j: phi[j] * r[m + 2 - j])), 0)) / v AS k
+        FROM go WHERE m < 30))
+SELECT series_key, m AS "order", n AS n_rows, round(n * ln(v) + 2 * (m + 1), 5) + 0.0 AS aic, round(phi[m], 5) + 0.0 AS last_weight FROM go"""
+
 REFIT_SQL = f"""WITH {_diff(f'rn <= n - {TEST_ROWS}')},
 ev AS (SELECT p.series_key, p.y - {_path(f'(p.rn - (p.n - {TEST_ROWS}))')} AS e
        FROM part p JOIN f USING (series_key) JOIN tip USING (series_key) WHERE NOT p.tr),
@@ -311,6 +371,39 @@ ev AS (
   FROM r JOIN tip USING (series_key))
 {metrics_sql('ev', 'series_key, model_name').replace(', 6)', ', 4)')}"""
 
+def _stump(train: str) -> str:
+    """The split of yesterday's scaled value that explains most, over all series, and the mean on either side."""
+    return f"""ev AS (SELECT event_type AS series_key, CAST(ts AS DATE) AS ds, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS y
+       FROM events GROUP BY ALL),
+num AS (SELECT *, row_number() OVER v AS rn, count(*) OVER (PARTITION BY series_key) AS n FROM ev WINDOW v AS (PARTITION BY series_key ORDER BY ds)),
+part AS (SELECT *, {train} AS tr FROM num),
+st AS (SELECT series_key, avg(y) AS m, CASE WHEN stddev_pop(y) > 0 THEN stddev_pop(y) ELSE 1 END AS s, max(rn) AS last
+       FROM part WHERE tr GROUP BY series_key),
+z AS (SELECT part.*, m, s, last, (y - m) / s AS z, lag((y - m) / s) OVER (PARTITION BY series_key ORDER BY ds) AS x
+      FROM part JOIN st USING (series_key)),
+t AS (SELECT z, x FROM z WHERE tr AND x IS NOT NULL),
+cum AS (SELECT x, sum(z) AS sz, count(*) AS c FROM t GROUP BY x),
+cuts AS (SELECT (x + lead(x) OVER v) / 2 AS thr, sum(sz) OVER v AS ls, sum(c) OVER v AS lc, sum(sz) OVER () AS al, sum(c) OVER () AS ac
+         FROM cum WINDOW v AS (ORDER BY x)),
+best AS (SELECT thr FROM cuts WHERE thr IS NOT NULL ORDER BY ls * ls / lc + (al - ls) * (al - ls) / (ac - lc) DESC, thr LIMIT 1),
+leaf AS (SELECT thr, (SELECT avg(z) FROM t WHERE x <= thr) AS lo, (SELECT avg(z) FROM t WHERE x > thr) AS hi FROM best)"""
+
+
+def _stump_walk(steps: str) -> str:
+    return f"""go AS (SELECT series_key, 0 AS h, z FROM z WHERE rn = last
+       UNION ALL SELECT series_key, h + 1, CASE WHEN z <= thr THEN lo ELSE hi END FROM go CROSS JOIN leaf WHERE h < {steps})"""
+
+
+ONE_SPLIT_SQL = f"""WITH RECURSIVE {_stump('rn <= n - 7')}, {_stump_walk('7')},
+p AS (SELECT z.*, CASE WHEN x <= thr THEN lo WHEN x > thr THEN hi END * s + m AS p FROM z CROSS JOIN leaf)
+SELECT p.series_key, p.ds, round(y, 4) + 0.0 AS gt, round(CASE WHEN tr THEN p END, 4) + 0.0 AS model,
+       round(CASE WHEN NOT tr THEN go.z * s + m END, 4) + 0.0 AS forecast, round(CASE WHEN NOT tr THEN p END, 4) + 0.0 AS test_pred
+FROM p LEFT JOIN go ON go.series_key = p.series_key AND go.h = p.rn - p.last AND go.h > 0"""
+
+ONE_SPLIT_FORECAST_SQL = f"""WITH RECURSIVE {_stump('TRUE')}, {_stump_walk(str(AHEAD))}
+SELECT go.series_key, 'random_forest' AS model, z.ds + go.h AS ds, round(go.z * s + m, 4) + 0.0 AS yhat
+FROM go JOIN z ON z.series_key = go.series_key AND z.rn = z.last WHERE go.h > 0"""
+
 QUERIES = {
     "ar1_by_series": ar1_by_series,
     "ols_two_lag_fit": ols_two_lag_fit,
@@ -318,6 +411,8 @@ QUERIES = {
     "pooled_lag_fit": pooled_lag_fit,
     "forest_lag_fit": forest_lag_fit,
     "forest_forecast": forest_forecast,
+    "forest_one_split": forest_one_split,
+    "forest_one_split_forecast": forest_one_split_forecast,
     "one_step_predictions": one_step_predictions,
     "recursive_forecast": recursive_forecast,
     "additive_fit": additive_fit,
@@ -330,6 +425,8 @@ QUERIES = {
     "seasonal_arma_fit": seasonal_arma_fit,
     "seasonal_arma_annual": seasonal_arma_annual,
     "order_search": order_search,
+    "all_orders": all_orders,
+    "lag_regression_by_account": lag_regression_by_account,
     "cv_evaluate": cv_evaluate,
     "hparam_search": hparam_search,
     "hparam_search_lags": hparam_search_lags,
@@ -356,10 +453,16 @@ go AS (SELECT series_key, 0 AS h, a1, a2 FROM seed
        UNION ALL SELECT go.series_key, h + 1, b0 + b1 * a1 + b2 * a2, a1 FROM go JOIN fit USING (series_key) WHERE h < {AHEAD})
 SELECT go.series_key, 'linear_regression' AS model, ds + h AS ds, round(go.a1 * s + m, 4) + 0.0 AS yhat
 FROM go JOIN fit USING (series_key) JOIN seed ON go.series_key = seed.series_key WHERE h > 0""",
+    "forest_one_split": ONE_SPLIT_SQL,
+    "forest_one_split_forecast": ONE_SPLIT_FORECAST_SQL,
     "arma_fit": f"""WITH {_diff('TRUE')}, h AS (SELECT CAST(unnest(range(1, {AHEAD + 1})) AS INTEGER) AS h)
 SELECT series_key, tip.ds + h AS ds, round({_path('h')}, 5) AS yhat, round(phi, 5) AS phi, round(aic, 5) AS aic
 FROM ar1 JOIN tip USING (series_key) CROSS JOIN h""",
     "order_search": ORDER_SQL,
+    "all_orders": ALL_ORDERS_SQL,
+    "lag_regression_by_account": f"""WITH {DEDUP},
+a AS (SELECT account AS series_key, CAST(date_diff('day', min(start_d), max(end_d)) + 1 AS BIGINT) AS n_rows FROM dedup GROUP BY account)
+SELECT series_key, n_rows, CASE WHEN n_rows > {LONG_LAGS} THEN 0.0 END AS condition FROM a""",
     "cv_evaluate": f"WITH {CV_AR1} {metrics_sql('ev', 'series_key, fold').replace(', 6)', ', 4)')}",
     "hparam_search": HPARAM_SQL,
     "evaluate_refit_forecast": REFIT_SQL,

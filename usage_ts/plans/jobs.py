@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from usage_ts.functions import columns as C
 from usage_ts.learning import forecasters as FC
-from usage_ts.learning import additive, search
-from usage_ts.operators import cleaning, clients, clustering, dedup, evaluation, intervals, series
+from usage_ts.learning import additive, forest, orders, search  # noqa: F401  these register themselves
+from usage_ts.operators import cleaning, clients, clustering, dedup, evaluation, intervals, revisions, series
 from usage_ts.sources import extracts, store
 from usage_ts.sources.layout import Layout
 
@@ -126,6 +126,37 @@ def refresh_daily(
     return series.trim(merged, 0, layout.end_trim, by, "d")
 
 
+def daily_state(records: DataFrame, path: str, layout: Layout = Layout(), by: Sequence[str] = ()) -> None:
+    """Sums per day, in folders by month: what :func:`revise_daily` keeps up to date."""
+    sums = intervals.daily_sums(
+        records, layout.numeric, layout.boolean, by, layout.start, layout.end, layout.value
+    )
+    store.write_by_month(sums, path)
+
+
+def revise_daily(
+    spark: SparkSession,
+    path: str,
+    old_records: DataFrame,
+    new_records: DataFrame,
+    layout: Layout = Layout(),
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """W14 for revisions of any age: take back what is gone or was changed, add what is new, rewrite only months touched.
+
+    Returns the daily figures of the revised state at ``path``.
+    """
+    changed = revisions.changes(old_records, new_records, layout.columns)
+    delta = intervals.daily_sums(
+        changed, layout.numeric, layout.boolean, by, layout.start, layout.end, layout.value, sign=F.col("sign")
+    )
+    revisions.revise_table(spark, path, delta, by)
+    sums = store.read_table(spark, path).drop("month")
+    return intervals.closed_horizon(
+        intervals.context_of(revisions.horizon(sums, by), layout.numeric, layout.boolean, by), by
+    )
+
+
 def client_table(records: DataFrame, eval_date, layout: Layout = Layout(), compat: bool = False) -> DataFrame:
     """One row per account: attributes as of a date and the twelve months before it."""
     attributes = [*layout.numeric, *layout.boolean, *layout.categorical]
