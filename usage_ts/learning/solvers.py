@@ -17,12 +17,12 @@ def least_squares(x: np.ndarray, y: np.ndarray, penalty: np.ndarray | None = Non
 
 
 def solve_symmetric(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Solution of smallest norm of a positive semidefinite system; directions below rounding are left out."""
+    """Solution of smallest norm of a positive semidefinite system, for each column of ``b``; directions below rounding are left out."""
     if not len(b):
-        return np.zeros(0)
+        return np.zeros(b.shape)
     values, vectors = np.linalg.eigh(a)
     kept = values > max(values[-1], 0.0) * len(b) * 1e-14
-    return vectors[:, kept] @ ((vectors[:, kept].T @ b) / values[kept])
+    return vectors[:, kept] @ ((vectors[:, kept].T @ b).T / values[kept]).T
 
 
 def lagged(values: np.ndarray, lags: list[int], start: int) -> np.ndarray:

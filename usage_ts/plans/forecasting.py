@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from usage_ts.functions.arrays import dot
 from usage_ts.functions import columns as C
-from usage_ts.learning import additive, forest, orders, search
+from usage_ts.learning import additive, forest, multivariate, orders, search
 from usage_ts.learning import forecasters as FC
 from usage_ts.operators import evaluation, intervals, series
 from usage_ts.plans.evaluation import FOLDS, TEST_ROWS, metrics_sql
 from usage_ts.plans.timeseries import HOLIDAY_COLUMNS, class_series, event_series, holiday_calendar
-from usage_ts.plans.views import DEDUP, SERIES
+from usage_ts.plans.views import DAYS, DEDUP, SERIES
 from usage_ts.sources import testtables
 
 AHEAD = 60
@@ -231,6 +231,30 @@ def lag_regression_by_account(spark, sf):
     )
 
 
+def _two_features(spark, sf):
+    """Daily consumption and number of active records of each class."""
+    days = intervals.daily_consumption(testtables.billing_dedup(spark, sf), ["rate_class"])
+    return days.select(
+        F.col("rate_class").alias("series_key"), F.col("d").alias("ds"),
+        C.plain(F.col("consumption")).alias("y"), F.col("n").cast("double").alias("active"),
+    )
+
+
+def feature_lag_forecast(spark, sf):
+    """Two features on yesterday's two features, both fed back over the horizon."""
+    s = FC.with_params(_two_features(spark, sf), multivariate.forecaster(["active"]), {"T_X": 1})
+    models = multivariate.fit_features(s, ["y", "active"])
+    return _round(multivariate.forecast_features(models, ["y", "active"], AHEAD), "y", "active", places=4)
+
+
+def feature_lag_evaluate(spark, sf):
+    """The same with the last half year held out: one-step predictions and the forecast of the test rows."""
+    model = multivariate.forecaster(["active"])
+    split = series.split_fixed(_two_features(spark, sf), TEST_ROWS)
+    rows = FC.evaluate(FC.with_params(split, model, {"T_X": 1}), model)
+    return _round(rows, "model", "forecast", "test_pred", places=4)
+
+
 def cv_evaluate(spark, sf):
     metrics = search.cross_validate(class_series(spark, sf), "arima", AR1)
     return _round(metrics, *evaluation.METRICS, places=4)
@@ -371,6 +395,42 @@ ev AS (
   FROM r JOIN tip USING (series_key))
 {metrics_sql('ev', 'series_key, model_name').replace(', 6)', ', 4)')}"""
 
+def _vector_lag(train: str) -> str:
+    """Both features on yesterday's: scaler, coefficients and the walk from the last training day."""
+    return f"""{DAYS},
+two AS (SELECT rate_class AS series_key, d AS ds, CAST(sum(rate) AS DOUBLE) AS a, CAST(count(*) AS DOUBLE) AS b,
+          row_number() OVER (PARTITION BY rate_class ORDER BY d) AS rn, count(*) OVER (PARTITION BY rate_class) AS n
+        FROM days GROUP BY rate_class, d),
+part AS (SELECT *, {train} AS tr FROM two),
+st AS (SELECT series_key, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, max(rn) AS last
+       FROM part WHERE tr GROUP BY series_key),
+z AS (SELECT part.*, last, (a - ma) / sa AS za, (b - mb) / sb AS zb, lag((a - ma) / sa) OVER w AS a1, lag((b - mb) / sb) OVER w AS b1
+      FROM part JOIN st USING (series_key) WINDOW w AS (PARTITION BY series_key ORDER BY ds)),
+c AS (SELECT series_key, var_pop(a1) AS v1, var_pop(b1) AS v2, covar_pop(a1, b1) AS v12, covar_pop(za, a1) AS aa, covar_pop(za, b1) AS ab,
+        covar_pop(zb, a1) AS ba, covar_pop(zb, b1) AS bb, avg(za) AS m0a, avg(zb) AS m0b, avg(a1) AS m1a, avg(b1) AS m1b
+      FROM z WHERE tr AND rn > 1 GROUP BY series_key),
+w AS (SELECT *, (v2 * aa - v12 * ab) / (v1 * v2 - v12 * v12) AS waa, (v1 * ab - v12 * aa) / (v1 * v2 - v12 * v12) AS wab,
+        (v2 * ba - v12 * bb) / (v1 * v2 - v12 * v12) AS wba, (v1 * bb - v12 * ba) / (v1 * v2 - v12 * v12) AS wbb FROM c),
+fit AS (SELECT *, m0a - waa * m1a - wab * m1b AS ia, m0b - wba * m1a - wbb * m1b AS ib FROM w JOIN st USING (series_key))"""
+
+
+def _vector_walk(steps) -> str:
+    return f"""go AS (SELECT series_key, 0 AS h, za, zb FROM z WHERE rn = last
+       UNION ALL SELECT go.series_key, h + 1, ia + waa * za + wab * zb, ib + wba * za + wbb * zb
+       FROM go JOIN fit USING (series_key) WHERE h < {steps})"""
+
+
+VECTOR_FORECAST_SQL = f"""WITH RECURSIVE {_vector_lag('TRUE')}, {_vector_walk(AHEAD)}
+SELECT go.series_key, z.ds + go.h AS ds, round(go.za * sa + ma, 4) + 0.0 AS y, round(go.zb * sb + mb, 4) + 0.0 AS active
+FROM go JOIN fit USING (series_key) JOIN z ON z.series_key = go.series_key AND z.rn = z.last WHERE go.h > 0"""
+
+VECTOR_EVALUATE_SQL = f"""WITH RECURSIVE {_vector_lag(f'rn <= n - {TEST_ROWS}')}, {_vector_walk(TEST_ROWS)},
+p AS (SELECT z.*, sa, ma, (ia + waa * a1 + wab * b1) * sa + ma AS p FROM z JOIN fit USING (series_key))
+SELECT p.series_key, p.ds, a AS gt, round(CASE WHEN tr THEN p END, 4) + 0.0 AS model,
+       round(CASE WHEN NOT tr THEN go.za * sa + ma END, 4) + 0.0 AS forecast, round(CASE WHEN NOT tr THEN p END, 4) + 0.0 AS test_pred
+FROM p LEFT JOIN go ON go.series_key = p.series_key AND go.h = p.rn - p.last AND go.h > 0"""
+
+
 def _stump(train: str) -> str:
     """The split of yesterday's scaled value that explains most, over all series, and the mean on either side."""
     return f"""ev AS (SELECT event_type AS series_key, CAST(ts AS DATE) AS ds, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS y
@@ -427,6 +487,8 @@ QUERIES = {
     "order_search": order_search,
     "all_orders": all_orders,
     "lag_regression_by_account": lag_regression_by_account,
+    "feature_lag_forecast": feature_lag_forecast,
+    "feature_lag_evaluate": feature_lag_evaluate,
     "cv_evaluate": cv_evaluate,
     "hparam_search": hparam_search,
     "hparam_search_lags": hparam_search_lags,
@@ -460,6 +522,8 @@ SELECT series_key, tip.ds + h AS ds, round({_path('h')}, 5) AS yhat, round(phi,
 FROM ar1 JOIN tip USING (series_key) CROSS JOIN h""",
     "order_search": ORDER_SQL,
     "all_orders": ALL_ORDERS_SQL,
+    "feature_lag_forecast": VECTOR_FORECAST_SQL,
+    "feature_lag_evaluate": VECTOR_EVALUATE_SQL,
     "lag_regression_by_account": f"""WITH {DEDUP},
 a AS (SELECT account AS series_key, CAST(date_diff('day', min(start_d), max(end_d)) + 1 AS BIGINT) AS n_rows FROM dedup GROUP BY account)
 SELECT series_key, n_rows, CASE WHEN n_rows > {LONG_LAGS} THEN 0.0 END AS condition FROM a""",
