@@ -1,6 +1,7 @@
 """Reading, cleaning and deduplicating extracts, with the traits real files have."""
 
 import datetime as dt
+import uuid
 
 import pytest
 
@@ -55,6 +56,55 @@ def test_one_frame_per_header(spark, folder):
     assert {r[0] for r in frames[1].select(extracts.SOURCE).distinct().collect()} == {"2020q2.csv"}
 
 
+def jobs_of(spark, work):
+    group = f"census-{uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(group, "census")
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_follow_layouts_not_files(spark, tmp_path):
+    for i in range(160):
+        head = ("a,b", "a,b,c")[i % 2]
+        lines = "\n".join(f"{i},{j}" + ",x" * (i % 2) for j in range(i % 5 * 10))
+        (tmp_path / f"f{i:03d}.csv").write_text(f"{head}\n{lines}")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n \n")
+    paths = extracts.list_extracts(spark, str(tmp_path))
+    assert len(paths) == 161
+    few, n_few = jobs_of(spark, lambda: extracts.read_extracts(spark, paths[:81]))
+    many, n_many = jobs_of(spark, lambda: extracts.read_extracts(spark, paths))
+    assert n_few == n_many and len(few) == len(many) == 2
+    assert sum(f.count() for f in many) == sum(i % 5 * 10 for i in range(160))
+    census = {bytes(r.line): r.files for r in extracts.header_census(spark, paths).collect()}
+    assert census == {b"a,b": 80, b"a,b,c": 80}
+    assert extracts.read_extracts(spark, []) == []
+
+
+def test_first_lines_of_split_files(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("a,b\n" + "0,0\n" * 2_000_000)
+    (tmp_path / "short.csv").write_bytes(b"\r\na,c\r\n1,2\r\n")
+    paths = extracts.list_extracts(spark, str(tmp_path))
+    assert [h for h, _ in extracts.layouts_of(spark, paths)] == [["a", "b"], ["a", "c"]]
+
+
+def test_broken_lines_are_counted(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('a,b,c\n1,2,3\n1,2\n\n1,2,3,4\n,,\n')
+    (tmp_path / "q.csv").write_text('a,b\n1,"two\nlines"\n3,4\n')
+    (tmp_path / "r.csv").write_text("a,b,c\n")
+    paths = extracts.list_extracts(spark, str(tmp_path))
+    plain = {r[0]: (r.lines, r.broken) for r in extracts.line_counts(spark, paths).collect()}
+    assert plain == {"p.csv": (4, 2), "q.csv": (3, 1)}
+    quoted = {r[0]: (r.lines, r.broken) for r in extracts.line_counts(spark, paths, multiline=True).collect()}
+    assert quoted == {"p.csv": (4, 2), "q.csv": (2, 0)}
+    cells = [r.b for f in extracts.read_extracts(spark, paths, multiline=True) if "c" not in f.columns for r in f.collect()]
+    assert cells == ["two\nlines", "4"]
+    assert extracts.line_counts(spark, []).count() == 0
+
+
 def test_records_are_clean_and_last_file_wins(spark, folder):
     r = jobs.load_records(spark, folder)
     assert set(r.columns) == set(Layout().columns)

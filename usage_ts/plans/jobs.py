@@ -23,9 +23,10 @@ def load_records(
     layout: Layout = Layout(),
     rate_class: str = "all",
     compat: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
-    """Clean, deduplicated billing records of all extracts of a folder."""
-    frames = extracts.read_extracts(spark, extracts.list_extracts(spark, directory))
+    """Clean, deduplicated billing records of all extracts of a folder; ``multiline`` if cells may hold line breaks."""
+    frames = extracts.read_extracts(spark, extracts.list_extracts(spark, directory), multiline)
     absent = {c: C.UNKNOWN_CATEGORY if c in layout.categorical else "0.0" for c in layout.columns}
     rows = extracts.union_extracts(frames, [*layout.columns, extracts.SOURCE], absent)
     rows = extracts.of_rate_class(rows, rate_class, layout.rate_class, compat=compat)

@@ -28,7 +28,7 @@ def clean_name(name: str) -> str:
 
 
 def list_extracts(spark: SparkSession, directory: str) -> list[str]:
-    """Paths of the CSV files of a directory, in name order (Q7).
+    """Paths of the CSV files of a directory that hold anything, in name order (Q7).
 
     Only file names reach the driver; the content column is pruned.
     """
@@ -36,34 +36,87 @@ def list_extracts(spark: SparkSession, directory: str) -> list[str]:
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.csv")
         .load(directory)
+        .filter("length > 0")
         .select("path")
-        .orderBy("path")
     )
-    return [row.path for row in files.toLocalIterator()]
+    return sorted(row.path for row in files.collect())
 
 
-def read_extracts(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
+def header_census(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """One row per layout, (line, files, paths): the first line as bytes, and who begins with it.
+
+    One job whatever the number of files. It goes once over the plain lines, without parsing them and without
+    Python; each task keeps one line per file, so what is shuffled has a row per file and split. A file without
+    a line that is not blank is in no layout.
+    """
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("place"),
+        "value",
+    )
+    first = lines.filter(F.trim("value") != "").groupBy("path").agg(F.min_by("value", F.struct("at", "place")).alias("line"))
+    return first.groupBy(F.col("line").cast("binary").alias("line")).agg(
+        F.count(F.lit(1)).alias("files"), F.array_sort(F.collect_list("path")).alias("paths")
+    )
+
+
+def layouts_of(spark: SparkSession, paths: Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """(header, paths) of each layout, in the order of its first path.
+
+    Files are grouped by their first line in one job; the header of a group is read once, as the reader sees it.
+    """
+    if not paths:
+        return []
+    found: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for group in header_census(spark, paths).collect():
+        header = spark.read.options(**CSV_OPTIONS).csv(group.paths[0]).columns
+        found[tuple(header)].extend(group.paths)
+    return sorted(((list(h), sorted(p)) for h, p in found.items()), key=lambda layout: layout[1][0])
+
+
+def _scan(spark: SparkSession, header: Sequence[str], paths: Sequence[str], multiline: bool, broken: str | None = None) -> DataFrame:
+    """All-text scan of files of one layout; ``broken`` names a column for lines that do not have its number of cells."""
+    fields = [T.StructField(name, T.StringType()) for name in (*header, *([broken] if broken else []))]
+    reader = spark.read.schema(T.StructType(fields)).options(**CSV_OPTIONS).option("multiLine", multiline)
+    if broken:
+        # Cells are counted only where the reader takes all of them.
+        reader = reader.option("columnNameOfCorruptRecord", broken).option("columnPruning", False)
+    return reader.csv(list(paths))
+
+
+def read_extracts(spark: SparkSession, paths: Sequence[str], multiline: bool = False) -> list[DataFrame]:
     """One all-text DataFrame per distinct header, with the file name as lineage.
 
-    The header of a file costs a read of its first line; files that share a
-    header are scanned together, so the number of scans follows the number of
-    layouts, not of files.
+    Files that share a header are scanned together, so the number of jobs and scans follows the number of
+    layouts, not of files. With ``multiline`` a quoted cell may hold line breaks; such a file is read by one task.
+    """
+    return [
+        _scan(spark, header, members, multiline).select(
+            *[F.col(f"`{name}`").alias(clean_name(name)) for name in header],
+            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias(SOURCE),
+        )
+        for header, members in layouts_of(spark, paths)
+    ]
+
+
+def line_counts(spark: SparkSession, paths: Sequence[str], multiline: bool = False) -> DataFrame:
+    """(source file, lines, broken): records of each file, and those with more or fewer cells than its header.
+
+    Broken records are still read, cut or filled with nulls. Blank lines are no records; a file with a header
+    alone has no row.
     """
-    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in paths:
-        header = spark.read.options(**CSV_OPTIONS).csv(path).columns
-        by_header[tuple(header)].append(path)
-    frames = []
-    for header, members in by_header.items():
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        frame = spark.read.schema(schema).options(**CSV_OPTIONS).csv(members)
-        frames.append(
-            frame.select(
-                *[F.col(f"`{name}`").alias(clean_name(name)) for name in header],
-                F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias(SOURCE),
-            )
+    schema = f"{SOURCE} string, lines bigint, broken bigint"
+    counts = [spark.createDataFrame([], schema)]
+    for header, members in layouts_of(spark, paths):
+        rows = _scan(spark, header, members, multiline, "_broken").select(
+            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias(SOURCE),
+            F.col(f"`{header[0]}`").alias("_first"),  # the reader refuses to give broken lines alone
+            "_broken",
         )
-    return frames
+        lines = F.count("_first") + F.count_if(F.col("_first").isNull())
+        counts.append(rows.groupBy(SOURCE).agg(lines.alias("lines"), F.count("_broken").alias("broken")))
+    return reduce(DataFrame.unionByName, counts)
 
 
 def align_columns(df: DataFrame, defaults: Mapping[str, object], keep: Sequence[str]) -> DataFrame:
