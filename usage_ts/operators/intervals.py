@@ -288,15 +288,24 @@ def daily_sums(
 ) -> DataFrame:
     """What :func:`daily_context` is made of: counts and fixed-point sums, which add up and can be taken back."""
     rate = C.daily_rate(F.col(value), F.col(start), F.col(end))
+    return running_totals(df, by, context_amounts(rate, numeric, flags), start, end, day, first_day, sign)
+
+
+def context_amounts(rate: Column, numeric: Sequence[str], flags: Sequence[str]) -> dict[str, Column]:
+    """What a record adds to each of its days."""
     amounts = {"consumption": F.coalesce(rate, F.lit(0))} | moment_amounts(numeric)
-    amounts |= {f"_f_{f}": F.coalesce(F.col(f).try_cast(EXACT), F.lit(0).cast(EXACT)) for f in flags}
-    return running_totals(df, by, amounts, start, end, day, first_day, sign)
+    return amounts | {f"_f_{f}": F.coalesce(F.col(f).try_cast(EXACT), F.lit(0).cast(EXACT)) for f in flags}
 
 
 def context_of(
-    sums: DataFrame, numeric: Sequence[str], flags: Sequence[str], by: Sequence[str] = (), day: str = "d"
+    sums: DataFrame,
+    numeric: Sequence[str],
+    flags: Sequence[str],
+    by: Sequence[str] = (),
+    day: str = "d",
+    others: Sequence[str] = (),
 ) -> DataFrame:
-    """Consumption, means, deviations and shares of the days of :func:`daily_sums`."""
+    """Consumption, means, deviations and shares of the days of :func:`daily_sums`, and ``others`` as they are."""
     return sums.select(
         *by,
         day,
@@ -304,6 +313,7 @@ def context_of(
         "consumption",
         *moment_columns(numeric),
         *[F.try_divide(F.col(f"_f_{f}").cast("double"), F.col("n")).alias(f) for f in flags],
+        *others,
     )
 
 
@@ -363,6 +373,82 @@ def pivot_fractions(
     return fractions.groupBy(*by, day).agg(*wanted)
 
 
+SHARES = "shares"
+
+
+def daily_wide(
+    df: DataFrame,
+    numeric: Sequence[str],
+    flags: Sequence[str],
+    categories: Sequence[str],
+    by: Sequence[str] = (),
+    start: str = "start_d",
+    end: str = "end_d",
+    value: str = "consumption",
+    day: str = "d",
+    first_day=None,
+) -> DataFrame:
+    """The columns of :func:`daily_context` and a map of shares, all from one pass over the records.
+
+    ``shares`` maps each feature to a map of the values seen that day and their share; a feature without a
+    known value that day has an empty map. A record is one row for the numbers and one per known category
+    value, added up per day below the shuffle.
+    """
+    kind = [F.struct(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("value"))]
+    kind += [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in categories]
+    kinds = F.filter(F.array(*kind), lambda k: k["feature"].isNull() | k["value"].isNotNull())
+    rows = df.withColumn("_kind", F.explode(kinds))
+    rows = rows.withColumns({"_feature": F.col("_kind.feature"), "_value": F.col("_kind.value")}).drop("_kind")
+    rate = C.daily_rate(F.col(value), F.col(start), F.col(end))
+    amounts = context_amounts(rate, numeric, flags)
+    of_numbers = {c: F.when(F.col("_feature").isNull(), a) for c, a in amounts.items()}
+    days = running_totals(rows, [*by, "_feature", "_value"], of_numbers, start, end, day, first_day)
+    days = days.filter(F.col("_feature").isNull() | (F.col("n") > 0))
+    own = F.col("_feature").isNull()
+    entry = F.when(~own, F.struct(F.col("_feature").alias("f"), F.col("_value").alias("v"), "n"))
+    sums = days.groupBy(*by, day).agg(
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in ("n", *amounts)], F.array_sort(F.collect_list(entry)).alias("_seen")
+    )
+
+    def shares_of(feature: str) -> Column:
+        seen = F.filter("_seen", lambda e: e["f"] == feature)
+        total = F.aggregate(seen, F.lit(0).cast("bigint"), lambda t, e: t + e["n"])
+        return F.map_from_entries(F.transform(seen, lambda e: F.struct(e["v"], e["n"] / total)))
+
+    shares = [x for c in categories for x in (F.lit(c), shares_of(c))]
+    made = F.create_map(*shares) if shares else F.map_from_arrays(F.array(), F.array()).cast("map<string,map<string,double>>")
+    return context_of(sums.withColumn(SHARES, made), numeric, flags, by, day, [SHARES])
+
+
+def value_dictionary(days: DataFrame, known: DataFrame | None = None, version: int = 1) -> DataFrame:
+    """(feature, value, position, version) of the values in ``shares``: those of ``known`` as they are, new ones after them.
+
+    Positions count within a feature from 0, new values in alphabetical order, so a column keeps its place
+    when later days bring more values.
+    """
+    seen = days.select(F.explode(SHARES).alias("feature", "_of")).select("feature", F.explode(F.map_keys("_of")).alias("value")).distinct()
+    if known is not None:
+        seen = seen.join(known.select("feature", "value"), ["feature", "value"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1
+    fresh = seen.withColumn("position", place)
+    if known is not None:
+        after = known.groupBy("feature").agg((F.max("position") + 1).alias("_after"))
+        fresh = fresh.join(after, "feature", "left").withColumn("position", F.col("position") + F.coalesce("_after", F.lit(0)))
+    fresh = fresh.select("feature", "value", F.col("position").cast("int").alias("position"), F.lit(version).alias("version"))
+    return fresh if known is None else known.select(*fresh.columns).unionByName(fresh)
+
+
+def share_of(feature: str, value: str) -> Column:
+    """A5: the share of one category value, 0 on days that lack it."""
+    return F.coalesce(F.try_element_at(F.try_element_at(SHARES, F.lit(feature)), F.lit(value)), F.lit(0.0))
+
+
+def widened(days: DataFrame, values: Mapping[str, Sequence[str]]) -> DataFrame:
+    """A5: a column ``<feature>_<value>`` per listed value instead of ``shares``; names may hold dots."""
+    shares = [share_of(f, v).alias(f"{f}_{v}") for f, vs in values.items() for v in vs]
+    return days.select(*[F.col(f"`{c}`") for c in days.columns if c != SHARES], *shares)
+
+
 def active_on(
     df: DataFrame,
     dates: DataFrame,

@@ -55,6 +55,35 @@ def daily_context(spark, sf):
     return _plain(c).filter("n > 0").select("rate_class", "d", "n", "consumption", *[F.round(x, 9).alias(x) for x in cols])
 
 
+# The categories of the supplied tables.
+WIDE = {"cat_a": ["F", "O"], "cat_b": ["1.URGENT", "2.HIGH", "3.MEDIUM", "4.NOT SPECIFIED", "5.LOW"]}
+
+
+def _wide_days(spark, sf):
+    b = testtables.billing_dedup(spark, sf).withColumn("flag", C.flag_number(F.col("flag_raw")))
+    b = b.withColumn("cat_b", F.replace("cat_b", F.lit("-"), F.lit(".")))
+    days = intervals.daily_wide(b, ["num_a", "num_b"], ["flag"], ["cat_a", "cat_b"], ["rate_class"])
+    return intervals.closed_horizon(days, ["rate_class"])
+
+
+def daily_wide(spark, sf):
+    """The whole daily table by class, empty days with zeros: figures and a column per category value, dots included."""
+    days = _wide_days(spark, sf).withColumn("n_values", F.size(F.map_keys("shares.cat_b")))
+    wide = intervals.widened(days, WIDE)
+    figures = ["num_a_avg", "num_a_std", "num_b_avg", "num_b_std", "flag", *[f"{f}_{v}" for f, vs in WIDE.items() for v in vs]]
+    return wide.select(
+        "rate_class", "d", "n", C.plain(F.col("consumption")).alias("consumption"), "n_values",
+        *[F.round(F.col(f"`{c}`"), 9).alias(c) for c in figures],
+    )
+
+
+def value_dictionary(spark, sf):
+    """Category values of the days up to 1995, then those that later days add behind them."""
+    days = _wide_days(spark, sf)
+    early = days.filter("d < '1996-01-01'")
+    return intervals.value_dictionary(days, intervals.value_dictionary(early), version=2)
+
+
 REVISED = ["rate_class", "start_d", "end_d", "consumption", "num_a", "num_b", "flag"]
 
 
@@ -143,6 +172,8 @@ QUERIES = {
     "active_on_dates": active_on_dates,
     "daily_numeric_context": daily_numeric_context,
     "daily_context": daily_context,
+    "daily_wide": daily_wide,
+    "value_dictionary": value_dictionary,
     "refresh_daily": refresh_daily,
     "daily_boolean_share": daily_boolean_share,
     "daily_category_fraction": daily_category_fraction,
@@ -158,7 +189,35 @@ SELECT rate_class, d, count(*) AS n, CAST(sum(rate) AS DOUBLE) AS consumption,
        round(CAST(sum(CAST(num_b AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_b_avg, round(stddev_samp(num_b), 9) AS num_b_std,
        round(avg(CASE WHEN flag_raw = 'X' THEN 1.0 ELSE 0.0 END), 9) AS flag FROM days GROUP BY rate_class, d"""
 
+_SHARES = ", ".join(
+    f"""coalesce(round(CAST(count(*) FILTER ({f} = '{v}') AS DOUBLE) / count(*), 9), 0) AS "{f}_{v}\""""
+    for f, vs in WIDE.items()
+    for v in vs
+)
+_DOTTED = DAYS.replace("o_orderpriority AS cat_b", "replace(o_orderpriority, '-', '.') AS cat_b")
+
+WIDE_SQL = f"""WITH {_DOTTED},
+daily AS (SELECT rate_class, d, count(*) AS n, CAST(sum(rate) AS DOUBLE) AS consumption, count(DISTINCT cat_b) AS n_values,
+  round(CAST(sum(CAST(num_a AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_a_avg, round(stddev_samp(num_a), 9) AS num_a_std,
+  round(CAST(sum(CAST(num_b AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS num_b_avg, round(stddev_samp(num_b), 9) AS num_b_std,
+  round(avg(CASE WHEN flag_raw = 'X' THEN 1.0 ELSE 0.0 END), 9) AS flag, {_SHARES} FROM days GROUP BY rate_class, d),
+reach AS (SELECT rate_class, min(start_d) AS a, max(end_d) - 1 AS z FROM dedup GROUP BY rate_class),
+spine AS (SELECT rate_class, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM reach)
+SELECT rate_class, d, coalesce(n, 0) AS n, coalesce(consumption, 0) AS consumption, CAST(coalesce(n_values, 0) AS INTEGER) AS n_values,
+  num_a_avg, num_a_std, num_b_avg, num_b_std, flag, {', '.join(f'coalesce("{f}_{v}", 0) AS "{f}_{v}"' for f, vs in WIDE.items() for v in vs)}
+FROM spine LEFT JOIN daily USING (rate_class, d)"""
+
+DICTIONARY_SQL = f"""WITH {_DOTTED},
+reach AS (SELECT rate_class, max(end_d) AS z FROM dedup GROUP BY rate_class),
+seen AS (SELECT feature, value, min(d) < DATE '1996-01-01' AS early FROM (
+    SELECT 'cat_a' AS feature, cat_a AS value, d, rate_class FROM days UNION ALL SELECT 'cat_b', cat_b, d, rate_class FROM days)
+  JOIN reach USING (rate_class) WHERE d < z GROUP BY ALL)
+SELECT feature, value, CAST(row_number() OVER (PARTITION BY feature ORDER BY early DESC, value) - 1 AS INTEGER) AS position,
+  CASE WHEN early THEN 1 ELSE 2 END AS version FROM seen"""
+
 ORACLES = {
+    "daily_wide": WIDE_SQL,
+    "value_dictionary": DICTIONARY_SQL,
     "daily_context": CONTEXT_SQL,
     "refresh_daily": CONTEXT_SQL,
     "daily_consumption": CONSUMPTION_SQL,

@@ -15,6 +15,7 @@ from usage_ts.learning import additive, forest, orders, search  # noqa: F401  th
 from usage_ts.operators import cleaning, clients, clustering, dedup, evaluation, intervals, revisions, series
 from usage_ts.sources import extracts, store
 from usage_ts.sources.layout import Layout
+from usage_ts.sources.lineage import shared_folder
 
 
 def load_records(
@@ -58,27 +59,21 @@ def daily_table(
 ) -> DataFrame:
     """Wide daily table: consumption, means, deviations, shares and category fractions.
 
-    Two passes over the records, one for the numbers and one for the categories;
-    everything joined afterwards has one row per day.
+    One pass over the records. The days are then written to the shared folder, and the category values, which
+    become columns, are read from there.
     """
-    span = {"start": layout.start, "end": layout.end, "first_day": first_day}
-    numbers = intervals.daily_context(
-        records, layout.numeric, layout.boolean, by, value=layout.value, **span
-    )
-    table = intervals.closed_horizon(numbers, by)
-    if layout.categorical:
-        fractions = intervals.category_fractions(records, layout.categorical, by, **span)
-        values: dict[str, list[str]] = {c: [] for c in layout.categorical}
-        for r in fractions.select("feature", "value").distinct().orderBy("feature", "value").collect():
-            values[r.feature].append(r.value)
-        wide = intervals.pivot_fractions(fractions, values, by)
-        shares = [f"{f}_{v}" for f, vs in values.items() for v in vs]
-        joined = table.join(wide, [*by, "d"], "left")
-        # A category value may hold a dot, so names are quoted.
-        quoted = {c: F.col(f"`{c}`") for c in joined.columns}
-        table = joined.select(
-            *[F.coalesce(q, F.lit(0.0)).alias(c) if c in set(shares) else q for c, q in quoted.items()]
-        )
+    spark = records.sparkSession
+    days = intervals.daily_wide(
+        records, layout.numeric, layout.boolean, layout.categorical, by,
+        layout.start, layout.end, layout.value, first_day=first_day,
+    )
+    path = shared_folder(spark, "days")
+    days.write.parquet(path)
+    days = spark.read.schema(days.schema).parquet(path)
+    values: dict[str, list[str]] = {c: [] for c in layout.categorical}
+    for r in intervals.value_dictionary(days).orderBy("feature", "position").collect():
+        values[r.feature].append(r.value)
+    table = intervals.widened(intervals.closed_horizon(days, by), values)
     return series.drop_ranges(table.drop("n"), layout.missing_ranges, "d")
 
 
