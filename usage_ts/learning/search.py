@@ -7,11 +7,12 @@ import random
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usage_ts.learning import forecasters as FC
 from usage_ts.operators import evaluation, series
+from usage_ts.sources.lineage import shared_folder
 
 KEYS = ("series_key",)
 
@@ -108,6 +109,79 @@ def search(
     return scores.withColumn("trial", F.col("trial").cast("string")).unionByName(best)
 
 
+def race(
+    df: DataFrame,
+    model: str | FC.Forecaster,
+    trials: Sequence[Mapping[str, object]],
+    objective: str | Column = "MAPE",
+    keep: float = 1 / 3,
+    quantiles: int = 10,
+    folds: int | None = 5,
+    by: Sequence[str] = KEYS,
+    ds: str = "ds",
+    value: str = "y",
+    decimals: int = 9,
+    folder: str | None = None,
+) -> DataFrame:
+    """:func:`search` by successive halving, so that hundreds of trials cost a few folds each.
+
+    All trials are scored on the latest fold, which has most rows to learn from. After each fold the best
+    ``keep`` of the trials of a series, by their mean score so far, go on to the fold before; a trial without a
+    score comes last, and at least one goes on. Live trials are a table in ``folder``, a fold is one job over
+    all series. ``keep`` 1 is the full search; below it, a trial nearly equal to the winner of the full search may
+    win instead. Equal settings are fitted once, as the earliest of their trials.
+
+    Returns (``by``, trial, score, params, folds): the mean over the folds a trial ran, how many these were,
+    and a ``Best`` row per series from the trials that ran all; nulls where nothing could be scored.
+    """
+    if not 0 < keep <= 1:
+        raise ValueError("keep must be above 0 and at most 1")
+    spark, keys = df.sparkSession, list(by)
+    folder = folder or shared_folder(spark, "race")
+    settings: dict[str, int] = {}
+    for number, trial in enumerate(trials):
+        settings.setdefault(FC.params_json(model, trial), number)
+    start = F.array(*[F.struct(F.lit(n).alias("trial"), F.lit(p).alias(FC.PARAMS)) for p, n in settings.items()])
+    score = F.col(objective) if isinstance(objective, str) else objective
+    chained = series.cv_folds(df, quantiles, folds, by, ds)
+    live = df.select(*keys).distinct().withColumn("_live", start)
+    first = 1 if folds is None else quantiles - folds + 1
+    states = []
+    for fold in range(quantiles, first - 1, -1):
+        same = reduce(Column.__and__, [chained[k].eqNullSafe(live[k]) for k in keys])
+        spread = chained.filter(F.col("fold") == fold).join(live, same).select(*[chained[c] for c in chained.columns], F.inline("_live"))
+        metrics = evaluation.forecast_metrics(FC.evaluate(spread, model, [*keys, "trial"], ds, value), [*keys, "trial"])
+        fresh = metrics.select(*keys, "trial", score.alias("_score"))
+        # A trial that is in the race stays in the table, also where the fold gave it no score.
+        entered = live.select(*keys, F.inline("_live")).withColumn("_score", F.lit(None).cast("double"))
+        rows = entered.unionByName(fresh.withColumn(FC.PARAMS, F.lit(None).cast("string")))
+        if states:
+            before = spark.read.parquet(states[-1]).filter("_on").select(*keys, "trial", FC.PARAMS, "_sum", "_n", "_ran")
+        else:
+            before = entered.select(*keys, "trial", FC.PARAMS, F.lit(0.0).alias("_sum"), F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_ran"))
+        rows = rows.select(*keys, "trial", FC.PARAMS, F.coalesce("_score", F.lit(0.0)).alias("_sum"), F.col("_score").isNotNull().cast("bigint").alias("_n"), F.lit(0).alias("_ran"))
+        total = before.unionByName(rows).groupBy(*keys, "trial").agg(
+            F.max(FC.PARAMS).alias(FC.PARAMS), F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), (F.max("_ran") + 1).alias("_ran")
+        )
+        mean = F.round(F.try_divide(F.col("_sum"), F.col("_n")), decimals)
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(mean.asc_nulls_last(), "trial"))
+        alive = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        states.append(f"{folder}/fold-{fold}")
+        total.withColumn("_on", rank <= F.ceil(alive * F.lit(keep))).write.mode("overwrite").parquet(states[-1])
+        on = spark.read.parquet(states[-1]).filter("_on")
+        live = on.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trial", FC.PARAMS))).alias("_live"))
+    # What stopped at a fold is final there; what went on is in the next table.
+    ended = [spark.read.parquet(path).filter("NOT _on") for path in states[:-1]] + [spark.read.parquet(states[-1])]
+    scores = reduce(DataFrame.unionByName, ended).select(
+        *keys, "trial", F.try_divide(F.col("_sum"), F.col("_n")).alias("score"), FC.PARAMS, F.col("_ran").alias("folds")
+    )
+    order = F.when(F.col("score").isNotNull(), F.struct(F.round("score", decimals), "trial"))
+    whole = F.col("folds") == quantiles + 1 - first
+    best = scores.filter(whole).groupBy(*keys).agg(F.min_by(F.struct("score", FC.PARAMS, "folds"), order).alias("b")).select(*keys, "b.*")
+    best = _every_series(df, best, by).select(*keys, F.lit("Best").alias("trial"), "score", FC.PARAMS, "folds")
+    return scores.withColumn("trial", F.col("trial").cast("string")).unionByName(best)
+
+
 def leaderboard(evaluations: Mapping[str, DataFrame], by: Sequence[str] = KEYS) -> DataFrame:
     """Metrics per series and model from one evaluation table of all models."""
     named = [e.drop("test_pred").withColumn("model_name", F.lit(n)) for n, e in evaluations.items()]

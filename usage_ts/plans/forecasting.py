@@ -275,6 +275,19 @@ def hparam_search_lags(spark, sf):
     return search.search(class_series(spark, sf), "linear_regression", trials)
 
 
+def hparam_race(spark, sf):
+    """The two trials of the search as a race: one of them leaves after the latest fold."""
+    rows = search.race(class_series(spark, sf), "arima", [WALK, AR1], "MAE", keep=0.5)
+    p = F.get_json_object("params", "$.P").cast("int")
+    return _round(rows.select("series_key", "trial", p.alias("p"), "score", "folds"), "score", places=5)
+
+
+def hparam_race_lags(spark, sf):
+    """500 draws of the window width on all series."""
+    space = {"T_X": {"TYPE": "int_uniform", "RANGE": [7, 366]}}
+    return search.race(class_series(spark, sf), "linear_regression", search.sample_trials(space, 500, seed=11))
+
+
 def evaluate_refit_forecast(spark, sf):
     metrics, ahead = search.evaluate_refit_forecast(_split(spark, sf), "arima", AHEAD, AR1)
     both = ahead.join(metrics.select("series_key", "MAE", "RMSE"), "series_key").drop("model")
@@ -334,6 +347,15 @@ u AS (SELECT * FROM t UNION ALL
       FROM t GROUP BY series_key)
 SELECT series_key, trial, CAST(p AS INTEGER) AS p, round(score, 5) AS score FROM u"""
 
+RACE_SQL = f"""WITH {CV_AR1},
+m AS (SELECT series_key, fold, 0 AS p, avg(abs(gt - walk)) AS e FROM ev GROUP BY ALL
+      UNION ALL SELECT series_key, fold, 1, avg(abs(gt - forecast)) FROM ev GROUP BY ALL),
+t AS (SELECT series_key, p, max(e) FILTER (fold = 10) AS latest, avg(e) AS mean FROM m GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY round(latest, 9), p) AS place FROM t),
+u AS (SELECT series_key, CAST(p AS VARCHAR) AS trial, p, CASE WHEN place = 1 THEN mean ELSE latest END AS score, CASE WHEN place = 1 THEN 5 ELSE 1 END AS folds FROM r
+      UNION ALL SELECT series_key, 'Best', p, mean, 5 FROM r WHERE place = 1)
+SELECT series_key, trial, CAST(p AS INTEGER) AS p, round(score, 5) AS score, CAST(folds AS INTEGER) AS folds FROM u"""
+
 ORDER_SQL = f"""WITH {_diff('TRUE')},
 s2 AS (SELECT series_key, sum(d * d1) AS y1, sum(d * d2) AS y2, sum(d1 * d1) AS v1, sum(d2 * d2) AS v2, sum(d1 * d2) AS v12
        FROM x WHERE d2 IS NOT NULL GROUP BY series_key),
@@ -492,6 +514,8 @@ QUERIES = {
     "cv_evaluate": cv_evaluate,
     "hparam_search": hparam_search,
     "hparam_search_lags": hparam_search_lags,
+    "hparam_race": hparam_race,
+    "hparam_race_lags": hparam_race_lags,
     "evaluate_refit_forecast": evaluate_refit_forecast,
     "train_all_models": train_all_models,
     "train_simple_models": train_simple_models,
@@ -529,6 +553,7 @@ a AS (SELECT account AS series_key, CAST(date_diff('day', min(start_d), max(end_
 SELECT series_key, n_rows, CASE WHEN n_rows > {LONG_LAGS} THEN 0.0 END AS condition FROM a""",
     "cv_evaluate": f"WITH {CV_AR1} {metrics_sql('ev', 'series_key, fold').replace(', 6)', ', 4)')}",
     "hparam_search": HPARAM_SQL,
+    "hparam_race": RACE_SQL,
     "evaluate_refit_forecast": REFIT_SQL,
     "seasonal_arma_annual": ANNUAL_SQL,
     "additive_trend_forecast": LINE_SQL,
