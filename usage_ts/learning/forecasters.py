@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from usage_ts.learning import lagged
+from usage_ts.learning import lagged, seasonal
 
 KEYS = ("series_key",)
 PARAMS = "params"
@@ -52,11 +52,11 @@ def register(forecaster: Forecaster) -> Forecaster:
 # The default orders and window width of each model.
 register(Forecaster("last_value", lagged.LastValue))
 register(Forecaster("linear_regression", lagged.LinearLags, {"T_X": 300}))
-register(Forecaster("arima", lagged.Arma, {"P": 7, "D": 1, "Q": 30}))
+register(Forecaster("arima", seasonal.SeasonalArma, {"P": 7, "D": 1, "Q": 30}))
 register(
     Forecaster(
         "sarimax",
-        lagged.Arma,
+        seasonal.SeasonalArma,
         {"P": 7, "D": 1, "Q": 0, "SEASONAL_P": 1, "SEASONAL_D": 1, "SEASONAL_Q": 0, "M": 365},
     )
 )

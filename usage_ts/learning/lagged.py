@@ -104,7 +104,9 @@ class LinearLags:
 
 
 class Arma:
-    """M8, M9: differenced autoregression with moving-average terms, in two regressions.
+    """Differenced autoregression with moving-average terms, in two regressions.
+
+    Not registered by name; the product form (``seasonal.py``) starts from the same two regressions.
 
     A long autoregression gives error estimates; the differenced value is then
     regressed on its own lags and on the lagged errors (Hannan and Rissanen,

@@ -190,6 +190,72 @@ def seasonal_arma_annual(spark, sf):
     return _round(FC.forecast(models, AHEAD).join(coef, "series_key").drop("model"), "phi", "yhat", places=5)
 
 
+def _worst(e, columns):
+    """Largest absolute cosine between ``e`` and any of the columns, over the rows of the group."""
+    size = lambda c: F.sqrt(F.sum(c * c))
+    return F.greatest(F.lit(0.0), *[F.abs(F.try_divide(F.sum(e * c), size(e) * size(c))) for c in columns])
+
+
+def seasonal_arma_conditions(spark, sf):
+    """The default seasonal model, (7,1,0)x(1,1,0,365), on every class: what makes it a least-squares fit.
+
+    ``condition`` is the largest cosine of the errors with the derivatives, ``recursion`` the largest error
+    that the forecast days leave in the model's equation, as a share of the largest value.
+    """
+    s = FC.with_params(class_series(spark, sf), "sarimax")
+    models = FC.fit_models(s, "sarimax")
+    phi, seasonal = [F.get("coef", F.lit(i)) for i in range(1, 8)], F.get("coef", F.lit(8))
+    days = s.select("series_key", "ds", "y", F.lit(False).alias("ahead")).unionByName(
+        FC.forecast(models, AHEAD).select("series_key", "ds", F.col("yhat").alias("y"), F.lit(True).alias("ahead"))
+    )
+    w = Window.partitionBy("series_key").orderBy("ds")
+    back = lambda c, k: F.lag(c, k).over(w)
+    rows = days.join(models.select("series_key", "coef"), "series_key")
+    rows = rows.withColumn("w", F.col("y") - back("y", 1) - back("y", 365) + back("y", 366))
+    rows = rows.withColumn("plain", F.col("w") - seasonal * back("w", 365))
+    rows = rows.withColumn("annual", F.col("w") - sum(phi[i - 1] * back("w", i) for i in range(1, 8)))
+    rows = rows.withColumns({f"x{i}": back("plain", i) for i in range(1, 8)} | {"x8": back("annual", 365)})
+    rows = rows.withColumn("e", F.col("plain") - sum(phi[i - 1] * F.col(f"x{i}") for i in range(1, 8)))
+    past = lambda c: F.when(~F.col("ahead"), F.col(c))
+    gap = F.max(F.when(F.col("ahead"), F.abs("e"))) / F.max(F.abs("y"))
+    return rows.groupBy("series_key").agg(
+        F.count(past("e")).alias("n_errors"),
+        (F.round(_worst(past("e"), [past(f"x{i}") for i in range(1, 9)]), 5) + 0.0).alias("condition"),
+        (F.round(gap, 7) + 0.0).alias("recursion"),
+    )
+
+
+def arma_error_conditions(spark, sf):
+    """(1,1,1) on every class: errors and their derivatives recomputed by the recursion, value after value."""
+    s = FC.with_params(class_series(spark, sf), "arima", {"P": 1, "D": 1, "Q": 1})
+    models = FC.fit_models(s, "arima")
+    by_day = Window.partitionBy("series_key").orderBy("ds")
+    changes = s.withColumn("w", F.col("y") - F.lag("y", 1).over(by_day)).filter("w IS NOT NULL")
+    lists = changes.groupBy("series_key").agg(F.array_sort(F.collect_list(F.struct("ds", "w")))["w"].alias("w"))
+    ahead = FC.forecast(models, 1).select("series_key", "yhat")
+    tip = s.groupBy("series_key").agg(F.max_by("y", "ds").alias("tip"))
+    zero, phi, theta = F.lit(0.0), F.get("coef", F.lit(1)), F.get("coef", F.lit(2))
+    names = ("w", "e", "dp", "dt", "ee", "ep", "et", "pp", "tt")
+
+    def step(acc, w):
+        e = w - phi * acc["w"] - theta * acc["e"]
+        dp, dt = -acc["w"] - theta * acc["dp"], -acc["e"] - theta * acc["dt"]
+        sums = (acc["ee"] + e * e, acc["ep"] + e * dp, acc["et"] + e * dt, acc["pp"] + dp * dp, acc["tt"] + dt * dt)
+        return F.struct(*[v.alias(n) for n, v in zip(names, (w, e, dp, dt, *sums), strict=True)])
+
+    first = F.struct(F.get("w", F.lit(0)).alias("w"), *[zero.alias(n) for n in names[1:]])
+    rows = lists.join(models.select("series_key", "coef"), "series_key").join(ahead, "series_key").join(tip, "series_key")
+    rows = rows.withColumn("end", F.aggregate(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), first, step))
+    cosine = lambda x, xx: F.abs(F.try_divide(F.col(f"end.{x}"), F.sqrt(F.col("end.ee") * F.col(f"end.{xx}"))))
+    gap = F.col("yhat") - F.col("tip") - phi * F.col("end.w") - theta * F.col("end.e")
+    return rows.select(
+        "series_key",
+        (F.size("w") - 1).cast("long").alias("n_errors"),
+        (F.round(F.greatest(cosine("ep", "pp"), cosine("et", "tt")), 5) + 0.0).alias("condition"),
+        (F.round(F.abs(gap / F.col("tip")), 7) + 0.0).alias("recursion"),
+    )
+
+
 def train_simple_models(spark, sf):
     return _round(
         search.evaluate_all(_split(spark, sf), {"last_value": None, "arima": AR1}), *evaluation.METRICS, places=4
@@ -506,6 +572,8 @@ QUERIES = {
     "arma_with_errors_fit": arma_with_errors_fit,
     "seasonal_arma_fit": seasonal_arma_fit,
     "seasonal_arma_annual": seasonal_arma_annual,
+    "seasonal_arma_conditions": seasonal_arma_conditions,
+    "arma_error_conditions": arma_error_conditions,
     "order_search": order_search,
     "all_orders": all_orders,
     "lag_regression_by_account": lag_regression_by_account,
@@ -556,6 +624,10 @@ SELECT series_key, n_rows, CASE WHEN n_rows > {LONG_LAGS} THEN 0.0 END AS condit
     "hparam_race": RACE_SQL,
     "evaluate_refit_forecast": REFIT_SQL,
     "seasonal_arma_annual": ANNUAL_SQL,
+    "seasonal_arma_conditions": f"""WITH {SERIES}
+SELECT series_key, greatest(count(*) - 738, 0) AS n_errors, 0.0 AS condition, 0.0 AS recursion FROM series GROUP BY series_key""",
+    "arma_error_conditions": f"""WITH {SERIES}
+SELECT series_key, count(*) - 2 AS n_errors, 0.0 AS condition, 0.0 AS recursion FROM series GROUP BY series_key""",
     "additive_trend_forecast": LINE_SQL,
     "train_simple_models": SIMPLE_SQL,
 }
