@@ -4,10 +4,14 @@ Features are Spark columns computed from the date, and scoring and decomposition
 are dot products of those columns with the fitted coefficients. Only the
 penalised least squares of one series runs in Python.
 
-The penalty is the Gaussian prior of each block (a ridge). The usual model of
-this kind puts a Laplace prior on trend changes and samples or optimises the
-posterior; components and interface are the same here, shrinkage at changepoints
-is not. Changepoints are evenly spaced in time, not in rows.
+Changes of the trend have a Laplace prior, so most of them are zero; seasons and
+holidays have a Gaussian one (a ridge). The variance of the noise is that of the
+model without priors, and the coefficients are the posterior's maximum, not a
+sample. Changepoints are evenly spaced in time, not in rows.
+
+A series of one day has no time scale: it keeps a row with null coefficients, and
+null parts at every date. Rows without a value are passed over; a series without
+any value has no model, and null parts.
 """
 
 from __future__ import annotations
@@ -17,14 +21,14 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usage_ts.functions import calendar
 from usage_ts.functions.arrays import dot
 from usage_ts.learning.forecasters import KEYS, PARAMS, Forecaster, register
-from usage_ts.learning.solvers import least_squares
+from usage_ts.learning.solvers import least_squares, solve_symmetric
 from usage_ts.operators import evaluation, series
 
 NAME = "additive"
@@ -39,7 +43,8 @@ DEFAULTS = {
 }
 CHANGEPOINTS = 25
 BLOCKS = ("trend", "yearly", "weekly", "holidays")
-ALTERNATIONS = 12
+#: Optimality against the price of a change; its square is the share by which a round has to lower the squares.
+TOLERANCE = 1e-6
 
 
 def _param(name: str) -> Column:
@@ -59,47 +64,127 @@ def design(df: DataFrame, holidays: Sequence[str] = (), ds: str = "ds") -> DataF
     return df.withColumns({f"x_{b}": c for b, c in blocks.items()})
 
 
-def training_span(train: DataFrame, by: Sequence[str], ds: str, value: str) -> DataFrame:
-    """First and last training date and the largest absolute value of each series."""
-    return train.groupBy(*by).agg(
-        F.min(ds).alias("first_ds"),
-        F.max(ds).alias("last_ds"),
-        F.max(F.abs(value)).cast("double").alias("y_scale"),
+def with_span(train: DataFrame, by: Sequence[str], ds: str, value: str) -> DataFrame:
+    """Add first and last training date and the largest absolute value of each series, within its partition."""
+    whole = Window.partitionBy(*by)
+    return train.withColumns(
+        {
+            "first_ds": F.min(ds).over(whole),
+            "last_ds": F.max(ds).over(whole),
+            "y_scale": F.max(F.abs(value)).over(whole).cast("double"),
+        }
     )
 
 
-def solve(blocks: dict[str, np.ndarray], y: np.ndarray, params: Mapping) -> dict[str, np.ndarray]:
-    """Coefficients of each block for one series scaled to [-1, 1]."""
+def sparse_changes(gram: np.ndarray, product: np.ndarray, price: float) -> np.ndarray:
+    """The b of least b'Gb / 2 - b'c + price * sum|b|, exact but for rounding.
+
+    While a zero has a slope above the price, the steepest one gets that sign, and the minimum for the signs at
+    hand is gone to; where a coefficient would pass zero on the way, it may stay there. The value falls with
+    every move, so no set of signs comes twice and the search ends.
+    """
+
+    def value(b):
+        return b @ gram @ b / 2 - b @ product + price * np.abs(b).sum()
+
+    b = np.zeros(len(product))
+    while True:
+        slope = product - gram @ b
+        excess = np.where(b == 0, np.abs(slope) - price * (1 + TOLERANCE), 0.0)
+        entering = int(np.argmax(excess))
+        if excess[entering] <= 0:
+            return b
+        sign = np.sign(b)
+        sign[entering] = np.sign(slope[entering])
+        before, settled = value(b), False
+        while not settled:
+            on = sign != 0
+            target = np.zeros(len(b))
+            target[on] = solve_symmetric(gram[np.ix_(on, on)], product[on] - price * sign[on])
+            passing = np.flatnonzero(b * target < 0)
+            points = [target]
+            for j in passing:
+                stop = b + b[j] / (b[j] - target[j]) * (target - b)
+                stop[j] = 0.0
+                points.append(stop)
+            lowest = min(points, key=value)
+            settled = not len(passing) or value(lowest) >= value(b)
+            if value(lowest) < value(b):
+                b = lowest
+            sign = np.sign(b)
+        if value(b) >= before:
+            return b
+
+
+def trend_fit(x: np.ndarray, y: np.ndarray, price: float) -> np.ndarray:
+    """Offset, slope and changes of least |y - xb|^2 / 2 + price * sum|changes|.
+
+    Offset and slope follow from the changes, which are fitted to what a line leaves.
+    """
+    line, hinges = x[:, :2], x[:, 2:]
+    both = np.column_stack([y, hinges])
+    left = both - line @ least_squares(line, both)
+    changes = sparse_changes(left[:, 1:].T @ left[:, 1:], left[:, 1:].T @ left[:, 0], price)
+    return np.concatenate([least_squares(line, y - hinges @ changes), changes])
+
+
+def solve(blocks: dict[str, np.ndarray], y: np.ndarray, params: Mapping) -> tuple[dict[str, np.ndarray], float]:
+    """Coefficients of each block for one series scaled to [-1, 1], and the variance of its noise.
+
+    Trend and seasons are fitted in turn to the penalised sum of squares, until it stands.
+    """
     season = np.hstack([blocks[b] for b in BLOCKS[1:]])
     trend = blocks["trend"]
     priors = {
-        "trend": float(params["CHANGEPOINT_PRIOR_SCALE"]),
         "yearly": float(params["SEASONALITY_PRIOR_SCALE"]),
         "weekly": float(params["SEASONALITY_PRIOR_SCALE"]),
         "holidays": float(params["HOLIDAYS_PRIOR_SCALE"]),
     }
-    weight = {b: np.full(blocks[b].shape[1], priors[b] ** -2) for b in BLOCKS}
-    weight["trend"][:2] = 0.0
-    season_weight = np.concatenate([weight[b] for b in BLOCKS[1:]])
     both = np.hstack([trend, season])
     tiny = np.full(both.shape[1], 1e-8)
     noise = np.mean((y - both @ least_squares(both, y, tiny)) ** 2)
-    if params["SEASONALITY_MODE"] == "multiplicative":
-        effect = np.zeros(len(y))
-        for _ in range(ALTERNATIONS):
-            a = least_squares(trend * (1 + effect)[:, None], y, noise * weight["trend"])
+    # Noise at rounding level would leave the priors without any say.
+    noise = max(noise, 1e-16)
+    price = noise / float(params["CHANGEPOINT_PRIOR_SCALE"])
+    ridge = noise * np.concatenate([np.full(blocks[b].shape[1], priors[b] ** -2) for b in BLOCKS[1:]])
+    multiplicative = params["SEASONALITY_MODE"] == "multiplicative"
+    b, last = np.zeros(season.shape[1]), np.inf
+    while True:
+        effect = season @ b
+        if multiplicative:
+            a = trend_fit(trend * (1 + effect)[:, None], y, price)
             level = trend @ a
-            b = least_squares(season * level[:, None], y - level, noise * season_weight)
-            effect = season @ b
-    else:
-        coef = least_squares(both, y, noise * np.concatenate([weight["trend"], season_weight]))
-        a, b = coef[: trend.shape[1]], coef[trend.shape[1] :]
+            b = least_squares(season * level[:, None], y - level, ridge)
+            rest = y - level * (1 + season @ b)
+        else:
+            a, b = joint_fit(trend, season, y, price, ridge)
+            rest = y - trend @ a - season @ b
+        value = (rest @ rest + b @ (ridge * b)) / 2 + price * np.abs(a[2:]).sum()
+        if not multiplicative or last - value <= TOLERANCE**2 * value:
+            break
+        last = value
     out, at = {"trend": a}, 0
     for name in BLOCKS[1:]:
         width = blocks[name].shape[1]
         out[name] = b[at : at + width]
         at += width
-    return out
+    return out, float(noise)
+
+
+def joint_fit(trend, season, y, price, ridge) -> tuple[np.ndarray, np.ndarray]:
+    """Trend and seasons together: everything but the changes is a ridge, and follows from them."""
+    smooth = np.hstack([trend[:, :2], season])
+    penalty = np.concatenate([np.zeros(2), ridge])
+    hinges = trend[:, 2:]
+    both = np.column_stack([y, hinges])
+    coef = least_squares(smooth, both, penalty)
+    left = both - smooth @ coef
+    # Products with what the ridge leaves: hinges' (1 - S) (y, hinges), S being its smoother.
+    products = hinges.T @ left
+    gram = (products[:, 1:] + products[:, 1:].T) / 2
+    changes = sparse_changes(gram, products[:, 0], price)
+    rest = coef[:, 0] - coef[:, 1:] @ changes
+    return np.concatenate([rest[:2], changes]), rest[2:]
 
 
 def fit(
@@ -109,17 +194,23 @@ def fit(
     ds: str = "ds",
     value: str = "y",
 ) -> DataFrame:
-    """M5: one row of coefficients per series; ``train`` carries ``params`` and the holiday flags."""
+    """M5: one row of coefficients per series; ``train`` carries ``params`` and the holiday flags.
+
+    ``noise`` is the variance that the priors are weighed with, in the square of the value's unit.
+    """
     keys = list(by)
-    ready = design(train.join(training_span(train, keys, ds, value), keys), holidays, ds)
+    ready = design(with_span(train.filter(F.col(value).isNotNull()), keys, ds, value), holidays, ds)
     inputs = [f"x_{b}" for b in BLOCKS]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         params = json.loads(pdf[PARAMS].iloc[0])
         scale = pdf["y_scale"].iloc[0] or 1.0
-        blocks = {b: np.stack(pdf[f"x_{b}"].to_numpy()) for b in BLOCKS}
-        coef = solve(blocks, pdf[value].to_numpy(dtype=float) / scale, params)
         out = pdf.iloc[[0]][[*keys, PARAMS, "first_ds", "last_ds"]].copy()
+        if out["first_ds"].iloc[0] == out["last_ds"].iloc[0]:
+            return out.assign(noise=None, **{f"b_{b}": None for b in BLOCKS})
+        blocks = {b: np.stack(pdf[f"x_{b}"].to_numpy()) for b in BLOCKS}
+        coef, noise = solve(blocks, pdf[value].to_numpy(dtype=float) / scale, params)
+        out["noise"] = noise * scale**2
         for b in BLOCKS:
             out[f"b_{b}"] = [coef[b] * (scale if b == "trend" or params["SEASONALITY_MODE"] == "additive" else 1.0)]
         return out
@@ -127,12 +218,11 @@ def fit(
     doubles = T.ArrayType(T.DoubleType())
     schema = T.StructType(
         [ready.schema[c] for c in (*keys, PARAMS, "first_ds", "last_ds")]
+        + [T.StructField("noise", T.DoubleType())]
         + [T.StructField(f"b_{b}", doubles) for b in BLOCKS]
     )
-    # A series of one day has no time scale and cannot be fitted.
-    fittable = ready.filter(F.col("last_ds") > F.col("first_ds"))
     return (
-        fittable.select(*keys, PARAMS, "first_ds", "last_ds", "y_scale", F.col(value).cast("double").alias(value), *inputs)
+        ready.select(*keys, PARAMS, "first_ds", "last_ds", "y_scale", F.col(value).cast("double").alias(value), *inputs)
         .groupBy(*keys)
         .applyInPandas(one, schema)
     )

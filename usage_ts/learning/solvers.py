@@ -9,10 +9,10 @@ import numpy as np
 
 
 def least_squares(x: np.ndarray, y: np.ndarray, penalty: np.ndarray | None = None) -> np.ndarray:
-    """Coefficients minimising |y - xb|^2 + sum(penalty * b^2); minimum norm if underdetermined."""
+    """Coefficients minimising |y - xb|^2 + sum(penalty * b^2), for each column of ``y``; minimum norm if underdetermined."""
     if penalty is not None and np.any(penalty > 0):
         x = np.vstack([x, np.diag(np.sqrt(penalty))])
-        y = np.concatenate([y, np.zeros(len(penalty))])
+        y = np.concatenate([y, np.zeros((len(penalty), *y.shape[1:]))])
     return np.linalg.lstsq(x, y, rcond=None)[0]
 
 

@@ -148,6 +148,55 @@ def additive_forecast(spark, sf):
     return FC.forecast(models, AHEAD, model=model)
 
 
+def _additive_terms(s, calendar, mode):
+    """One row per series and coefficient: slope of the squares against it, and the slope that its prior asks for."""
+    flags = list(HOLIDAY_COLUMNS.values())
+    model = additive.forecaster(calendar, HOLIDAY_COLUMNS)
+    priors = {"CHANGEPOINT_PRIOR_SCALE": 0.05, "SEASONALITY_PRIOR_SCALE": 0.1, "HOLIDAYS_PRIOR_SCALE": 0.1}
+    models = FC.fit_models(FC.with_params(s, model, {**priors, "SEASONALITY_MODE": mode}), model).drop("model")
+    dates = series.holiday_flags(s, calendar, HOLIDAY_COLUMNS)
+    rows = additive.design(dates.join(models, "series_key"), flags)
+    part = {b: dot(F.col(f"x_{b}"), F.col(f"b_{b}")) for b in additive.BLOCKS}
+    rows = rows.withColumns({"level": part["trend"], "effect": part["yearly"] + part["weekly"] + part["holidays"]})
+    share = mode == "multiplicative"
+    yhat = F.col("level") * (1 + F.col("effect")) if share else F.col("level") + F.col("effect")
+    by_level = F.col("level") if share else F.lit(1.0)
+    by_effect = 1 + F.col("effect") if share else F.lit(1.0)
+
+    def terms(b):
+        factor = by_effect if b == "trend" else by_level
+        return F.transform(
+            F.arrays_zip(F.col(f"x_{b}").alias("x"), F.col(f"b_{b}").alias("b")),
+            lambda z, i: F.struct(F.lit(b).alias("block"), i.alias("pos"), z["b"].alias("b"), (z["x"] * factor).alias("x")),
+        )
+
+    long = rows.select("series_key", "y", "noise", (F.col("y") - yhat).alias("r"), F.inline(F.concat(*map(terms, additive.BLOCKS))))
+    sums = long.groupBy("series_key", "block", "pos").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs("y")).alias("scale"), F.max("noise").alias("noise"), F.max("b").alias("b"),
+        F.sum(F.col("r") * F.col("x")).alias("slope"), F.sqrt(F.sum(F.col("r") ** 2) * F.sum(F.col("x") ** 2)).alias("size"),
+    )
+    price = F.col("noise") / (F.col("scale") * priors["CHANGEPOINT_PRIOR_SCALE"])
+    unit = F.lit(1.0) if share else F.col("scale") ** 2
+    ridge = F.col("noise") * F.col("b") / (unit * priors["SEASONALITY_PRIOR_SCALE"] ** 2)
+    asked = F.when(F.col("block") != "trend", ridge).when(F.col("pos") < 2, 0.0).when(F.col("b") != 0, F.signum("b") * price)
+    gap = F.coalesce(F.abs(F.col("slope") - asked), F.greatest(F.abs("slope") - price, F.lit(0.0)))
+    return sums.withColumns({"gap": F.coalesce(F.try_divide(gap, F.col("size")), F.lit(0.0)), "mode": F.lit(mode)})
+
+
+def additive_conditions(spark, sf):
+    """Both modes of the additive model on every class: what makes the coefficients the posterior's maximum.
+
+    The slope of the squares is zero against offset and slope of the trend, the ridge's against seasons and
+    holidays, the price against a change of the trend that is not zero, and within the price against one that is.
+    """
+    s = class_series(spark, sf)
+    calendar = holiday_calendar(s)
+    terms = _additive_terms(s, calendar, "additive").unionByName(_additive_terms(s, calendar, "multiplicative"))
+    return terms.groupBy("series_key", "mode").agg(
+        F.max("n").alias("n_rows"), F.count(F.lit(1)).alias("n_terms"), (F.round(F.max("gap"), 4) + 0.0).alias("condition")
+    )
+
+
 def additive_trend_forecast(spark, sf):
     """With every prior but the line's near zero the model is a straight line: its forecast has a closed form."""
     s = class_series(spark, sf)
@@ -567,6 +616,7 @@ QUERIES = {
     "decompose": decompose,
     "additive_forecast": additive_forecast,
     "additive_trend_forecast": additive_trend_forecast,
+    "additive_conditions": additive_conditions,
     "additive_evaluate": additive_evaluate,
     "arma_fit": arma_fit,
     "arma_with_errors_fit": arma_with_errors_fit,
@@ -629,5 +679,8 @@ SELECT series_key, greatest(count(*) - 738, 0) AS n_errors, 0.0 AS condition, 0.
     "arma_error_conditions": f"""WITH {SERIES}
 SELECT series_key, count(*) - 2 AS n_errors, 0.0 AS condition, 0.0 AS recursion FROM series GROUP BY series_key""",
     "additive_trend_forecast": LINE_SQL,
+    "additive_conditions": f"""WITH {SERIES}
+SELECT series_key, mode, count(*) AS n_rows, CAST(56 AS BIGINT) AS n_terms, 0.0 AS condition
+FROM series CROSS JOIN (VALUES ('additive'), ('multiplicative')) AS m(mode) GROUP BY series_key, mode""",
     "train_simple_models": SIMPLE_SQL,
 }
