@@ -118,26 +118,33 @@ def daily_consumption(
     strategy: str = "delta",
     first_day=None,
     spine: bool = False,
+    rejects: bool = False,
 ) -> DataFrame:
     """A2: (``by``, day, n, consumption), each record's quantity spread evenly over its days.
 
     ``spine`` keeps days without an active record as zeros (W1); otherwise
-    only days with records are returned.
+    only days with records are returned. ``rejects`` adds ``n_rejected``, the active
+    records that have a quantity, though one beyond the fixed-point types.
     """
     rate = C.daily_rate(F.col(value), F.col(start), F.col(end))
+    lost = F.col(value).isNotNull() & rate.isNull()
     if strategy == "delta":
-        days = running_totals(
-            df, by, {"consumption": F.coalesce(rate, F.lit(0))}, start, end, day, first_day
-        )
+        amounts = {"consumption": F.coalesce(rate, F.lit(0))} | ({"n_rejected": lost.cast("int")} if rejects else {})
+        days = running_totals(df, by, amounts, start, end, day, first_day)
         return days if spine else days.filter("n > 0")
     if strategy != "explode":
         raise ValueError(f"unknown strategy {strategy!r}")
     totals = (
-        on_each_day(df.withColumn("_rate", rate), start, end, day, first_day)
+        on_each_day(df.withColumns({"_rate": rate, "_lost": lost}), start, end, day, first_day)
         .groupBy(*by, day)
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_rate"), F.lit(0)).alias("consumption"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.coalesce(F.sum("_rate"), F.lit(0)).alias("consumption"),
+            *([F.count_if("_lost").alias("n_rejected")] if rejects else []),
+        )
     )
-    return with_spine(totals, by, ["n", "consumption"], day) if spine else totals
+    counted = ["n", "consumption", *(["n_rejected"] if rejects else [])]
+    return with_spine(totals, by, counted, day) if spine else totals
 
 
 def with_spine(
@@ -218,6 +225,7 @@ def numeric_context(
 
     ``delta`` carries count, sum and sum of squares as fixed-point numbers; the
     attribute keeps eight decimals. For one that needs more, use ``explode``.
+    What is beyond the type is left out of its attribute (``reject_counts``).
     """
     if strategy == "explode":
         return (
@@ -233,6 +241,23 @@ def numeric_context(
     return days.select(*by, day, "n", *moment_columns(features))
 
 
+def reject_counts(
+    df: DataFrame, numeric: Sequence[str], start: str = "start_d", end: str = "end_d", value: str = "consumption"
+) -> DataFrame:
+    """One row: records, those with a broken or missing interval, and those whose quantity or attribute does not fit.
+
+    Only values that are there count as rejected; a quantity is judged where the interval is sound.
+    """
+    sound = F.coalesce(F.col(end) >= F.col(start), F.lit(False))
+    lost = F.col(value).isNotNull() & C.daily_rate(F.col(value), F.col(start), F.col(end)).isNull()
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~sound).alias("no_interval"),
+        F.count_if(sound & lost).alias(f"{value}_rejected"),
+        *[F.count_if(F.col(f).isNotNull() & F.col(f).try_cast(EXACT).isNull()).alias(f"{f}_rejected") for f in numeric],
+    )
+
+
 def moment_amounts(features: Sequence[str]) -> dict[str, Column]:
     """Count, sum and sum of squares of each attribute, as amounts for a running total."""
     amounts: dict[str, Column] = {}
@@ -244,13 +269,29 @@ def moment_amounts(features: Sequence[str]) -> dict[str, Column]:
     return amounts
 
 
+def squared_deviations(count: Column, total: Column, squares: Column) -> Column:
+    """Sum of squared deviations from the mean, from fixed-point sums, without cancellation.
+
+    With m near the mean and r = total - count * m it is (squares - m * total) - m * r - r * r / count. The first
+    difference is taken in fixed point, on a total cut to seven decimals so that the product is exact; what was cut
+    off and r are small, and exact before they become doubles. Totals of 1e12 and more are subtracted as doubles.
+    """
+    rough = F.try_divide(total.cast("double"), count)
+    m, whole = rough.try_cast("decimal(18,6)"), total.try_cast("decimal(28,8)")
+    cut = total.try_cast("decimal(19,7)")
+    near = (squares - m * cut).cast("double")
+    r = (whole - (count * m).try_cast("decimal(28,6)")).cast("double")
+    left = m.cast("double") * ((whole - cut).cast("double") + r) + F.try_divide(r * r, count)
+    return F.coalesce(near - left, squares.cast("double") - total.cast("double") * rough)
+
+
 def moment_columns(features: Sequence[str]) -> list[Column]:
     """Mean and sample deviation of each attribute from its running totals."""
     out = []
     for f in features:
-        count, total = F.col(f"_c_{f}"), F.col(f"_s_{f}").cast("double")
-        mean = F.try_divide(total, count)
-        spread = F.try_divide(F.col(f"_q_{f}").cast("double") - total * mean, count - 1)
+        count, total = F.col(f"_c_{f}"), F.col(f"_s_{f}")
+        mean = F.try_divide(total.cast("double"), count)
+        spread = F.try_divide(squared_deviations(count, total, F.col(f"_q_{f}")), count - 1)
         out.append(mean.alias(f"{f}_avg"))
         out.append(F.when(count > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias(f"{f}_std"))
     return out

@@ -27,6 +27,23 @@ def daily_consumption_explode(spark, sf):
     return _plain(intervals.daily_consumption(testtables.billing_dedup(spark, sf), strategy="explode"))
 
 
+def _in_small_units(spark, sf):
+    """Quantities in a unit so small that some rates are beyond the fixed-point type."""
+    b = testtables.billing_dedup(spark, sf)
+    fine = F.col("consumption").cast("decimal(38,2)") * F.lit(10**12)
+    return b.withColumns({"consumption": fine, "num_a": F.when(F.col("num_a") > 0.05, 1e13).otherwise(F.col("num_a"))})
+
+
+def daily_rejects(spark, sf):
+    """Daily consumption with the number of active records left out of it."""
+    days = intervals.daily_consumption(_in_small_units(spark, sf), rejects=True)
+    return days.withColumn("consumption", C.plain(F.col("consumption"), -6))
+
+
+def reject_counts(spark, sf):
+    return intervals.reject_counts(_in_small_units(spark, sf), ["num_a", "num_b"])
+
+
 def daily_by_class(spark, sf):
     return _plain(intervals.daily_by_class(testtables.billing_dedup(spark, sf)))
 
@@ -169,6 +186,8 @@ QUERIES = {
     "daily_consumption": daily_consumption,
     "daily_consumption_explode": daily_consumption_explode,
     "daily_by_class": daily_by_class,
+    "daily_rejects": daily_rejects,
+    "reject_counts": reject_counts,
     "active_on_dates": active_on_dates,
     "daily_numeric_context": daily_numeric_context,
     "daily_context": daily_context,
@@ -215,7 +234,19 @@ seen AS (SELECT feature, value, min(d) < DATE '1996-01-01' AS early FROM (
 SELECT feature, value, CAST(row_number() OVER (PARTITION BY feature ORDER BY early DESC, value) - 1 AS INTEGER) AS position,
   CASE WHEN early THEN 1 ELSE 2 END AS version FROM seen"""
 
+# A quantity of as many units as the interval has days is a rate of 1e12, the first that does not fit.
+REJECTS_SQL = f"""WITH {DEDUP},
+r AS (SELECT *, date_diff('day', start_d, end_d) + 1 AS len FROM dedup),
+e AS (SELECT CAST(unnest(generate_series(CAST(start_d AS TIMESTAMP), CAST(end_d AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d,
+        consumption >= len AS lost, CAST(consumption * 100 AS HUGEINT) * 10000000000000000 // len AS millionths FROM r)"""
+
 ORACLES = {
+    "daily_rejects": f"""{REJECTS_SQL}
+SELECT d, count(*) AS n, round(CAST(coalesce(sum(millionths) FILTER (NOT lost), 0) AS DOUBLE) / 1e6, -6) AS consumption, count(*) FILTER (lost) AS n_rejected
+FROM e GROUP BY d""",
+    "reject_counts": f"""WITH {DEDUP}
+SELECT count(*) AS n_rows, 0 AS no_interval, count(*) FILTER (consumption >= date_diff('day', start_d, end_d) + 1) AS consumption_rejected,
+       count(*) FILTER (num_a > 0.05) AS num_a_rejected, 0 AS num_b_rejected FROM dedup""",
     "daily_wide": WIDE_SQL,
     "value_dictionary": DICTIONARY_SQL,
     "daily_context": CONTEXT_SQL,
