@@ -113,3 +113,12 @@ def test_one_day_of_training_scores_nulls(spark):
     split = split.withColumn("role", F.when((F.col("series_key") == "long") & (F.col("y") > 50), "test").otherwise(F.col("role")))
     board = {r.series_key: r.MAE for r in search.evaluate_all(split, {"additive": None}).collect()}
     assert set(board) == {"one", "long"} and board["one"] is None and board["long"] is not None
+
+
+def test_a_null_key_is_a_series(spark):
+    s = table(spark, a=[float(i % 7 + i) for i in range(60)])
+    both = s.unionByName(s.withColumn("series_key", F.lit(None).cast("string")))
+    models = FC.fit_models(FC.with_params(both, "additive"), "additive")
+    ahead = FC.forecast(models, 5, model="additive").groupBy("series_key").agg(F.collect_list("yhat").alias("y")).collect()
+    got = {r.series_key: sorted(r.y) for r in ahead}
+    assert set(got) == {"a", None} and len(got["a"]) == 5 and got["a"] == pytest.approx(got[None])

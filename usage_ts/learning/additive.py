@@ -233,9 +233,11 @@ def components(
 ) -> DataFrame:
     """M6, M7: trend, yearly, weekly, holidays and yhat at the given dates, history or future.
 
-    In multiplicative mode the last three are shares of the trend.
+    In multiplicative mode the last three are shares of the trend. A null key is a series like any other.
     """
-    ready = design(dates.drop(PARAMS).join(models, [*by], "left"), holidays, ds)
+    found = models.withColumnsRenamed({k: f"_model_{k}" for k in by})
+    same = [F.col(k).eqNullSafe(F.col(f"_model_{k}")) for k in by]
+    ready = design(dates.drop(PARAMS).join(found, same, "left"), holidays, ds)
     parts = ready.withColumns({b: dot(F.col(f"x_{b}"), F.col(f"b_{b}")) for b in BLOCKS})
     effect = F.col("yearly") + F.col("weekly") + F.col("holidays")
     yhat = F.when(_param("SEASONALITY_MODE") == "multiplicative", F.col("trend") * (1 + effect)).otherwise(
