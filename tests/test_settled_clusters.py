@@ -26,3 +26,41 @@ def test_settled_queries_are_a_fixed_point(spark):
 def test_restarts_run_until_the_cost_stands(spark):
     costs = [r["cost"] for r in P.kprototypes_restarts(spark, SF).orderBy("iteration").collect()]
     assert costs[-2] - costs[-1] <= 1e-6 * costs[-1]
+
+
+def _mixed_points(spark, parts):
+    rows = [(i, float(i % 7), float(i * i % 11), None if i % 5 == 0 else "ab"[i % 2], str(i % 3)) for i in range(600)]
+    points = spark.createDataFrame(rows, "account long, x double, y double, c string, d string").repartition(parts, "account").persist()
+    starts = [[CL.Centroid([float(r[1]), float(r[2])], [r[3], r[4]]) for r in rows[:k]] for k in (2, 4)]
+    return points, starts
+
+
+def test_an_iteration_starts_few_tasks_for_few_points(spark):
+    points, starts = _mixed_points(spark, 64)
+    points.count()
+    context = spark.sparkContext
+    context.setJobGroup("few-tasks", "few points in many partitions")
+    found = CL.k_prototypes_runs(points, starts, ["x", "y"], ["c", "d"], 0.5, 6, -1.0)
+    context.setJobGroup("", "")
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    known = [i for i in map(tracker.getStageInfo, stages) if i]
+    assert [f.iterations for f in found] == [6, 6] and known
+    assert sum(i.numTasks for i in known) < 6 * 64
+
+
+def test_sums_added_by_shuffles_and_on_the_driver_agree(spark, monkeypatch):
+    points, starts = _mixed_points(spark, 8)
+    run = lambda: CL.k_prototypes_runs(points, [list(s) for s in starts], ["x", "y"], ["c", "d"], 0.5, 5, -1.0)
+    driver = run()
+    monkeypatch.setattr(CL, "DRIVER_ROWS", 0)
+    monkeypatch.setattr(CL, "HELD_COUNTS", 3)
+    for a, b in zip(driver, run(), strict=True):
+        assert a.sizes == b.sizes and math.isclose(a.cost, b.cost, rel_tol=1e-12)
+        for x, y in zip(a.centroids, b.centroids, strict=True):
+            assert x.categorical == y.categorical
+            assert all(math.isclose(v, w, abs_tol=1e-12) for v, w in zip(x.numeric, y.numeric, strict=True))
+
+
+def test_tasks_of_a_pass():
+    assert [CL.pass_tasks(n, 12) for n in (0, 9_000, 90_000, 1_000_000, 5_400_000)] == [1, 1, 9, 12, 24]

@@ -1,9 +1,9 @@
 """Clusters of mixed numeric and categorical profiles.
 
 Scaled points live in one persisted table. An iteration is one scan of it for
-all runs and all k: tasks sum what each batch of points adds to every cluster,
-the sums are aggregated, and one row per cluster and feature comes back. Nothing
-is joined. Labels of the result are a column expression with literal centroids.
+all runs and all k, by as few tasks as keep all cores busy: each sums what its
+points add to every cluster. Few sums are added on the driver, others by shuffles.
+Nothing is joined. Labels of the result are a column expression with literal centroids.
 
 The silhouette is exact and linear: the mean squared distance from a point to a
 cluster follows from the cluster's size, sum and sum of squares, and the mean
@@ -28,6 +28,12 @@ from usage_ts.operators import joins
 
 # Fixed value: gamma is half the mean deviation of the numeric features.
 GAMMA_SHARE = 0.5
+#: Points worth a task of their own in a pass, and the most that one task takes in a single round of tasks.
+TASK_ROWS, MOST_TASK_ROWS = 10_000, 250_000
+#: Category counts that a task holds before it hands them on.
+HELD_COUNTS = 50_000
+#: Rows of partial sums that a pass may bring to the driver.
+DRIVER_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -77,6 +83,24 @@ def filled(points: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     )
 
 
+def pass_tasks(rows: int, cores: int) -> int:
+    """Tasks of a pass over ``rows`` points: whole rounds of all cores, fewer if the points are too few for that."""
+    rounds = max(1, math.ceil(rows / (cores * MOST_TASK_ROWS)))
+    return max(1, min(rounds * cores, math.ceil(rows / TASK_ROWS)))
+
+
+def in_passes(points: DataFrame, categorical: Sequence[str], clusters: int) -> tuple[DataFrame, bool]:
+    """Persisted points by as few tasks as keep all cores busy, and whether the sums of these tasks are few.
+
+    The partitions of the points are merged, not moved. A pass is short, so starting a Python task for each of
+    some hundred small partitions would be most of it, and so would shuffles of sums that are few anyway.
+    """
+    row = points.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+    tasks = pass_tasks(row["n"], points.sparkSession.sparkContext.defaultParallelism)
+    values = sum(row[c] + 1 for c in categorical)
+    return points.coalesce(tasks), tasks * clusters * (1 + values) <= DRIVER_ROWS
+
+
 def nearest(
     centroids: Sequence[Centroid], numeric: Sequence[str], categorical: Sequence[str], gamma: float
 ) -> str:
@@ -216,11 +240,11 @@ def k_prototypes_runs(
     Cost and sizes are those of the returned centroids.
     """
     numeric, categorical = list(numeric), list(categorical)
-    ready = filled(points, numeric, categorical)
+    ready, few = in_passes(filled(points, numeric, categorical), categorical, sum(map(len, starts)))
     found = [Clustering(list(s), [0] * len(s), math.inf, gamma, 0, numeric, categorical, [], False) for s in starts]
     live = list(range(len(found)))
     while live and (max_iter is None or found[live[0]].iterations < max_iter):
-        means, modes = _updates(ready, found, live)
+        means, modes = _updates(ready, found, live, few)
         moves = {}
         for r in live:
             run = found[r]
@@ -247,7 +271,7 @@ def k_prototypes_runs(
 
 
 def _partial_sums(found: Sequence[Clustering], live: Sequence[int]):
-    """Sizes, costs, sums and category counts of one batch of points under every live run.
+    """Sizes, costs, sums and category counts of the points of one task under every live run.
 
     The distances of a batch to all centroids are one matrix product, so a pass serves any number of
     runs; a generated expression would have to be compiled anew for every iteration and run.
@@ -258,7 +282,16 @@ def _partial_sums(found: Sequence[Clustering], live: Sequence[int]):
     picks = [np.array([_as_text(c.categorical[j]) for c in cells], object) for j in range(len(categorical))]
     widths = [(r, len(found[r].centroids)) for r in live]
 
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), *[pa.float64()] * (1 + len(numeric))]
+    names = ["run", "label", "feature", "value", "n", "cost", *(f"s{i}" for i in range(len(numeric)))]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Column 0 is the cost, then one column per feature.
+        sizes, sums = np.zeros(len(cells), int), np.zeros((len(cells), 1 + len(numeric)))
+        held: dict[tuple, int] = {}
         for b in batches:
             if not b.num_rows:
                 continue
@@ -271,25 +304,27 @@ def _partial_sums(found: Sequence[Clustering], live: Sequence[int]):
                 codes, values = column.indices.to_numpy(), np.array(column.dictionary.to_pylist(), object)
                 far += gamma * (values[:, None] != picks[j][None, :]).astype(float)[codes]
                 coded.append((codes, values))
-            rows, at = [], 0
+            at = 0
             for r, k in widths:
                 own = far[:, at : at + k]
-                at += k
                 label = own.argmin(axis=1)
-                size = np.bincount(label, minlength=k)
-                cost = np.bincount(label, np.maximum(own.min(axis=1), 0), k)
-                sums = [np.bincount(label, v, k) for v in x]
-                rows += [(r, i, None, None, int(size[i]), cost[i], *(v[i] for v in sums)) for i in np.flatnonzero(size).tolist()]
+                sizes[at : at + k] += np.bincount(label, minlength=k)
+                for i, v in enumerate((np.maximum(own.min(axis=1), 0), *x)):
+                    sums[at : at + k, i] += np.bincount(label, v, k)
+                at += k
                 for name, (codes, values) in zip(categorical, coded, strict=True):
                     counts = np.bincount(label * len(values) + codes, minlength=k * len(values))
-                    rows += [
-                        (r, p // len(values), name, values[p % len(values)], int(counts[p]), *[0.0] * (1 + len(numeric)))
-                        for p in np.flatnonzero(counts).tolist()
-                    ]
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), *[pa.float64()] * (1 + len(numeric))]
-            names = ["run", "label", "feature", "value", "n", "cost", *(f"s{i}" for i in range(len(numeric)))]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                    for p in np.flatnonzero(counts).tolist():
+                        of = r, p // len(values), name, values[p % len(values)]
+                        held[of] = held.get(of, 0) + int(counts[p])
+            if len(held) > HELD_COUNTS:
+                yield table([(*of, n, *[0.0] * (1 + len(numeric))) for of, n in held.items()])
+                held = {}
+        places = [(r, i) for r, k in widths for i in range(k)]
+        rows = [(*places[c], None, None, int(sizes[c]), *sums[c].tolist()) for c in np.flatnonzero(sizes).tolist()]
+        rows += [(*of, n, *[0.0] * (1 + len(numeric))) for of, n in held.items()]
+        if rows:
+            yield table(rows)
 
     return run
 
@@ -298,18 +333,25 @@ def _as_text(value: object) -> str | None:
     return value if value is None or isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
 
 
-def _updates(ready: DataFrame, found: Sequence[Clustering], live: Sequence[int]) -> tuple[dict, dict]:
-    """New means and modes of every run by one job: clusters x (1 + categories) rows reach the driver."""
-    numeric = found[0].numeric
+def _updates(ready: DataFrame, found: Sequence[Clustering], live: Sequence[int], few: bool) -> tuple[dict, dict]:
+    """New means and modes of every run by one job.
+
+    The partial sums of the tasks are added on the driver if they are ``few``. If not, shuffles add them and
+    clusters x (1 + categories) rows reach the driver.
+    """
+    numeric, keys = found[0].numeric, ["run", "label", "feature"]
     sums = ["cost", *(f"s{i}" for i in range(len(numeric)))]
     schema = "run int, label int, feature string, value string, n long, " + ", ".join(f"{c} double" for c in sums)
-    counted = ready.mapInArrow(_partial_sums(found, live), schema).groupBy("run", "label", "feature", "value")
-    counted = counted.agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
-    best = counted.groupBy("run", "label", "feature").agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"), *(F.sum(c).alias(c) for c in ["n", *sums])
-    )
+    parts = ready.mapInArrow(_partial_sums(found, live), schema)
+    if few:
+        rows = _added(parts.toArrow().to_pylist(), ["n", *sums])
+    else:
+        counted = parts.groupBy(*keys, "value").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
+        rows = counted.groupBy(*keys).agg(
+            F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"), *(F.sum(c).alias(c) for c in ["n", *sums])
+        ).collect()
     means, modes = {}, {}
-    for r in best.collect():
+    for r in rows:
         of = r["run"], r["label"]
         if r["feature"] is None:
             means[of] = {"size": r["n"], "cost": r["cost"], **{c: r[f"s{i}"] / r["n"] for i, c in enumerate(numeric)}}
@@ -318,6 +360,24 @@ def _updates(ready: DataFrame, found: Sequence[Clustering], live: Sequence[int])
     return means, modes
 
 
+def _added(parts: Sequence[Mapping], sums: Sequence[str]) -> list[dict]:
+    """Rows of equal run, label, feature and value added; of the values of a feature the most frequent, null before the least."""
+    total: dict[tuple, dict] = {}
+    for r in parts:
+        of = r["run"], r["label"], r["feature"], r["value"]
+        if of in total:
+            for c in sums:
+                total[of][c] += r[c]
+        else:
+            total[of] = dict(r)
+    best: dict[tuple, dict] = {}
+    for (*of, value), r in total.items():
+        rank = -r["n"], value is not None, value or ""
+        if tuple(of) not in best or rank < best[tuple(of)][0]:
+            best[tuple(of)] = rank, r
+    return [r for _, r in best.values()]
+
+
 def _farthest(ready: DataFrame, short: Sequence[int], found: Sequence[Clustering]) -> dict[int, list[Centroid]]:
     """Points farthest from their centroid, for runs that lost a cluster (at most k per run)."""
     out: dict[int, list[Centroid]] = {}
