@@ -104,7 +104,7 @@ def evaluate(
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ds)
         params = json.loads(pdf[PARAMS].iloc[0])
-        train = (pdf["role"] == "train").to_numpy()
+        train = pdf["role"].to_numpy(dtype=bool)
         y = pdf[value].to_numpy(dtype=float)
         out = pdf[[*keys, ds]].copy()
         out["gt"] = y
@@ -120,7 +120,7 @@ def evaluate(
         return out
 
     rows = (
-        df.select(*keys, ds, F.col(value).cast("double").alias(value), "role", PARAMS)
+        df.select(*keys, ds, F.col(value).cast("double").alias(value), F.col("role").eqNullSafe("train").alias("role"), PARAMS)
         .groupBy(*keys)
         .applyInPandas(one, _schema(df, [*keys, ds], _doubles("gt", "model", "forecast", "test_pred")))
     )

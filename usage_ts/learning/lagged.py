@@ -51,15 +51,16 @@ def lag_gram(z: np.ndarray, width: int) -> np.ndarray:
     first, so the other rows follow from it without any window being laid out.
     """
     n = len(z)
-    gram = np.empty((width + 1, width + 1))
-    gram[0] = [z[width:] @ z[width - k : n - k] for k in range(width + 1)]
     early, late = z[width - 1 :: -1] if width else z[:0], z[n - 1 : n - 1 - width : -1]
-    for i in range(width):
-        # Entry (i + 1, j + 1) from entry (i, j), for all j of the row at once.
-        gram[i + 1, i + 1 :] = gram[i, i:-1] + early[i] * early[i:] - late[i] * late[i:]
-    lower = np.tril_indices(width + 1, -1)
-    gram[lower] = gram.T[lower]
-    return gram
+    wide = np.zeros((width + 1, 2 * width + 1))
+    wide[0, : width + 1] = np.correlate(z, z[width:], "valid")[::-1]
+    wide[1:, 1 : width + 1] = early[:, None] * early - late[:, None] * late
+    # Row i of the view begins on the diagonal, so that a column of it is one diagonal.
+    row, item = wide.strides
+    steps = np.lib.stride_tricks.as_strided(wide, (width + 1, width + 1), (row + item, item))
+    steps[:] = steps.cumsum(axis=0)
+    upper = np.triu(wide[:, : width + 1], 1)
+    return upper + upper.T + np.diag(wide.diagonal())
 
 
 class LinearLags:

@@ -20,11 +20,32 @@ def solve_symmetric(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Solution of smallest norm of a positive semidefinite system, for each column of ``b``; directions below rounding are left out."""
     if not len(b):
         return np.zeros(b.shape)
+    direct = _sound_solution(a, b)
+    if direct is not None:
+        return direct
     values, vectors = np.linalg.eigh(a)
     kept = values > max(values[-1], 0.0) * len(b) * 1e-14
     return vectors[:, kept] @ ((vectors[:, kept].T @ b).T / values[kept]).T
 
 
+#: Random right sides that show how large the inverse of a matrix is, and the share of it they may miss.
+PROBES, MISSED = 8, 1e-2
+
+
+def _sound_solution(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    """Solution by elimination if all directions of ``a`` are above rounding, a tenth of the work of its eigenvectors; else none."""
+    probes = np.random.default_rng(0).standard_normal((len(a), PROBES))
+    right = b.reshape(len(b), -1)
+    try:
+        x = np.linalg.solve(a, np.column_stack([right, probes]))
+    except np.linalg.LinAlgError:
+        return None
+    inverse = np.sqrt((x[:, right.shape[1] :] ** 2).sum(axis=0)).max()
+    # The norm bounds the largest value from above, so no direction is kept here that the rule below leaves out.
+    sound = np.linalg.norm(a) * inverse * len(a) * 1e-14 < MISSED
+    return x[:, : right.shape[1]].reshape(b.shape) if sound else None
+
+
 def lagged(values: np.ndarray, lags: list[int], start: int) -> np.ndarray:
     """Matrix whose column j holds ``values`` shifted by ``lags[j]``, rows from ``start`` on."""
     n = len(values)
