@@ -49,6 +49,16 @@ def test_daily_consumption_and_spine(few, strategy):
     assert max(r.d for r in intervals.closed_horizon(days).collect()) == D(2020, 1, 7)
 
 
+@pytest.mark.parametrize("spine", [True, False])
+@pytest.mark.parametrize("strategy", ["delta", "explode"])
+def test_runs_stand_for_their_days(few, strategy, spine):
+    days = intervals.daily_consumption(few, ["g"], strategy=strategy, spine=spine)
+    runs = intervals.daily_consumption(few, ["g"], strategy=strategy, spine=spine, until="upto")
+    laid_out = runs.withColumn("d", F.explode(F.sequence("d", "upto")))
+    assert collect(laid_out, *days.columns) == collect(days, *days.columns)
+    assert strategy == "explode" or runs.count() < days.count()
+
+
 def test_unknown_strategy_is_refused(few):
     with pytest.raises(ValueError):
         intervals.daily_consumption(few, strategy="other")

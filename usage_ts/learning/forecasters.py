@@ -10,11 +10,12 @@ fits run at the same time.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,10 @@ from usage_ts.learning import lagged, seasonal
 
 KEYS = ("series_key",)
 PARAMS = "params"
+#: What an evaluation table says of each day.
+SCORED = ("model", "forecast", "test_pred")
+#: Days that a batch of series holds as arrays before it is handed on.
+PACKED_DAYS = 500_000
 
 
 @dataclass(frozen=True)
@@ -88,43 +93,104 @@ def _nan_to_null(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols})
 
 
+def _scored(method, y: np.ndarray, train: np.ndarray, params: Mapping[str, object]) -> dict[str, np.ndarray]:
+    """The columns ``SCORED`` of one series whose rows of ``train`` are fitted."""
+    out = {c: np.full(len(y), np.nan) for c in SCORED}
+    if train.any():
+        fit = method.fit(y[train], params)
+        out["model"][train] = fit.fitted
+        if len(fit.coef) and not train.all():
+            out["forecast"][~train] = method.ahead(fit.coef, fit.state, int((~train).sum()), params)
+            if method.one_step:
+                out["test_pred"][~train] = method.one_step(fit.coef, fit.state, y[~train], params)
+    return out
+
+
 def evaluate(
-    df: DataFrame, model: str | Forecaster, by: Sequence[str] = KEYS, ds: str = "ds", value: str = "y"
+    df: DataFrame,
+    model: str | Forecaster,
+    by: Sequence[str] = KEYS,
+    ds: str = "ds",
+    value: str = "y",
+    until: str | None = None,
 ) -> DataFrame:
     """Fit on the ``train`` rows of each group and predict its ``test`` rows.
 
     Needs columns ``role`` and ``params`` (see :func:`with_params`); returns an
-    evaluation table with ``test_pred``.
+    evaluation table with ``test_pred``. With ``until`` a row of ``df`` stands for
+    every day from ``ds`` to that one, and the result has one row per group with
+    an array of its days in each column: days are laid out in the task that fits
+    them alone, so they are neither sorted nor shuffled.
     """
     keys = list(by)
     if resolve(model).evaluate:
+        if until:
+            raise ValueError(f"{resolve(model).name!r} works on whole tables, give it single days")
         return resolve(model).evaluate(df, keys, ds, value)
     method = resolve(model).method
+    if until:
+        return _evaluate_packed(df, method, keys, ds, value, until)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ds)
-        params = json.loads(pdf[PARAMS].iloc[0])
-        train = pdf["role"].to_numpy(dtype=bool)
         y = pdf[value].to_numpy(dtype=float)
-        out = pdf[[*keys, ds]].copy()
-        out["gt"] = y
-        for c in ("model", "forecast", "test_pred"):
-            out[c] = np.nan
-        if train.any():
-            fit = method.fit(y[train], params)
-            out.loc[train, "model"] = fit.fitted
-            if len(fit.coef) and not train.all():
-                out.loc[~train, "forecast"] = method.ahead(fit.coef, fit.state, int((~train).sum()), params)
-                if method.one_step:
-                    out.loc[~train, "test_pred"] = method.one_step(fit.coef, fit.state, y[~train], params)
-        return out
+        scored = _scored(method, y, pdf["role"].to_numpy(dtype=bool), json.loads(pdf[PARAMS].iloc[0]))
+        return pdf[[*keys, ds]].assign(gt=y, **scored)
 
     rows = (
         df.select(*keys, ds, F.col(value).cast("double").alias(value), F.col("role").eqNullSafe("train").alias("role"), PARAMS)
         .groupBy(*keys)
-        .applyInPandas(one, _schema(df, [*keys, ds], _doubles("gt", "model", "forecast", "test_pred")))
+        .applyInPandas(one, _schema(df, [*keys, ds], _doubles("gt", *SCORED)))
     )
-    return _nan_to_null(rows, "model", "forecast", "test_pred")
+    return _nan_to_null(rows, *SCORED)
+
+
+def _evaluate_packed(df: DataFrame, method, keys: Sequence[str], ds: str, value: str, until: str) -> DataFrame:
+    run = F.struct(
+        F.col(ds).alias("first"), F.col(until).alias("last"),
+        F.col(value).cast("double").alias("y"), F.col("role").eqNullSafe("train").alias("train"),
+    )
+    series = df.groupBy(*keys).agg(F.min_by(PARAMS, ds).alias(PARAMS), F.array_sort(F.collect_list(run)).alias("_runs"))
+    days = T.ArrayType(T.DateType())
+    doubles = T.ArrayType(T.DoubleType())
+    schema = _schema(df, keys, [T.StructField(ds, days), *(T.StructField(c, doubles) for c in ("gt", *SCORED))])
+
+    def table(batch: pa.RecordBatch, begin: int, parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *(len(p[ds]) for p in parts)]).astype(np.int32)
+        of_keys = [batch.column(i).slice(begin, len(parts)) for i in range(len(keys))]
+        lists = []
+        for c in (ds, "gt", *SCORED):
+            flat = np.concatenate([p[c] for p in parts])
+            items = pa.array(flat.astype(np.int32)).cast(pa.date32()) if c == ds else pa.array(flat, from_pandas=True)
+            lists.append(pa.ListArray.from_arrays(pa.array(ends), items))
+        return pa.RecordBatch.from_arrays([*of_keys, *lists], names=schema.names)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed: dict[str, dict] = {}
+        for b in batches:
+            runs = b.column(len(keys) + 1)
+            at = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+            first, last, y, train = runs.flatten().flatten()
+            first, last = (d.cast(pa.int32()).to_numpy() for d in (first, last))
+            y, train = (v.to_numpy(zero_copy_only=False) for v in (y, train))
+            begin, held, parts = 0, 0, []
+            for i, text in enumerate(b.column(len(keys)).to_pylist()):
+                own = slice(at[i], at[i + 1])
+                lasting = last[own] - first[own] + 1
+                ends = np.cumsum(lasting)
+                day = np.arange(ends[-1]) + np.repeat(first[own] - ends + lasting, lasting)
+                gt = np.repeat(y[own], lasting)
+                if text not in parsed:
+                    parsed[text] = json.loads(text)
+                parts.append({ds: day, "gt": gt} | _scored(method, gt, np.repeat(train[own], lasting), parsed[text]))
+                held += len(gt)
+                if held > PACKED_DAYS:
+                    yield table(b, begin, parts)
+                    begin, held, parts = i + 1, 0, []
+            if parts:
+                yield table(b, begin, parts)
+
+    return series.select(*keys, PARAMS, "_runs").mapInArrow(fit, schema)
 
 
 def fit_models(

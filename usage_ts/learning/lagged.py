@@ -44,23 +44,27 @@ class LastValue:
         return np.concatenate([state[-1:], later])[: len(later)]
 
 
-def lag_gram(z: np.ndarray, width: int) -> np.ndarray:
+def lag_gram(z: np.ndarray, width: int, less: np.ndarray | None = None) -> np.ndarray:
     """Products of all pairs of the columns (value, lag 1, ..., lag ``width``) over the rows that have all lags.
 
     Row 0 is one sum per lag. Each further diagonal step drops the last product and takes up one before the
-    first, so the other rows follow from it without any window being laid out.
+    first, so the other rows follow from it without any window being laid out. With a vector ``less`` its products
+    are taken off, in the same steps.
     """
     n = len(z)
-    early, late = z[width - 1 :: -1] if width else z[:0], z[n - 1 : n - 1 - width : -1]
-    wide = np.zeros((width + 1, 2 * width + 1))
-    wide[0, : width + 1] = np.correlate(z, z[width:], "valid")[::-1]
-    wide[1:, 1 : width + 1] = early[:, None] * early - late[:, None] * late
-    # Row i of the view begins on the diagonal, so that a column of it is one diagonal.
-    row, item = wide.strides
-    steps = np.lib.stride_tricks.as_strided(wide, (width + 1, width + 1), (row + item, item))
-    steps[:] = steps.cumsum(axis=0)
-    upper = np.triu(wide[:, : width + 1], 1)
-    return upper + upper.T + np.diag(wide.diagonal())
+    gram = np.empty((width + 1, width + 1))
+    gram[0] = np.correlate(z, z[width:], "valid")[::-1]
+    ends = [z[width - 1 :: -1] if width else z[:0], z[n - 1 : n - 1 - width : -1]]
+    if less is not None:
+        gram[0] -= less[0] * less
+        ends += [less[:-1], less[1:]]
+    gram[:, 0] = gram[0]
+    signed = np.array(ends)
+    signed[1::2] *= -1.0
+    steps = signed.T @ np.array(ends)
+    for i in range(width):
+        np.add(gram[i, :-1], steps[i], out=gram[i + 1, 1:])
+    return gram
 
 
 class LinearLags:
@@ -78,11 +82,10 @@ class LinearLags:
         mean, scale = y.mean(), y.std() or 1.0
         z = (y - mean) / scale
         n = len(z)
-        gram = lag_gram(z, width)
         ends = np.concatenate([[0.0], np.cumsum(z)])
-        sums = np.array([ends[n - k] - ends[width - k] for k in range(width + 1)])
+        sums = (ends[n - width :] - ends[: width + 1])[::-1]
         rows = n - width
-        centred = gram - np.outer(sums, sums) / rows
+        centred = lag_gram(z, width, sums / np.sqrt(rows))
         weights = solve_symmetric(centred[1:, 1:], centred[1:, 0])
         intercept = (sums[0] - sums[1:] @ weights) / rows
         fitted = np.full(n, np.nan)

@@ -5,6 +5,8 @@ A series has one value per day, so its length is bounded by the calendar.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -32,12 +34,16 @@ def solve_symmetric(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 PROBES, MISSED = 8, 1e-2
 
 
+@lru_cache(maxsize=8)
+def _probes(size: int) -> np.ndarray:
+    return np.random.default_rng(0).standard_normal((size, PROBES))
+
+
 def _sound_solution(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     """Solution by elimination if all directions of ``a`` are above rounding, a tenth of the work of its eigenvectors; else none."""
-    probes = np.random.default_rng(0).standard_normal((len(a), PROBES))
     right = b.reshape(len(b), -1)
     try:
-        x = np.linalg.solve(a, np.column_stack([right, probes]))
+        x = np.linalg.solve(a, np.column_stack([right, _probes(len(a))]))
     except np.linalg.LinAlgError:
         return None
     inverse = np.sqrt((x[:, right.shape[1] :] ** 2).sum(axis=0)).max()

@@ -43,13 +43,15 @@ def running_totals(
     day: str = "d",
     first_day=None,
     sign: Column | None = None,
+    until: str | None = None,
 ) -> DataFrame:
     """Every day from the first start to the last end of each group, with totals over active records.
 
     Output: ``by``, ``day``, ``n`` and one column per amount; days without an
     active record are present with zeros. Null amounts count as zero.
     ``first_day`` cuts the history: earlier days are not produced. ``sign`` is 1
-    for a record to count and -1 for one to take back.
+    for a record to count and -1 for one to take back. With ``until`` days of one
+    level stay one row, from ``day`` up to the day ``until``.
     """
     records = _valid(df, start, end)
     opening = F.col(start)
@@ -83,6 +85,8 @@ def running_totals(
         F.lead(day).over(by_day).alias("_next"),
     )
     held = levels.filter(F.col("_next").isNotNull())
+    if until:
+        return held.select(*by, day, F.date_sub("_next", 1).alias(until), "n", *names)
     return held.select(
         *by,
         F.explode(F.sequence(F.col(day), F.date_sub("_next", 1))).alias(day),
@@ -119,18 +123,21 @@ def daily_consumption(
     first_day=None,
     spine: bool = False,
     rejects: bool = False,
+    until: str | None = None,
 ) -> DataFrame:
     """A2: (``by``, day, n, consumption), each record's quantity spread evenly over its days.
 
     ``spine`` keeps days without an active record as zeros (W1); otherwise
     only days with records are returned. ``rejects`` adds ``n_rejected``, the active
-    records that have a quantity, though one beyond the fixed-point types.
+    records that have a quantity, though one beyond the fixed-point types. With
+    ``until`` a row stands for all days from ``day`` to that one, so the table
+    grows with the records and not with their days.
     """
     rate = C.daily_rate(F.col(value), F.col(start), F.col(end))
     lost = F.col(value).isNotNull() & rate.isNull()
     if strategy == "delta":
         amounts = {"consumption": F.coalesce(rate, F.lit(0))} | ({"n_rejected": lost.cast("int")} if rejects else {})
-        days = running_totals(df, by, amounts, start, end, day, first_day)
+        days = running_totals(df, by, amounts, start, end, day, first_day, until=until)
         return days if spine else days.filter("n > 0")
     if strategy != "explode":
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -144,7 +151,8 @@ def daily_consumption(
         )
     )
     counted = ["n", "consumption", *(["n_rejected"] if rejects else [])]
-    return with_spine(totals, by, counted, day) if spine else totals
+    days = with_spine(totals, by, counted, day) if spine else totals
+    return days.select(*by, day, F.col(day).alias(until), *counted) if until else days
 
 
 def with_spine(

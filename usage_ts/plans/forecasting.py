@@ -330,15 +330,16 @@ def lag_regression_by_account(spark, sf):
     """300 lags on the daily series of every account: what is left correlates with no lag and has mean zero.
 
     ``condition`` is the largest product sum of the residuals with the constant and with lags 1, 7, 100 and 300,
-    as a share of the absolute sum of the values' products with them.
+    as a share of the absolute sum of the values' products with them. The days of an account stay one row of arrays
+    between the fit and these sums, so a lag is a place in the array.
     """
-    days = intervals.daily_consumption(testtables.billing_dedup(spark, sf), ["account"], spine=True)
-    s = days.select(F.col("account").alias("series_key"), F.col("d").alias("ds"), C.plain(F.col("consumption")).alias("y"))
+    days = intervals.daily_consumption(testtables.billing_dedup(spark, sf, by_account=True), ["account"], spine=True, until="upto")
+    s = days.select(F.col("account").alias("series_key"), F.col("d").alias("ds"), "upto", C.plain(F.col("consumption")).alias("y"))
     ready = FC.with_params(s.withColumn("role", F.lit("train")), "linear_regression", {"T_X": LONG_LAGS})
-    fitted = FC.evaluate(ready, "linear_regression")
-    by_day = Window.partitionBy("series_key").orderBy("ds")
-    lags = {f"x{k}": F.lag("gt", k).over(by_day) for k in (1, 7, 100, LONG_LAGS)}
-    rows = fitted.withColumns({**lags, "x0": F.lit(1.0), "e": F.col("gt") - F.col("model")})
+    fitted = FC.evaluate(ready, "linear_regression", until="upto")
+    each = fitted.select("series_key", F.col("gt").alias("all"), F.posexplode("model").alias("at", "model"))
+    lags = {f"x{k}": F.get("all", F.col("at") - k) for k in (1, 7, 100, LONG_LAGS)}
+    rows = each.withColumns({**lags, "x0": F.lit(1.0), "gt": F.get("all", F.col("at"))}).withColumn("e", F.col("gt") - F.col("model"))
     share = lambda x: F.try_divide(F.abs(F.sum(F.col("e") * F.col(x))), F.sum(F.abs(F.when(F.col("e").isNotNull(), F.col("gt")) * F.col(x))))
     worst = F.greatest(*[F.coalesce(share(x), F.lit(0.0)) for x in ("x0", *lags)])
     return rows.groupBy("series_key").agg(
