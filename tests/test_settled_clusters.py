@@ -2,6 +2,9 @@
 
 import math
 
+import numpy as np
+import pytest
+
 from usage_ts.operators import clustering as CL
 from usage_ts.plans import clusters as P
 
@@ -64,3 +67,49 @@ def test_sums_added_by_shuffles_and_on_the_driver_agree(spark, monkeypatch):
 
 def test_tasks_of_a_pass():
     assert [CL.pass_tasks(n, 12) for n in (0, 9_000, 90_000, 1_000_000, 5_400_000)] == [1, 1, 9, 12, 24]
+
+
+def _scattered(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, *(rng.normal(size=2) + 2 * (i % 3)).tolist(), None if i % 9 == 0 else "ab"[i % 2], str(i % 4)) for i in range(3000)]
+    rows += [(3000 + i, 1.0, 1.0, "a", "0") for i in range(50)] + [(4000, 50.0, 50.0, "z", None)]
+    points = spark.createDataFrame(rows, "account long, x double, y double, c string, d string").repartition(4, "account").persist()
+    starts = [[CL.Centroid(list(r[1:3]), list(r[3:])) for r in rows[:k]] for k in (1, 3, 6)]
+    return points, [*starts, [starts[1][0]] * 2 + [CL.Centroid([900.0, 900.0], ["a", "0"])]]
+
+
+def test_passes_that_look_at_few_points_end_as_full_passes_do(spark, monkeypatch):
+    points, starts = _scattered(spark)
+    shares = []
+    update = CL._Bounds.updates
+
+    def noted(self, found, live):
+        out = update(self, found, live)
+        shares.append((self.looked, sum(m["size"] for m in out[0].values()) == len(live) * 3051))
+        return out
+
+    monkeypatch.setattr(CL._Bounds, "updates", noted)
+    run = lambda: CL.k_prototypes_runs(points, [list(s) for s in starts], ["x", "y"], ["c", "d"], 0.5, None, 1e-12)
+    few = run()
+    assert all(whole for _, whole in shares) and sum(0 < s <= CL.LOOKED_AT for s, _ in shares) > len(shares) / 2
+    monkeypatch.setattr(CL, "DRIVER_ROWS", 0)
+    for a, b in zip(few, run(), strict=True):
+        assert a.converged and b.converged and a.iterations == b.iterations and a.sizes == b.sizes
+        assert a.costs == [math.isclose(x, y, rel_tol=1e-12) and x for x, y in zip(a.costs, b.costs, strict=True)]
+        for x, y in zip(a.centroids, b.centroids, strict=True):
+            assert x.categorical == y.categorical
+            assert all(math.isclose(v, w, abs_tol=1e-9) for v, w in zip(x.numeric, y.numeric, strict=True))
+
+
+def test_scores_of_all_clusterings_come_from_two_passes(spark, monkeypatch):
+    points, starts = _scattered(spark)
+    lone = [[starts[1][0], starts[1][1], CL.Centroid([50.0, 50.0], ["z", None]), CL.Centroid([900.0, 900.0], ["a", None])]]
+    found = [CL.Clustering(s, [0] * len(s), 0.0, 0.5, 0, ["x", "y"], ["c", "d"]) for s in [*starts[1:], *lone]]
+    of = [CL.silhouette(f.assign(points), ["x", "y"], ["c", "d"], 0.5).first()["silhouette"] for f in found]
+    monkeypatch.setattr(CL, "silhouette", None)
+    assert CL.silhouettes(points, found) == [pytest.approx(s, abs=1e-12) for s in of]
+
+
+def test_a_date_filter_goes_below_the_shuffle_of_the_lines(spark):
+    plan = P.profiles(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert ">= 1999-09-17" in plan[plan.index("Exchange hashpartitioning(l_orderkey") :]

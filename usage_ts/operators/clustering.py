@@ -1,9 +1,11 @@
 """Clusters of mixed numeric and categorical profiles.
 
-Scaled points live in one persisted table. An iteration is one scan of it for
-all runs and all k, by as few tasks as keep all cores busy: each sums what its
-points add to every cluster. Few sums are added on the driver, others by shuffles.
-Nothing is joined. Labels of the result are a column expression with literal centroids.
+Scaled points live in one persisted table. An iteration is one job for all runs
+and all k, by as few tasks as keep all cores busy: each sums what its points add
+to every cluster. Few sums are added on the driver; then points are looked at only
+if their label can have changed (:class:`_Bounds`). Many sums are added by shuffles
+of a scan of all points. Nothing is joined. Labels of the result are a column
+expression with literal centroids.
 
 The silhouette is exact and linear: the mean squared distance from a point to a
 cluster follows from the cluster's size, sum and sum of squares, and the mean
@@ -20,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,10 @@ TASK_ROWS, MOST_TASK_ROWS = 10_000, 250_000
 HELD_COUNTS = 50_000
 #: Rows of partial sums that a pass may bring to the driver.
 DRIVER_ROWS = 50_000
+#: Share of all labels that a pass may look at again before every point gets new bounds.
+LOOKED_AT = 0.25
+#: Points nearest to another label first: the shares of a block at which it is cut, so that far parts are passed over.
+CUTS = (1 / 16, 1 / 8, 1 / 4, 1 / 2)
 
 
 @dataclass(frozen=True)
@@ -89,8 +96,8 @@ def pass_tasks(rows: int, cores: int) -> int:
     return max(1, min(rounds * cores, math.ceil(rows / TASK_ROWS)))
 
 
-def in_passes(points: DataFrame, categorical: Sequence[str], clusters: int) -> tuple[DataFrame, bool]:
-    """Persisted points by as few tasks as keep all cores busy, and whether the sums of these tasks are few.
+def in_passes(points: DataFrame, categorical: Sequence[str], clusters: int) -> tuple[DataFrame, int, bool]:
+    """Persisted points by as few tasks as keep all cores busy, their number, and whether the sums of these tasks are few.
 
     The partitions of the points are merged, not moved. A pass is short, so starting a Python task for each of
     some hundred small partitions would be most of it, and so would shuffles of sums that are few anyway.
@@ -98,7 +105,7 @@ def in_passes(points: DataFrame, categorical: Sequence[str], clusters: int) -> t
     row = points.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
     tasks = pass_tasks(row["n"], points.sparkSession.sparkContext.defaultParallelism)
     values = sum(row[c] + 1 for c in categorical)
-    return points.coalesce(tasks), tasks * clusters * (1 + values) <= DRIVER_ROWS
+    return points.coalesce(tasks), row["n"], tasks * clusters * (1 + values) <= DRIVER_ROWS
 
 
 def nearest(
@@ -240,11 +247,12 @@ def k_prototypes_runs(
     Cost and sizes are those of the returned centroids.
     """
     numeric, categorical = list(numeric), list(categorical)
-    ready, few = in_passes(filled(points, numeric, categorical), categorical, sum(map(len, starts)))
+    ready, rows, few = in_passes(filled(points, numeric, categorical), categorical, sum(map(len, starts)))
     found = [Clustering(list(s), [0] * len(s), math.inf, gamma, 0, numeric, categorical, [], False) for s in starts]
     live = list(range(len(found)))
+    bounds = _Bounds(ready, rows) if few else None
     while live and (max_iter is None or found[live[0]].iterations < max_iter):
-        means, modes = _updates(ready, found, live, few)
+        means, modes = bounds.updates(found, live) if bounds else _updates(ready, found, live)
         moves = {}
         for r in live:
             run = found[r]
@@ -267,6 +275,8 @@ def k_prototypes_runs(
                     run.centroids[i] = Centroid([float(means[r, i][c]) for c in numeric], chosen)
                 elif far.get(r):
                     run.centroids[i] = far[r].pop(0)
+    if bounds:
+        bounds.end()
     return found
 
 
@@ -333,23 +343,19 @@ def _as_text(value: object) -> str | None:
     return value if value is None or isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
 
 
-def _updates(ready: DataFrame, found: Sequence[Clustering], live: Sequence[int], few: bool) -> tuple[dict, dict]:
-    """New means and modes of every run by one job.
+def _updates(ready: DataFrame, found: Sequence[Clustering], live: Sequence[int]) -> tuple[dict, dict]:
+    """New means and modes of every run by one job over all points.
 
-    The partial sums of the tasks are added on the driver if they are ``few``. If not, shuffles add them and
-    clusters x (1 + categories) rows reach the driver.
+    Shuffles add the partial sums of the tasks, and clusters x (1 + categories) rows reach the driver.
     """
     numeric, keys = found[0].numeric, ["run", "label", "feature"]
     sums = ["cost", *(f"s{i}" for i in range(len(numeric)))]
     schema = "run int, label int, feature string, value string, n long, " + ", ".join(f"{c} double" for c in sums)
     parts = ready.mapInArrow(_partial_sums(found, live), schema)
-    if few:
-        rows = _added(parts.toArrow().to_pylist(), ["n", *sums])
-    else:
-        counted = parts.groupBy(*keys, "value").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
-        rows = counted.groupBy(*keys).agg(
-            F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"), *(F.sum(c).alias(c) for c in ["n", *sums])
-        ).collect()
+    counted = parts.groupBy(*keys, "value").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    rows = counted.groupBy(*keys).agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"), *(F.sum(c).alias(c) for c in ["n", *sums])
+    ).collect()
     means, modes = {}, {}
     for r in rows:
         of = r["run"], r["label"]
@@ -360,22 +366,281 @@ def _updates(ready: DataFrame, found: Sequence[Clustering], live: Sequence[int],
     return means, modes
 
 
-def _added(parts: Sequence[Mapping], sums: Sequence[str]) -> list[dict]:
-    """Rows of equal run, label, feature and value added; of the values of a feature the most frequent, null before the least."""
-    total: dict[tuple, dict] = {}
-    for r in parts:
-        of = r["run"], r["label"], r["feature"], r["value"]
-        if of in total:
-            for c in sums:
-                total[of][c] += r[c]
+class _Cells:
+    """The centroids of the live runs, one after the other, and the distances of a block of points to them."""
+
+    def __init__(self, found: Sequence[Clustering], runs: Sequence[int]):
+        first = found[runs[0]]
+        self.numeric, self.categorical, self.gamma = first.numeric, first.categorical, first.gamma
+        cells = [c for r in runs for c in found[r].centroids]
+        self.centers = np.array([c.numeric for c in cells], float).reshape(len(cells), len(self.numeric))
+        self.picks = [np.array([_as_text(c.categorical[j]) for c in cells], object) for j in range(len(self.categorical))]
+        self.places = [(r, i) for r in runs for i in range(len(found[r].centroids))]
+        ends = np.cumsum([0, *(len(found[r].centroids) for r in runs)]).tolist()
+        self.spans = {r: slice(a, b) for r, a, b in zip(runs, ends, ends[1:], strict=False)}
+
+    def distances(self, x: np.ndarray, coded: Sequence[tuple], of: slice) -> np.ndarray:
+        """A row per centroid of a run; numbers of points come as a row per feature, categories as codes and their values."""
+        centers = self.centers[of]
+        far = (x * x).sum(axis=0) - 2 * (centers @ x)
+        far += (centers * centers).sum(axis=1)[:, None]
+        for (codes, values), picks in zip(coded, self.picks, strict=True):
+            far += (self.gamma * (values[None, :] != picks[of][:, None]).astype(float))[:, codes]
+        return far
+
+    def drifts(self, later: _Cells) -> np.ndarray:
+        """How far each centroid went: in the metric whose square is the mixed distance."""
+        moved = ((later.centers - self.centers) ** 2).sum(axis=1)
+        for a, b in zip(self.picks, later.picks, strict=True):
+            moved += self.gamma * (a != b)
+        return np.sqrt(moved) * (1 + 1e-9) + 1e-12
+
+    def part(self, runs: Sequence[int]) -> _Cells:
+        """The same for some of the runs."""
+        out = object.__new__(_Cells)
+        at = [i for i, (r, _) in enumerate(self.places) if r in set(runs)]
+        out.numeric, out.categorical, out.gamma = self.numeric, self.categorical, self.gamma
+        out.centers, out.picks, out.places = self.centers[at], [p[at] for p in self.picks], [self.places[i] for i in at]
+        widths = [self.spans[r].stop - self.spans[r].start for r in runs]
+        ends = np.cumsum([0, *widths]).tolist()
+        out.spans = {r: slice(a, b) for r, a, b in zip(runs, ends, ends[1:], strict=False)}
+        return out
+
+
+class _Sums:
+    """Sizes, squares, sums and category counts of the clusters, of one task."""
+
+    SCHEMA = pa.schema([("run", pa.int32()), ("label", pa.int32()), ("feature", pa.string()), ("value", pa.string()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))])
+    DDL = "run int, label int, feature string, value string, n long, sums array<double>"
+
+    def __init__(self, cells: _Cells):
+        self.cells, self.sizes = cells, np.zeros(len(cells.places), int)
+        self.sums = np.zeros((len(cells.places), 1 + len(cells.numeric)))
+        self.counts: dict[tuple, int] = {}
+
+    def add(self, run: int, label: np.ndarray, x: np.ndarray, coded: Sequence[tuple], sign: int = 1) -> None:
+        span = self.cells.spans[run]
+        k = span.stop - span.start
+        self.sizes[span] += sign * np.bincount(label, minlength=k)
+        for i, v in enumerate(((x * x).sum(axis=0), *x)):
+            self.sums[span, i] += sign * np.bincount(label, v, k)
+        for name, (codes, values) in zip(self.cells.categorical, coded, strict=True):
+            counts = np.bincount(label * len(values) + codes, minlength=k * len(values))
+            for p in np.flatnonzero(counts).tolist():
+                of = run, p // len(values), name, values[p % len(values)]
+                self.counts[of] = self.counts.get(of, 0) + sign * int(counts[p])
+
+    def held(self) -> pa.RecordBatch:
+        """What was counted so far, to be handed on."""
+        rows, self.counts = [(*of, n, None) for of, n in self.counts.items()], {}
+        return self.table(rows)
+
+    def rest(self) -> pa.RecordBatch:
+        moved = np.flatnonzero((self.sizes != 0) | self.sums.any(axis=1)).tolist()
+        rows = [(*self.cells.places[c], None, None, int(self.sizes[c]), self.sums[c].tolist()) for c in moved]
+        return self.table(rows + [(*of, n, None) for of, n in self.counts.items()])
+
+    @classmethod
+    def table(cls, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(cls.SCHEMA.names, r, strict=True)) for r in rows], cls.SCHEMA)
+
+
+class _Bounds:
+    """Sums of the clusters from pass to pass, looking only at points whose label can have changed.
+
+    A full pass gives every point its label under each run and the margin by which the next centroid is farther.
+    The square root of the mixed distance is a metric, so the label stands as long as the margin exceeds what its
+    own centroid and the fastest of the others have moved since. Later passes compute the distances of the other
+    points and add what those that changed take from one cluster to another. Blocks of points are persisted with
+    labels and margins; when a pass has looked at many labels, or many runs are settled, a full pass makes new ones.
+    Margins are lessened by what rounding can add to them.
+    """
+
+    BLOCK = pa.schema([
+        ("n", pa.int32()), ("least", pa.list_(pa.float32())), ("x", pa.binary()), ("labels", pa.binary()), ("margins", pa.binary()),
+        ("codes", pa.list_(pa.binary())), ("values", pa.list_(pa.list_(pa.string()))),
+    ])
+    DDL = "n int, least array<float>, x binary, labels binary, margins binary, codes array<binary>, values array<array<string>>"
+
+    def __init__(self, ready: DataFrame, rows: int):
+        self.ready, self.rows = ready, rows
+        self.blocks: DataFrame | None = None
+        self.begin: _Cells | None = None
+        self.base: dict[tuple, tuple[int, np.ndarray | None]] = {}
+        self.looked = 0.0
+
+    def updates(self, found: Sequence[Clustering], live: Sequence[int]) -> tuple[dict, dict]:
+        """New means and modes of every live run by one job."""
+        cells = _Cells(found, live)
+        if self.blocks is None or self.looked > LOOKED_AT or 2 * len(live) <= len(self.begin.spans):
+            self._look_at_all(cells)
+            totals = self.base
         else:
-            total[of] = dict(r)
-    best: dict[tuple, dict] = {}
-    for (*of, value), r in total.items():
-        rank = -r["n"], value is not None, value or ""
-        if tuple(of) not in best or rank < best[tuple(of)][0]:
-            best[tuple(of)] = rank, r
-    return [r for _, r in best.values()]
+            totals = self._changed(cells, live)
+        return self._of(totals, cells)
+
+    def end(self) -> None:
+        if self.blocks is not None:
+            self.blocks.unpersist()
+            self.blocks = None
+
+    def _look_at_all(self, cells: _Cells) -> None:
+        self.end()
+        self.blocks = self.ready.mapInArrow(_blocks(cells), self.DDL).persist(StorageLevel.MEMORY_AND_DISK)
+        self.begin, self.looked = cells, 0.0
+        self.base = _added({}, self.blocks.mapInArrow(_sums_of_all(cells), _Sums.DDL).toArrow().to_pylist())
+
+    def _changed(self, cells: _Cells, live: Sequence[int]) -> dict:
+        begin = self.begin.part(live)
+        drifts = begin.drifts(cells)
+        needed = {}
+        for r, span in cells.spans.items():
+            own = drifts[span]
+            others = [np.delete(own, i).max(initial=0.0) for i in range(len(own))]
+            needed[r] = own + others
+        places = {r: i for i, r in enumerate(self.begin.spans)}
+        near = reduce(Column.__or__, [~(F.get("least", F.lit(places[r])) > F.lit(float(n.max()))) for r, n in needed.items()])
+        parts = self.blocks.filter(near).mapInArrow(_sums_of_changed(cells, needed, places, _label_type(self.begin)), _Sums.DDL)
+        rows = parts.toArrow().to_pylist()
+        self.looked = sum(r["n"] for r in rows if r["run"] < 0) / max(1, self.rows * len(live))
+        return _added({of: t for of, t in self.base.items() if of[0] in cells.spans}, [r for r in rows if r["run"] >= 0])
+
+    def _of(self, totals: Mapping, cells: _Cells) -> tuple[dict, dict]:
+        """Means, sizes, costs under the centroids of the pass, and modes, of sums."""
+        means, modes, best = {}, {}, {}
+        texts = {of: [p[i] for p in cells.picks] for i, of in enumerate(cells.places)}
+        equal: dict[tuple, int] = {}
+        for (run, label, feature, value), (n, _) in totals.items():
+            if feature is None or n <= 0:
+                continue
+            of = run, label
+            if texts[of][cells.categorical.index(feature)] == value:
+                equal[of] = equal.get(of, 0) + n
+            rank = -n, value is not None, value or ""  # null before the least
+            if (*of, feature) not in best or rank < best[*of, feature]:
+                best[*of, feature] = rank
+                modes.setdefault(of, {})[feature] = value
+        for i, of in enumerate(cells.places):
+            n, sums = totals.get((*of, None, None), (0, None))
+            if n > 0:
+                center = cells.centers[i]
+                inside = sums[0] - 2 * (center @ sums[1:]) + n * (center @ center)
+                differ = n * len(cells.categorical) - equal.get(of, 0)
+                named = {c: float(s / n) for c, s in zip(cells.numeric, sums[1:], strict=True)}
+                means[of] = {"size": n, "cost": max(float(inside), 0.0) + cells.gamma * differ, **named}
+        return means, modes
+
+
+def _points(b: pa.RecordBatch, features: int) -> tuple[np.ndarray, list[tuple]]:
+    """A row per number, and codes and their values per category, of a batch of points."""
+    x = np.array([c.to_numpy(zero_copy_only=False) for c in b.columns[:features]]).reshape(features, b.num_rows)
+    columns = [c.dictionary_encode(null_encoding="encode") for c in b.columns[features:]]
+    return x, [(c.indices.to_numpy().astype(np.int32), np.array(c.dictionary.to_pylist(), object)) for c in columns]
+
+
+def _label_type(cells: _Cells) -> np.dtype:
+    return np.min_scalar_type(max(s.stop - s.start for s in cells.spans.values()))
+
+
+def _blocks(cells: _Cells):
+    """Blocks of points with their labels and margins under every run, those near to another label first."""
+    kind = _label_type(cells)
+    # What rounding may add to a squared distance, as a share of the squared norms it is computed from.
+    share = np.finfo(float).eps * (2 * len(cells.numeric) + 16)
+    largest = (cells.centers**2).sum(axis=1).max(initial=0.0) + cells.gamma * len(cells.categorical)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, coded = _points(b, len(cells.numeric))
+            rounding = share * ((x * x).sum(axis=0) + largest)
+            labels, margins = np.empty((len(cells.spans), b.num_rows), kind), np.empty((len(cells.spans), b.num_rows), np.float32)
+            for i, span in enumerate(cells.spans.values()):
+                own = cells.distances(x, coded, span)
+                label, best, second = np.zeros(b.num_rows, kind), own[0].copy(), np.full(b.num_rows, np.inf)
+                for j in range(1, len(own)):
+                    np.putmask(label, own[j] < best, j)
+                    second = np.minimum(second, np.maximum(best, own[j]))
+                    best = np.minimum(best, own[j])
+                margin = np.sqrt(np.maximum(second - rounding, 0)) - np.sqrt(np.maximum(best, 0) + rounding)
+                labels[i] = label
+                margins[i] = np.nextafter(np.where(np.isnan(margin), -1, margin).astype(np.float32), np.float32(-np.inf))
+            order = np.argsort(margins.min(axis=0), kind="stable")
+            rows = []
+            for at in np.split(order, [int(c * len(order)) for c in CUTS]):
+                if len(at):
+                    held = margins[:, at]
+                    rows.append({
+                        "n": len(at), "least": held.min(axis=1).tolist(), "x": x[:, at].tobytes(), "labels": labels[:, at].tobytes(),
+                        "margins": held.tobytes(), "codes": [c[at].tobytes() for c, _ in coded], "values": [v.tolist() for _, v in coded],
+                    })
+            yield pa.RecordBatch.from_pylist(rows, _Bounds.BLOCK)
+
+    return run
+
+
+def _opened(batches: Iterator[pa.RecordBatch], features: int, kind: np.dtype):
+    """Points, categories, labels and margins of each block."""
+    for b in batches:
+        for r in b.to_pylist():
+            n = r["n"]
+            coded = [(np.frombuffer(c, np.int32), np.array(v, object)) for c, v in zip(r["codes"], r["values"], strict=True)]
+            labels, margins = np.frombuffer(r["labels"], kind).reshape(-1, n), np.frombuffer(r["margins"], np.float32).reshape(-1, n)
+            yield np.frombuffer(r["x"]).reshape(features, n), coded, labels, margins
+
+
+def _sums_of_all(cells: _Cells):
+    kind = _label_type(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(cells)
+        for x, coded, labels, _ in _opened(batches, len(cells.numeric), kind):
+            for r, label in zip(cells.spans, labels, strict=True):
+                sums.add(r, label.astype(int), x, coded)
+            if len(sums.counts) > HELD_COUNTS:
+                yield sums.held()
+        yield sums.rest()
+
+    return run
+
+
+def _sums_of_changed(cells: _Cells, needed: Mapping[int, np.ndarray], places: Mapping[int, int], kind: np.dtype):
+    """What the points whose labels changed add to the sums; a row of run -1 counts the labels looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, looked = _Sums(cells), 0
+        for x, coded, labels, margins in _opened(batches, len(cells.numeric), kind):
+            for r, span in cells.spans.items():
+                label = labels[places[r]]
+                at = np.flatnonzero(~(margins[places[r]] > needed[r][label]))
+                if not len(at):
+                    continue
+                looked += len(at)
+                new = cells.distances(x[:, at], [(c[at], v) for c, v in coded], span).argmin(axis=0)
+                changed = new != label[at]
+                if changed.any():
+                    at, new = at[changed], new[changed]
+                    moved, codes = x[:, at], [(c[at], v) for c, v in coded]
+                    sums.add(r, label[at].astype(int), moved, codes, -1)
+                    sums.add(r, new, moved, codes)
+            if len(sums.counts) > HELD_COUNTS:
+                yield sums.held()
+        yield sums.rest()
+        yield sums.table([(-1, -1, None, None, looked, None)])
+
+    return run
+
+
+def _added(base: Mapping[tuple, tuple], rows: Sequence[Mapping]) -> dict[tuple, tuple[int, np.ndarray | None]]:
+    """Count and sums of each run, label, feature and value."""
+    total = dict(base)
+    for r in rows:
+        of = r["run"], r["label"], r["feature"], r["value"]
+        n, sums = total.get(of, (0, None))
+        own = None if r["sums"] is None else np.array(r["sums"])
+        total[of] = n + r["n"], own if sums is None else sums if own is None else sums + own
+    return total
 
 
 def _farthest(ready: DataFrame, short: Sequence[int], found: Sequence[Clustering]) -> dict[int, list[Centroid]]:
@@ -496,6 +761,76 @@ def silhouette(
     )
 
 
+def silhouettes(points: DataFrame, found: Sequence[Clustering]) -> list[float]:
+    """The mean over all points under the labels of each clustering, by two passes for all of them.
+
+    The first sums what every cluster holds, the second scores the points with these sums. If the sums are many,
+    each clustering has passes of its own instead (:func:`silhouette`).
+    """
+    numeric, categorical, gamma = found[0].numeric, found[0].categorical, found[0].gamma
+    cells = _Cells(found, range(len(found)))
+    ready, rows, few = in_passes(filled(points, numeric, categorical), categorical, len(cells.places))
+    if not few:
+        of = [silhouette(f.assign(points), numeric, categorical, gamma).first() for f in found]
+        return [float(r["silhouette"]) for r in of]
+    totals = _added({}, ready.mapInArrow(_sums_of_labels(cells), _Sums.DDL).toArrow().to_pylist())
+    means = [0.0] * len(found)
+    for r in ready.mapInArrow(_scores(cells, totals), "run int, total double").collect():
+        means[r["run"]] += r["total"] / rows
+    return means
+
+
+def _sums_of_labels(cells: _Cells):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(cells)
+        for b in filter(len, batches):
+            x, coded = _points(b, len(cells.numeric))
+            for r, span in cells.spans.items():
+                sums.add(r, cells.distances(x, coded, span).argmin(axis=0), x, coded)
+            if len(sums.counts) > HELD_COUNTS:
+                yield sums.held()
+        yield sums.rest()
+
+    return run
+
+
+def _scores(cells: _Cells, totals: Mapping[tuple, tuple]):
+    """Sum of the scores of a task's points under each clustering; as in :func:`silhouette_rows`."""
+    places = [(*of, None, None) for of in cells.places]
+    sizes = np.array([totals[p][0] if p in totals else 0 for p in places], float)
+    held = np.array([totals[p][1] if p in totals else np.zeros(1 + len(cells.numeric)) for p in places])
+    counts = {of: n for of, (n, _) in totals.items() if of[2] is not None}
+
+    def distances(x: np.ndarray, coded: Sequence[tuple], r: int, span: slice) -> np.ndarray:
+        """From every point to all points of each cluster of a run."""
+        n, sums = sizes[span, None], held[span]
+        out = np.maximum((x * x).sum(axis=0) * n - 2 * (sums[:, 1:] @ x) + sums[:, :1], 0)
+        for name, (codes, values) in zip(cells.categorical, coded, strict=True):
+            same = np.array([[counts.get((r, i, name, v), 0) for v in values] for i in range(len(n))], float)
+            out += (cells.gamma * (n - same))[:, codes]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = np.zeros(len(cells.spans))
+        for b in filter(len, batches):
+            x, coded = _points(b, len(cells.numeric))
+            every = np.arange(b.num_rows)
+            for i, (r, span) in enumerate(cells.spans.items()):
+                label, n = cells.distances(x, coded, span).argmin(axis=0), sizes[span]
+                total = distances(x, coded, r, span)
+                inside = total[label, every] / np.maximum(n[label] - 1, 1)
+                total /= np.maximum(n, 1)[:, None]
+                total[n == 0] = np.inf
+                total[label, every] = np.inf
+                outside = total.min(axis=0)
+                most = np.maximum(inside, outside)
+                scored = (n[label] > 1) & np.isfinite(outside) & (most > 0)
+                scores[i] += ((outside - inside)[scored] / most[scored]).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(list(cells.spans), pa.int32()), pa.array(scores)], names=["run", "total"])
+
+    return run
+
+
 def best_k(
     points: DataFrame,
     ks: Sequence[int],
@@ -514,15 +849,11 @@ def best_k(
     gamma = options.pop("gamma", None) or default_gamma(points, numeric)
     of = {k: (starts or {}).get(k) or seed_centroids(points, k, runs, numeric, categorical, key, seed) for k in ks}
     every = iter(k_prototypes_runs(points, [s for k in ks for s in of[k]], numeric, categorical, gamma, **options))
-    rows = []
-    for k in ks:
-        found = _cheapest([next(every) for _ in of[k]])
-        labelled = found.assign(points)
-        filled = sum(1 for s in found.sizes if s)
-        score = None
-        if filled > 1:
-            score = float(silhouette(labelled, numeric, categorical, gamma).first()["silhouette"])
-        rows.append((k, filled, found.cost, score))
+    found = [_cheapest([next(every) for _ in of[k]]) for k in ks]
+    filled_of = [sum(1 for s in f.sizes if s) for f in found]
+    several = [i for i, n in enumerate(filled_of) if n > 1]
+    scores = dict(zip(several, silhouettes(points, [found[i] for i in several]), strict=True)) if several else {}
+    rows = [(k, n, f.cost, scores.get(i)) for i, (k, n, f) in enumerate(zip(ks, filled_of, found, strict=True))]
     known = [r for r in rows if r[3] is not None and not math.isnan(r[3])]
     top = max(known, key=lambda r: (r[3], -r[0]))[0] if known else None
     return spark.createDataFrame(
